@@ -46,9 +46,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with a null text as empty; rows without an id cannot be addressed and are left out."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) with a null text as empty, and a struct, row, of the columns in carry, if any; rows without an id
+    cannot be addressed and are left out."""
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more).filter("doc_id is not null")
 
 
 def tagged(texts: DataFrame) -> DataFrame:

@@ -34,16 +34,20 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << names.index(r) for r in set(rules))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements of each text.
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """doc_id and the measurements of each text; with whole_rows also row, a struct of the input's columns, and nth, a
+    number that rises with the row.
 
     A null or empty text has no words and measures 0 everywhere; a row without id is measured with a null id; repeated
     rows are measured each. n_repeat_words: the windows of three words are sorted by hash and position, neighbours of
     equal hash are repeats, and the words that they cover are counted from the sorted positions.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t"), F.array_remove(F.split(text, SPACE), "").alias("_w"))
+    keep = ["row"] if whole_rows else []
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []
+    words = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), text.alias("_t"), F.array_remove(F.split(text, SPACE), "").alias("_w"))
     windows = words.select(
+        *keep,
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -54,6 +58,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .alias("_s"),
     )
     repeats = windows.select(
+        *keep,
         "doc_id",
         "n_words",
         "word_chars",
@@ -63,7 +68,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sort_array(F.expr("transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h or x.h = get(_s, k + 1).h), x -> x.i)")).alias("_p"),
     )
     covered = F.expr("aggregate(transform(_p, (p, k) -> least(3, coalesce(get(_p, k + 1) - p, 3))), 0L, (a, x) -> a + x)")
-    return repeats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
+    # a filter on the results must not be moved below this, where each measurement would be made once for every rule
+    keep += [F.monotonically_increasing_id().alias("nth")] if whole_rows else []
+    return repeats.select(*keep, "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
 def failed_bits(rules: Mapping[str, str] = RULES) -> Column:
@@ -74,12 +81,17 @@ def failed_bits(rules: Mapping[str, str] = RULES) -> Column:
     return out.cast("long")
 
 
-def ledger(docs: DataFrame, policy: str = "v2", **cols: str) -> DataFrame:
+def ledger(docs: DataFrame, policy: str = "v1", **cols) -> DataFrame:
     """Measurements, failed (the bits of RULES), base_failed and kept under the policy: one row a document."""
     out = measure(docs, **cols).withColumn("failed", failed_bits())
     return out.withColumn("base_failed", F.col("failed").bitwiseAND(mask(BASE)) != 0).withColumn("kept", F.col("failed").bitwiseAND(mask((*BASE, *POLICIES[policy]))) == 0)
 
 
+def accepted(docs: DataFrame, policy: str = "v1", **cols) -> DataFrame:
+    """The rows of docs, all columns, that the policy keeps."""
+    return ledger(docs, policy, whole_rows=True, **cols).filter("kept and nth >= 0").select("row.*")
+
+
 def ablation(led: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """For each policy and each of its rules: documents rejected, and those that only this rule rejects.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, substring, suffix, tokens, toxicity, url_filter
+from . import bpe, fingerprint, neardup, quality, substring, suffix, tokens, toxicity, url_filter
 from .common import documents
 
 #: Fixed by the contract.
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_records(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -43,6 +47,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ledger(documents(spark, sf_dir), "v1")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(documents(spark, sf_dir))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -52,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_toxicity, op5_token_records, op6_packing, op7_quality_rules, op9_suffix_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_toxicity, op4_near_duplicates, op5_token_records, op6_packing, op7_quality_rules, op8_fingerprints, op9_suffix_dedup, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {

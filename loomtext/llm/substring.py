@@ -63,16 +63,17 @@ def shared_anchors(texts: DataFrame, window: int, cover: tuple[int, ...], period
     return rows.withColumns({"lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by)}).filter("lo < hi").select("doc_id", "at")
 
 
-def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", cover: tuple[int, ...] = COVER, period: int = PERIOD) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", cover: tuple[int, ...] = COVER, period: int = PERIOD, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a run of `window` words that also starts in a document with a smaller id.
 
     doc_id, n_words, n_removed, kept_text (kept words joined by a space), kept_sha256: one row a document. Runs are
     judged on the input. A null or empty text has no words. A row repeated with its id counts once; rows without an id
-    are left out. Of equal texts only the one with the smallest id takes part, the others follow from it.
+    are left out. Of equal texts only the one with the smallest id takes part, the others follow from it. Columns of the
+    input named in carry come first, as a struct, row.
     """
     if not is_cover(cover, period) or period >= window:
         raise ValueError("the positions do not cover all differences, or the period is not below the window")
-    docs = tagged(id_text(docs, id_col, text_col))
+    docs = tagged(id_text(docs, id_col, text_col, carry))
     texts = docs.filter("doc_id = rep")
     at = shared_anchors(texts, window, cover, period).groupBy("doc_id").agg(F.collect_set("at").alias("at"))  # of one text
 
@@ -101,11 +102,12 @@ def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: s
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in blocks(batches):
-            out = []
-            for doc, rep, text, starts in zip(batch.column("doc_id").to_pylist(), batch.column("rep").to_pylist(), batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            out, at = [], []
+            for k, (doc, rep, text, starts) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("rep").to_pylist(), batch.column("text").to_pylist(), batch.column("starts"), strict=True)):
                 if doc in seen:
                     continue
                 seen.add(doc)
+                at.append(k)
                 words = words_of(text)
                 if doc != rep:
                     kept = words if len(words) < window else []
@@ -121,6 +123,11 @@ def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: s
                 data = b" ".join(kept)
                 out.append((doc, len(words), len(words) - len(kept), data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
-
-    return docs.join(starts, "doc_id", "left").select("doc_id", "rep", "text", "starts").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+                kept_row = [batch.column("row").take(pa.array(at))] if carry else []
+                yield pa.RecordBatch.from_arrays([*kept_row, *(pa.array(c) for c in zip(*out, strict=True))], [*names, "doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    names = ["row"] if carry else []
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    if carry:
+        schema = f"row {docs.schema['row'].dataType.simpleString()}, {schema}"
+    return docs.join(starts, "doc_id", "left").select(*names, "doc_id", "rep", "text", "starts").mapInArrow(keep, schema)

@@ -149,3 +149,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.2, **cols: str) ->
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"p{j}" for j in range(GRADES)), "expected_severity", "toxic", "kept"])
 
     return id_text(docs, **cols).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.2, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are not toxic. A null text is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x or 1 - model.grades(x)[0] < threshold for x in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
