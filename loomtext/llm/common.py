@@ -54,7 +54,8 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
 
 
 def tagged(texts: DataFrame) -> DataFrame:
-    """doc_id, text, rep (the smallest id of those with an equal text, by a 128-bit hash), n_docs (how many these are).
+    """doc_id, text, rep (the smallest id of those with an equal text, by a 128-bit hash), n_docs (how many these are),
+    own (it is the smallest itself).
 
     Hashes are counted before the shuffle, so a text that a third of all rows share costs a row a task. The texts are
     dealt out by their id, which no group of copies can skew; further joins by id find them there, because Spark reuses
@@ -62,7 +63,10 @@ def tagged(texts: DataFrame) -> DataFrame:
     """
     keys = texts.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")).dropDuplicates(["doc_id"])
     groups = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"))
-    return texts.join(keys.join(groups, ["k1", "k2"]).select("doc_id", "rep", "n_docs"), "doc_id")
+    # own is written so that a filter on it is no equality of columns: that would become a key of the join, and the texts
+    # would be dealt out anew for it
+    own = (F.col("doc_id") - F.col("rep") == 0).alias("own")
+    return texts.join(keys.join(groups, ["k1", "k2"]).select("doc_id", "rep", "n_docs", own), "doc_id")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

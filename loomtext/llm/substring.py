@@ -74,7 +74,7 @@ def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: s
     if not is_cover(cover, period) or period >= window:
         raise ValueError("the positions do not cover all differences, or the period is not below the window")
     docs = tagged(id_text(docs, id_col, text_col, carry))
-    texts = docs.filter("doc_id = rep")
+    texts = docs.filter("own")
     at = shared_anchors(texts, window, cover, period).groupBy("doc_id").agg(F.collect_set("at").alias("at"))  # of one text
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

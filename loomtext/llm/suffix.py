@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, most: int = MOST
     """
     width = length - gram
     docs = tagged(id_text(docs, id_col, text_col))
-    texts = docs.filter("doc_id = rep")
+    texts = docs.filter("own")
 
     def raw(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         out = [x.encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
