@@ -145,3 +145,17 @@ def similar_cases(queries: DataFrame, cases: DataFrame, top: int = 3, recent: in
     pairs = queries.select("query_id", "reviewer", T.bigrams(F.col("text")).alias("a")).join(newest.select("case_id", "reviewer", T.bigrams(F.col("text")).alias("b")), "reviewer")
     scored = pairs.select("query_id", "case_id", T.dice(F.col("a"), F.col("b")).alias("score")).filter("score > 0")
     return ranked(scored, top, "case_id")
+
+
+def excerpts(rows: DataFrame, budget: int = 600, least: int = 1, terms_of: Callable[[Column], Column] = T.search_terms) -> DataFrame:
+    """rows (text, terms) with excerpt: the sentences with most of the terms that fit in `budget` characters, in their
+    order, gaps marked with an ellipsis; null where no sentence has `least` of them. A sentence that does not fit is
+    passed over."""
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？；])\s*|\n+"), F.trim), lambda s: s != "")
+    scored = F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(terms_of(s)), F.col("terms")))).alias("k"), i.alias("i"), s.alias("s")))
+    best = F.array_sort(F.filter(scored, lambda x: x.k <= -least))
+    picked = F.expr(f"""aggregate(_best, named_struct('n', 0, 'p', cast(array() as array<struct<i:int,s:string>>)), (a, x) ->
+        if(a.n + length(x.s) <= {budget}, named_struct('n', a.n + length(x.s), 'p', concat(a.p, array(named_struct('i', x.i, 's', x.s)))), a), a -> array_sort(a.p))""")
+    joined = F.expr("""concat_ws('', transform(_p, (x, k) -> concat(case when k = 0 then if(x.i > 0, '…', '') when x.i = _p[k - 1].i + 1 then ' ' else ' … ' end, x.s)))""")
+    out = rows.withColumn("_best", best).withColumn("_p", picked)
+    return out.withColumn("excerpt", F.when(F.size("_p") > 0, joined)).drop("_best", "_p")

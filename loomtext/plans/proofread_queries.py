@@ -1,2 +1,183 @@
-"""To come."""
-QUERIES, ORACLE_SQL = {}, {}
+"""Proofreading queries: marks, lists, figures, citations, issues, packs, differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import diff as D
+from ..operators import proofread as P
+from ..operators import search as S
+from .document_queries import LINES_SQL
+from .registry import Registry, table
+
+R = Registry()
+QUERIES, ORACLE_SQL = R.queries, R.sql
+
+SPACES = r"[ \t]{2,}"
+MARKS = r",{2,}|;{2,}|:{2,}|\?{2,}|!{2,}|\.{4,}"
+#: Every match of a pattern in the lines, with offsets: lines are cut at the matches.
+MATCH_SQL = """with {lines}, m as (select doc_id, index, unnest(regexp_extract_all(text, '{p}')) as original, unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) as gap,
+        generate_subscripts(regexp_extract_all(text, '{p}'), 1) as n from l),
+    o as (select doc_id, index, original, sum(length(gap) + length(original)) over (partition by doc_id, index order by n) as e from m)
+    select doc_id, index, (e - length(original))::bigint as start, e::bigint as "end", original from o"""
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("index", "text"))
+
+
+def marks(rows: DataFrame, pattern: str, severity: str, suggestion) -> DataFrame:
+    return P.matches(rows, pattern, "format", severity, suggestion)
+
+
+@R.query(MATCH_SQL.format(lines=LINES_SQL, p=SPACES.replace(r"\t", "\t")))
+def space_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks(line_rows(spark, sf_dir), SPACES, "warning", F.lit(" ")).select("doc_id", "index", "start", "end", "original")
+
+
+@R.query(MATCH_SQL.format(lines=LINES_SQL, p=MARKS))
+def dup_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks(line_rows(spark, sf_dir), MARKS, "error", F.left("original", F.lit(1))).select("doc_id", "index", "start", "end", "original")
+
+
+@R.query("""select doc_id, (length(text) - length(translate(text, '([{', '')))::bigint as n_open, (length(text) - length(translate(text, ')]}', '')))::bigint as n_close from documents
+    where length(text) - length(translate(text, '([{', '')) <> length(text) - length(translate(text, ')]}', ''))""")
+def bracket_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with more opening than closing brackets, or fewer."""
+    count = lambda marks: (F.length("text") - F.length(F.translate("text", marks, ""))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", count("([{").alias("n_open"), count(")]}").alias("n_close")).filter("n_open <> n_close")
+
+
+@R.query()
+def bracket_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.bracket_issues(line_rows(spark, sf_dir), "()[]{}")
+
+
+@R.query(f"""with {LINES_SQL}, b as (select doc_id, index, index - row_number() over (partition by doc_id order by index) as i from l where trim(text, ' ' || chr(9) || chr(13)) = '')
+    select doc_id, min(index) as first, count(*) as n from b group by doc_id, i having count(*) >= 2""")
+def empty_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.empty_runs(line_rows(spark, sf_dir).withColumn("in_table", F.lit(False)))
+
+
+#: A word list and names that overlap each other.
+WRONG = {"teh": "the", "recieve": "receive", "on on": "on", "the the": "the", "of of": "of", "le le": "le"}
+NAMES = ("th", "the", "then", "ther", "her", "here", "on", "onth", "est")
+WRONG_SQL = ", ".join(f"('{a}', '{b}')" for a, b in WRONG.items())
+
+
+@R.query(f"""with {LINES_SQL}, w as (select * from (values {WRONG_SQL}) t(wrong, "right")), h as (select doc_id, index, text, wrong, "right", unnest(range(0, length(text) - length(wrong) + 1)) as start from l, w where contains(text, wrong))
+    select doc_id, index, start, start + length(wrong) as "end", wrong as original, "right" as suggestion from h where substr(text, start + 1, length(wrong)) = wrong""")
+def wordlist_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame(list(WRONG.items()), "wrong string, right string")
+    return P.word_list_hits(line_rows(spark, sf_dir), words).select("doc_id", "index", "start", "end", "original", "suggestion")
+
+
+@R.query("with {lines}, c as (select doc_id, index, unnest(regexp_extract_all(text, '{p}')) as name from l) select doc_id, name, count(*) as n from c group by 1, 2".format(lines=LINES_SQL, p="|".join(sorted(NAMES, key=len, reverse=True))))
+def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the lines, leftmost longest, counted a document."""
+    rows = line_rows(spark, sf_dir)
+    words = spark.createDataFrame([(n, n) for n in NAMES], "wrong string, right string")
+    kept = P.leftmost_longest(P.word_list_hits(rows, words).select("doc_id", "index", "start", "end"), ["doc_id", "index"])
+    named = kept.join(rows, ["doc_id", "index"]).select("doc_id", F.expr("substring(text, start + 1, `end` - start)").alias("name"))
+    return named.groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+FIGURE = r"([A-Za-z]{2,}) ([0-9]+)([A-Za-z]*)"
+
+
+@R.query(f"with {LINES_SQL}, f as (select doc_id, index, unnest(regexp_extract_all(text, '{FIGURE}', 1)) as metric, unnest(regexp_extract_all(text, '{FIGURE}', 2)) as value, unnest(regexp_extract_all(text, '{FIGURE}', 3)) as unit from l) select * from f")
+def figure_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.figures(line_rows(spark, sf_dir), FIGURE)
+
+
+@R.query("""with f as (select l_partkey as subject, l_returnflag as metric, l_orderkey * 10 + l_linenumber as index, l_quantity * case when l_linenumber % 2 = 0 then 1000 else 1 end as v from lineitem),
+    g as (select subject, metric, min_by(v, index) as first from f group by 1, 2)
+    select subject, metric, count(*) as n, count(*) filter (where abs(v - first) > 0.005 * greatest(abs(v), abs(first))) as n_far from f join g using (subject, metric) group by 1, 2 having n_far > 0""")
+def figure_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of a part and flag, in two units, that differ from the first."""
+    unit = F.when(F.col("l_linenumber") % 2 == 0, "千米").otherwise("米")
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_returnflag").alias("metric"), F.expr("l_orderkey * 10 + l_linenumber").alias("index"), F.col("l_quantity").cast("string").alias("value"), unit.alias("unit"))
+    units = spark.createDataFrame([(u, f, d) for u, (f, d) in P.UNITS.items()], "unit string, factor double, dimension string")
+    return P.figure_conflicts(facts, F.broadcast(units)).drop("dimension")  # the fixed table of units
+
+
+CITED = [(1, 0, "依据《建设项目管理办法》（国发〔2017〕12号）和 GB/T 3095-2012。"), (1, 3, "《建设项目管理办法》规定，GB/T3095—2012 同样适用。"), (2, 1, "见国发[2017] 12 号。"), (2, 2, "没有引用。")]
+CITED_SQL = """select * from (values (1, 'number', '国发〔2017〕12号', [0]), (1, 'standard', 'GB/T3095-2012', [0, 3]), (1, 'title', '建设项目管理办法', [0, 3]), (2, 'number', '国发〔2017〕12号', [1])) t(doc_id, kind, key, paragraphs)"""
+
+
+@R.query(f"select doc_id::bigint as doc_id, kind, key, array_to_string(paragraphs, ',') as paragraphs from ({CITED_SQL})")
+def citation_extract_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed rows: the driver's texts have no such citations."""
+    rows = spark.createDataFrame(CITED, "doc_id long, index int, text string")
+    return P.citations(rows).withColumn("paragraphs", F.array_join(F.col("paragraphs").cast("array<string>"), ","))
+
+
+def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_rows(spark, sf_dir)
+    found = marks(rows, SPACES, "warning", F.lit(" ")).unionByName(marks(rows, MARKS, "error", F.left("original", F.lit(1)))).withColumn("source", F.lit("rule"))
+    return found.unionByName(marks(rows, r"[ \t,;:.!?]{2,}", "warning", F.left("original", F.lit(1))).withColumn("source", F.lit("model")))
+
+
+@R.query()
+def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.merge_issues(all_issues(spark, sf_dir).drop("original", "suggestion"))
+
+
+@R.query(f"with {LINES_SQL} select doc_id, index, regexp_replace(text, '{SPACES.replace(chr(92) + 't', chr(9))}', ' ', 'g') as text from l")
+def apply_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_rows(spark, sf_dir)
+    return P.apply_issues(rows, marks(rows, SPACES, "warning", F.lit(" ")))
+
+
+@R.query()
+def pack_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a document in sections of at most 1800 characters."""
+    return P.packed(line_rows(spark, sf_dir).withColumn("size", F.length("text")), "doc_id", "index", "size", 1800)
+
+
+@R.query()
+def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source in batches of at most 24 texts and 4000 characters."""
+    return P.packed(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 4000, 24)
+
+
+@R.query(f"with {LINES_SQL}, t as (select doc_id, index, sum(ceil(length(text) / 4)::bigint) over (partition by doc_id order by index)::bigint as used from l) select * from t where used <= 200")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of each document that fit in 200 tokens."""
+    rows = line_rows(spark, sf_dir).select("doc_id", "index", F.ceil(F.length("text") / 4).alias("size"))
+    return P.within_budget(rows, "doc_id", "index", "size", 200).select("doc_id", "index", "used")
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one before it that begins alike."""
+    by = W.partitionBy("head").orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.left("text", F.lit(60))).alias("head"))
+    return docs.select("doc_id", F.lag("doc_id").over(by).alias("old_id"), F.lag("text").over(by).alias("old"), F.col("text").alias("new")).filter("old_id is not null")
+
+
+@R.query()
+def diff_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.edit_counts(D.diff_spans(copies(spark, sf_dir))).select("doc_id", "old_id", F.size("spans").alias("n_spans"), "n_deleted", "n_inserted")
+
+
+@R.query("""with h as (select doc_id, text, substr(text, 1, 60) as head from documents), p as (select doc_id, lag(doc_id) over (partition by head order by doc_id) as old_id, lag(text) over (partition by head order by doc_id) as old, text from h)
+    select doc_id, old_id, true as restored, true as balanced from p where old_id is not null""")
+def diff_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal and inserted spans give the new text, equal and deleted ones the old."""
+    rows = D.diff_spans(copies(spark, sf_dir))
+    text = lambda other: F.array_join(F.transform(F.filter("spans", lambda s: s.kind != other), lambda s: s.text), "")
+    return rows.select("doc_id", "old_id", (text("delete") == F.col("new")).alias("restored"), (text("insert") == F.col("old")).alias("balanced"))
+
+
+@R.query()
+def excerpt_best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark item, what the documents nearest to it say about its first words."""
+    from .search_queries import benchmark_terms, keyword
+
+    hits = S.ranked(keyword(spark, sf_dir), 3, "doc_id").select("query_id", "doc_id")
+    terms = benchmark_terms(spark, sf_dir).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    rows = hits.join(terms, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return S.excerpts(rows, terms_of=T.words).select("query_id", "doc_id", "excerpt")

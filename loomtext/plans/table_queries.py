@@ -208,7 +208,7 @@ def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     select x.event_id as a_id, y.event_id as b_id, greatest(x.a, y.a) as from_s, least(x.b, y.b) as to_s from e x join e y on x.user_id = y.user_id and x.a < y.b and y.a < x.b and x.event_id < y.event_id""")
 def range_overlap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of intervals of a user: a range join inside an equality, as comments meet runs of a paragraph."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("a"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.rint(F.col("ts").cast("timestamp").cast("double")).cast("long").alias("a"))
     e = e.withColumn("b", F.col("a") + (1 + F.col("event_id") % 7) * 3600)
     from ..operators.proofread import overlaps
 
