@@ -212,7 +212,7 @@ def range_overlap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("b", F.col("a") + (1 + F.col("event_id") % 7) * 3600)
     from ..operators.proofread import overlaps
 
-    return overlaps(e, ["user_id"], "event_id", "a", "b").select("a_id", "b_id", "from_s", "to_s")
+    return overlaps(e, ["user_id"], "event_id", "a", "b", 4 * 3600).select("a_id", "b_id", "from_s", "to_s")
 
 
 @R.query("""select l_orderkey, l_linenumber, case when l_linenumber = p + 1 then 'next' when l_linenumber = p then 'repeat' when l_linenumber = 1 then 'restart' when l_linenumber > p + 1 then 'skip' else 'reversed' end as status

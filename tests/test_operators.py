@@ -204,6 +204,15 @@ def test_places(spark):
     assert got == {(2, "红河区", "error"), (5, "丙市", "warning")}
 
 
+def test_overlaps(spark):
+    data = [("p", 1, 0, 5), ("p", 2, 4, 9), ("p", 3, 5, 6), ("q", 4, 0, 9), ("p", 5, 4, 4), ("p", 6, -3, 40)]
+    rows = spark.createDataFrame(data, "k string, id int, s int, e int")
+    want = {(x[1], y[1], max(x[2], y[2]), min(x[3], y[3])) for x in data for y in data if x[0] == y[0] and x[1] < y[1] and max(x[2], y[2]) < min(x[3], y[3]) and x[2] < x[3] and y[2] < y[3]}
+    for width in (1, 3, 1024):
+        got = [(r["a_id"], r["b_id"], r["from_s"], r["to_s"]) for r in P.overlaps(rows, ["k"], "id", "s", "e", width).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # ---- differences ---------------------------------------------------------------------------------------------------
 def test_diff_spans():
     assert D.spans("总投资为100万元", "总投资为120万元") == [("equal", "总投资为"), ("delete", "100"), ("insert", "120"), ("equal", "万元")]
