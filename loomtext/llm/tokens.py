@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import blocks, id_text, shared_path, stored
 
 END_ID = 1
-#: Words that a worker keeps with their ids; beyond it the table is emptied, which costs time and changes nothing.
-KEPT_WORDS = 600_000
+#: Words that a worker keeps with their ids; beyond it a new table is begun, which takes over what is used again from the
+#: last one. This costs time and changes nothing.
+KEPT_WORDS = 300_000
 #: Most rows of partition totals that are broadcast (16 bytes each); beyond it they are joined by a shuffle.
 MOST_TOTALS = 1_000_000
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -36,6 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.last: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -51,7 +53,7 @@ class Encoder:
 
     def jointly(self, words: list[str]) -> list[bytes]:
         """As singly(), for words of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):  # lower-casing made a word of several pieces
             return self.singly(words)
@@ -60,24 +62,28 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         known = self.known
-        bases = {w: w.rstrip(".,;:!?") for w in words}
-        letters = {b for b in bases.values() if b.isalpha()}
-        others = [w for w, b in bases.items() if b not in letters]
-        tails = list({w[len(b) :] for w, b in bases.items() if b in letters}.difference(known))
-        todo = list(letters.difference(known))
+        plain = set(filter(str.isalpha, words))
+        # other words: letters with marks behind them, which are pieces of their own, and the rest
+        marked = {w: b for w in words.difference(plain) if (b := w.rstrip(".,;:!?")).isalpha()}
+        rest = list(words.difference(plain, marked))
+        tails = list({w[len(b) :] for w, b in marked.items()}.difference(known))
+        todo = list(plain.union(marked.values()).difference(known))
         for i in range(0, len(todo), 2000):
             known.update(zip(part := todo[i : i + 2000], self.jointly(part), strict=True))
-        known.update(zip(others + tails, self.singly(others + tails), strict=True))
-        known.update((w, known[b] + known[w[len(b) :]]) for w, b in bases.items() if b in letters and w != b)
+        known.update(zip(rest + tails, self.singly(rest + tails), strict=True))
+        known.update((w, known[b] + known[w[len(b) :]]) for w, b in marked.items())
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """ids of each text; words that none has had yet are learnt at once."""
         if len(self.known) > KEPT_WORDS:
-            self.known = {"": b""}
+            self.last, self.known = self.known, {"": b""}
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         words: set[str] = set()
         words.update(*cut)
-        self.learn(words.difference(self.known))
+        words.difference_update(self.known)
+        again = words.intersection(self.last)
+        self.known.update(zip(again, map(self.last.__getitem__, again), strict=True))
+        self.learn(words.difference(again))
         known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in cut]
 
