@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, id_text
+from .common import KEPT, alone, blocks, id_text
 
 #: Chunks that a worker keeps with their ids; beyond it the table is emptied, which costs time and changes nothing.
 KEPT_CHUNKS = 600_000
@@ -21,7 +21,7 @@ LONG_CHUNK = 256
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: White space that stands beside white space, at an end of the text, or is neither a space nor a line feed.
 ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_CODECS: dict[tuple[str, str], "Codec"] = {}
+_CODECS: dict[tuple[str, str], "Codec"] = KEPT.setdefault("bpe", {})
 
 
 class RankQueue:
@@ -195,6 +195,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, **cols: str) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("bpe")
         codec = Codec.of(ranks, pattern)
         for batch in blocks(batches):
             ids = codec.encode_all(batch.column("text").to_pylist())

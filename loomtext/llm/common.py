@@ -69,12 +69,12 @@ def tagged(texts: DataFrame) -> DataFrame:
     return texts.join(keys.join(groups, ["k1", "k2"]).select("doc_id", "rep", "n_docs", own), "doc_id")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text column of each has about `size` bytes; one longer text makes a block of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column("text")
+        col = batch.column(text_col)
         ends = np.cumsum(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(ends):
@@ -84,6 +84,19 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterat
             at = to
 
 
+#: What operators keep in a Python worker from one task to the next, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def alone(operator: str = "") -> None:
+    """Drop what other operators keep in this worker, and buffers that are no longer used: its memory is for the one that
+    runs."""
+    for name, kept in KEPT.items():
+        if name != operator:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 # ---- polynomial hashes -------------------------------------------------------------------------------------------
 #: Odd multipliers modulo 2**64, fixed values.
 BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, stored
+from .common import alone, blocks, id_text, stored
 
 N_A, N_B = 7, 12
 #: All minhashes; those after the tables' serve the sketch, which holds two bits of each.
@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     both collections), keys (of the tables)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in blocks(batches):
             rows = []
             for doc, h in zip(batch.column("doc_id").to_pylist(), split_shingles(batch.column("text").to_pylist(), shingle), strict=True):
@@ -207,6 +208,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     """Those (x, y) of the pairs whose full shingle sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         last, own = None, None
         for batch in batches:
             xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, shared_path, stored
+from .common import KEPT, alone, blocks, id_text, shared_path, stored
 
 END_ID = 1
 #: Words that a worker keeps with their ids; beyond it a new table is begun, which takes over what is used again from the
@@ -21,7 +21,7 @@ END_ID = 1
 KEPT_WORDS = 300_000
 #: Most rows of partition totals that are broadcast (16 bytes each); beyond it they are joined by a shuffle.
 MOST_TOTALS = 1_000_000
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[str, "Encoder"] = KEPT.setdefault("tokens", {})
 
 
 class Encoder:
@@ -93,6 +93,7 @@ class Encoder:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[list, list[bytes]]]:
     """(doc_ids, ids as 32-bit bytes with the end id) by blocks of rows."""
+    alone("tokens")
     encoder, end = Encoder.of(path), struct.pack("<I", end_id)
     for batch in blocks(batches):
         yield batch.column("doc_id").to_pylist(), [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]

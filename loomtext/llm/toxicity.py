@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, stored
+from .common import alone, blocks, id_text, stored
 
 #: Documented bounds of the fit: labelled documents, and words with a weight.
 SAMPLE, VOCABULARY = 12_000, 400
@@ -142,6 +142,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.2, **cols: str) ->
     schema = "doc_id long, " + ", ".join(f"p{j} double" for j in range(GRADES)) + ", expected_severity double, toxic boolean, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in blocks(batches):
             p = [model.grades(x) for x in batch.column("text").to_pylist()]
             toxic = [1 - q[0] >= threshold for q in p]
@@ -155,7 +156,8 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.2, text_col: st
     """The rows of docs, all columns, that are not toxic. A null text is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        alone()
+        for batch in blocks(batches, text_col=text_col):
             yield batch.filter(pa.array([not x or 1 - model.grades(x)[0] < threshold for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
