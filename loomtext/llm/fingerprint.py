@@ -16,21 +16,23 @@ from pyspark.sql import functions as F
 
 from .common import id_text, stored
 
-SAMPLES = 16
+SAMPLES = 64
+#: Samples drawn in one aggregate; more at once would make code too large to be compiled.
+AT_ONCE = 16
 #: Bits of a sample that a fingerprint keeps.
 KEPT_BITS = 24
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def uniforms(k: int) -> tuple[str, str, str]:
+def uniforms(k: str) -> tuple[str, str, str]:
     """SQL for -r, -c and beta: logarithms of products of two uniforms, and a uniform, by hashes of a term."""
     # three 21-bit numbers of one hash, two of another; never 0
-    h, g = f"xxhash64(term, {2 * k}L)", f"xxhash64(term, {2 * k + 1}L)"
+    h, g = f"xxhash64(term, 2L * {k})", f"xxhash64(term, 2L * {k} + 1L)"
     part = lambda x, i: f"((shiftrightunsigned({x}, {21 * i}) & 2097151L) + 0.5D)"
     return f"ln({part(h, 0)} * {part(h, 1)} / 4398046511104.0D)", f"ln({part(g, 0)} * {part(g, 1)} / 4398046511104.0D)", f"{part(h, 2)} / 2097152.0D"
 
 
-def sample_key(k: int, log_w: str) -> Column:
+def sample_key(k: str, log_w: str) -> Column:
     """A term's value for sample k: its rank ln a in the high bits, KEPT_BITS of the hash of (term, t) in the low ones;
     null where the term has no weight."""
     minus_r, minus_c, beta = uniforms(k)
@@ -38,7 +40,7 @@ def sample_key(k: int, log_w: str) -> Column:
     rank = f"(ln(-{minus_c}) + {minus_r} * ({t} - {beta} + 1.0D))"
     # ranks lie far within 500 of 0 (the logarithms have 42-bit arguments); the bounds keep the bits apart in any case
     whole = f"cast((least(greatest({rank}, -500.0D), 500.0D) + 512.0D) * 268435456.0D as bigint)"
-    return F.expr(f"case when {log_w} is not null then shiftleft({whole}, {KEPT_BITS}) | (xxhash64(term, cast({t} as bigint), {k}) & {(1 << KEPT_BITS) - 1}L) end")
+    return F.expr(f"case when {log_w} is not null then shiftleft({whole}, {KEPT_BITS}) | (xxhash64(term, cast({t} as bigint), cast({k} as int)) & {(1 << KEPT_BITS) - 1}L) end")
 
 
 def following(ids: DataFrame, parts: int) -> DataFrame:
@@ -60,15 +62,19 @@ def signed(texts: DataFrame, columns: list[str], samples: int = SAMPLES) -> Data
     """doc_id and, for each text column, an array of its samples of the same name, null for a text without words.
 
     If the rows are dealt out by doc_id, nothing is shuffled: words are counted and samples drawn in place. A term's
-    numbers are made once for all columns.
+    numbers are made once for all columns. Samples are drawn by runs of AT_ONCE, each a copy of the counted terms.
     """
     each = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("t")) for i, c in enumerate(columns)))
     words = texts.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.c", F.explode(F.split("e.t", SPACE)).alias("word")).filter("word <> ''")
     counts = words.groupBy("doc_id", F.xxhash64("word").alias("term")).agg(*(F.count_if(F.col("c") == i).alias(f"w{i}") for i in range(len(columns))))
     weights = counts.select("doc_id", "term", *(F.when(F.col(f"w{i}") > 0, F.log(f"w{i}")).alias(f"l{i}") for i in range(len(columns))))
-    drawn = weights.groupBy("doc_id").agg(*(F.min(sample_key(k, f"l{i}")).alias(f"m{i}_{k}") for k in range(samples) for i in range(len(columns))))
+    runs = weights.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // AT_ONCE)))).withColumn("first", (F.col("run") * AT_ONCE).cast("long"))
+    own = [f"(first + {k})" for k in range(min(samples, AT_ONCE))]
+    drawn = runs.groupBy("doc_id", "run").agg(*(F.min(sample_key(k, f"l{i}")).alias(f"m{i}_{j}") for j, k in enumerate(own) for i in range(len(columns))))
     low = (1 << KEPT_BITS) - 1
-    return drawn.select("doc_id", *(F.when(F.col(f"m{i}_0").isNotNull(), F.array(*(F.col(f"m{i}_{k}").bitwiseAND(low) for k in range(samples)))).alias(c) for i, c in enumerate(columns)))
+    parts = [F.when(F.col(f"m{i}_0").isNotNull(), F.array(*(F.col(f"m{i}_{j}").bitwiseAND(low).cast("int") for j in range(len(own))))).alias(c) for i, c in enumerate(columns)]
+    joined = drawn.select("doc_id", "run", *parts).groupBy("doc_id").agg(*(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("run", F.col(c).alias("s"))))).alias(c) for c in columns))
+    return joined.select("doc_id", *(F.when(F.size(c) > 0, F.slice(F.flatten(F.col(f"{c}.s")), 1, samples)).alias(c) for c in columns))
 
 
 def text_of(fingerprint: Column) -> Column:

@@ -195,3 +195,12 @@ def test_toxicity_query(spark, sf_dir):
     rows = queries.op3_toxicity(spark, sf_dir).collect()
     docs = {r[0] for r in common.documents(spark, sf_dir).select("doc_id").collect()}
     assert {r["doc_id"] for r in rows} == docs and len(rows) == len(docs)
+
+
+def test_fingerprint_error(spark, sf_dir):
+    """Fixed bounds, whatever the number of samples."""
+    docs = {r[0]: r[1] for r in common.documents(spark, sf_dir).select("doc_id", "text").collect()}
+    want = edited(docs)
+    errors = [r["near_edited"] - jaccard(docs[r["doc_id"]] or "", want[r["doc_id"]]) for r in fingerprint.compare_edits(common.documents(spark, sf_dir)).collect()]
+    assert len(errors) == len(docs)
+    assert math.sqrt(sum(e * e for e in errors) / len(errors)) < 0.075 and max(map(abs, errors)) < 0.25
