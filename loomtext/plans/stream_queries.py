@@ -27,7 +27,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out = f"{sf_dir}/events.parquet", scratch(spark)
     schema = spark.read.parquet(path).schema
     for _ in range(2):
-        ingest(spark, path.replace("events.", "event[s]."), schema, f"{out}/table", f"{out}/state", ["event_id"], "ts")
+        ingest(spark, path.replace("events.", "event[s]."), schema, f"{out}/table", f"{out}/state", ["event_id"])
     rows = spark.read.schema(schema).parquet(f"{out}/table")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.sum("event_id").alias("s"))
 

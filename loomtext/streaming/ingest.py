@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, keys: list[str], event_time: str | None = None, late: str = "7 days", files_per_batch: int = 64) -> None:
+def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, keys: list[str], files_per_batch: int = 64) -> None:
     """Read what `source` (a Parquet path or pattern) has gained since the last call and append it to `target`.
 
-    Rows repeated by their keys count once: within a stream by state, which a watermark on event_time bounds where one is
-    given. The checkpoint remembers files and state, so a run that broke off is taken up where it was.
+    Rows repeated by their keys count once, however late or far apart they come: the state holds all keys seen (on a
+    cluster give it a store on disk by spark.sql.streaming.stateStore.providerClass). The checkpoint remembers files and state, so a run that broke off is taken up where it was.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    if event_time:
-        rows = rows.withColumn("_time", F.col(event_time).cast("timestamp")).withWatermark("_time", late).dropDuplicatesWithinWatermark(keys).drop("_time")
-    else:
-        rows = rows.dropDuplicates(keys)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates(keys)
     query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
