@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -74,17 +75,18 @@ def dot(a: Column, b: Column) -> Column:
 def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "chunk_id", only: DataFrame | None = None, most_queries: int = 10_000) -> DataFrame:
     """Quantised cosine of each query with each vector: (query_id, id, score, dot).
 
-    queries: (query_id, vector), a stated batch of at most most_queries rows, held against all vectors; the batch is
-    broadcast, so the vectors are read once and never move. Vectors of another length raise an error.
+    queries: (query_id, vector), held against all vectors in blocks of about most_queries rows by hash of query_id; each
+    block is broadcast, so the vectors are read once a block and never move. Vectors of another length raise an error.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries in a batch")
+    blocks = max(1, -(-queries.count() // most_queries))
     if only is not None:
         vectors = vectors.join(only.select(id_col).distinct(), id_col, "left_semi")
     q = queries.select("query_id", quantise(F.col("vector")).alias("q"))
     v = vectors.select(id_col, quantise(F.col("vector")).alias("v"))
     fits = F.when(F.size("q") == F.size("v"), dot(F.col("q"), F.col("v"))).otherwise(F.raise_error(F.lit("vector lengths differ")).cast("long"))
-    return v.crossJoin(F.broadcast(q)).select("query_id", id_col, fits.alias("dot")).withColumn("score", F.col("dot") / (127.0 * 127.0))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    passes = [v.crossJoin(F.broadcast(q.filter(block == i) if blocks > 1 else q)).select("query_id", id_col, fits.alias("dot")) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, passes).withColumn("score", F.col("dot") / (127.0 * 127.0))
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, id_col: str = "chunk_id", constant: int = RRF) -> DataFrame:

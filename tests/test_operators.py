@@ -435,3 +435,11 @@ def test_ingest_query_of_many_files(spark, tmp_path):
     spark.range(0, 130, 1, 65).select(F.col("id").alias("event_id"), (F.expr("timestamp'2024-01-01'") + days).alias("ts"), F.lit("a").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
     row = incremental_ingest(spark, str(tmp_path)).first()
     assert (row["n"], row["n_ids"], row["s"]) == (130, 130, 130 * 129 // 2)
+
+
+def test_vector_query_blocks(spark):
+    """More queries than a batch holds give the same scores as one batch."""
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "query_id long, vector array<float>")
+    v = spark.createDataFrame([(i, [1.0, float(-i)]) for i in range(5)], "chunk_id long, vector array<float>")
+    whole, blocks = (sorted(map(tuple, S.vector_scores(q, v, most_queries=n).collect())) for n in (100, 3))
+    assert len(whole) == 35 and blocks == whole
