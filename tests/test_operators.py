@@ -443,3 +443,11 @@ def test_vector_query_blocks(spark):
     v = spark.createDataFrame([(i, [1.0, float(-i)]) for i in range(5)], "chunk_id long, vector array<float>")
     whole, blocks = (sorted(map(tuple, S.vector_scores(q, v, most_queries=n).collect())) for n in (100, 3))
     assert len(whole) == 35 and blocks == whole
+
+
+def test_long_word_list(spark):
+    """Over 200 words of over 64 lengths, a blank one among them, give the same hits joined as in the plan."""
+    words = spark.createDataFrame([(f"{i:03d}" + "x" * (i % 80), "y") for i in range(230)] + [("", "z"), (None, "z")], "wrong string, right string")
+    rows = paragraphs(spark, ["a 079" + "x" * 79 + " b", "070" + "x" * 75, "005xxxxx 200", ""])
+    joined, planned = (sorted((r["index"], r["start"], r["end"], r["original"]) for r in P.word_list_hits(rows, words, most_literals=n).collect()) for n in (200, 1000))
+    assert joined == planned and {len(r[3]) for r in joined} == {82, 73, 8}
