@@ -431,10 +431,10 @@ def test_ingest_query_of_many_files(spark, tmp_path):
     """More files than a batch takes, with times that interleave: all rows count."""
     from loomtext.plans.stream_queries import incremental_ingest
 
-    days = F.make_interval(days=(F.col("id") * 37 % 130 * 10).cast("int"))
-    spark.range(0, 130, 1, 65).select(F.col("id").alias("event_id"), (F.expr("timestamp'2024-01-01'") + days).alias("ts"), F.lit("a").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    days = F.make_interval(days=(F.col("id") * 37 % 150 * 10).cast("int"))
+    spark.range(0, 150, 1, 150).select(F.col("id").alias("event_id"), (F.expr("timestamp'2024-01-01'") + days).alias("ts"), F.lit("a").alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
     row = incremental_ingest(spark, str(tmp_path)).first()
-    assert (row["n"], row["n_ids"], row["s"]) == (130, 130, 130 * 129 // 2)
+    assert (row["n"], row["n_ids"], row["s"]) == (150, 150, 150 * 149 // 2)
 
 
 def test_vector_query_blocks(spark):
