@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,31 +18,53 @@ from pyspark.sql import functions as F
 from .common import KEPT, alone, blocks, id_text, shared_path, stored
 
 END_ID = 1
-#: Words that a worker keeps with their ids; beyond it a new table is begun, which takes over what is used again from the
-#: last one. This costs time and changes nothing.
-KEPT_WORDS = 300_000
+#: Pieces and words that a worker keeps with their ids; beyond it they are learnt anew, which costs time and changes nothing.
+KEPT_WORDS = 500_000
 #: Most rows of partition totals that are broadcast (16 bytes each); beyond it they are joined by a shuffle.
 MOST_TOTALS = 1_000_000
+#: Marks that are a piece of their own behind a word of letters. Not among them: the apostrophe, which begins pieces like
+#: 's, and what special tokens are written with.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: The normaliser and the cut into pieces under which words can be encoded one by one; other files' texts go whole.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ENCODERS: dict[str, "Encoder"] = KEPT.setdefault("tokens", {})
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write the letters from U+0080 to U+00FF: each byte as a printable character."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = dict(zip(printable, map(chr, printable), strict=True))
+    letter |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in letter)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
 class Encoder:
     """ids of texts as little-endian 32-bit bytes.
 
     A space or line feed always ends a piece of the tokenizers used here (white space is dropped, no merge and no
-    normalisation crosses it), so each word is encoded once and its ids are kept. Words of letters alone are one piece,
-    whose last id has the end-of-word mark: they are encoded many at a time and taken apart at these ids.
+    normalisation crosses it), so each word is encoded once and its ids are kept. Words of ASCII and Latin-1 letters,
+    which normalising only lower-cases, and runs of MARKS behind them are single pieces: they go to the merges directly.
+    All other words go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.wordwise = all(rules[k] == v for k, v in WORDWISE.items()) and rules["model"]["type"] == "BPE"
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {"": b""}
-        self.last: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -48,44 +72,45 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def singly(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def jointly(self, words: list[str]) -> list[bytes]:
-        """As singly(), for words of letters."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.is_end[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):  # lower-casing made a word of several pieces
-            return self.singly(words)
-        data, cuts = ids.tobytes(), (4 * ends).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def learn(self, words: set[str]) -> None:
-        known = self.known
-        plain = set(filter(str.isalpha, words))
-        # other words: letters with marks behind them, which are pieces of their own, and the rest
-        marked = {w: b for w in words.difference(plain) if (b := w.rstrip(".,;:!?")).isalpha()}
-        rest = list(words.difference(plain, marked))
-        tails = list({w[len(b) :] for w, b in marked.items()}.difference(known))
-        todo = list(plain.union(marked.values()).difference(known))
-        for i in range(0, len(todo), 2000):
-            known.update(zip(part := todo[i : i + 2000], self.jointly(part), strict=True))
-        known.update(zip(rest + tails, self.singly(rest + tails), strict=True))
-        known.update((w, known[b] + known[w[len(b) :]]) for w, b in marked.items())
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """ids of each text; words that none has had yet are learnt at once."""
+    def piece(self, text: str) -> bytes:
+        """ids of a piece of lower-case letters up to U+00FF, or of marks."""
+        found = [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.letters))]
+        ids = self.known[text] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def singly(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """ids of each word."""
         if len(self.known) > KEPT_WORDS:
-            self.last, self.known = self.known, {"": b""}
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        words: set[str] = set()
-        words.update(*cut)
-        words.difference_update(self.known)
-        again = words.intersection(self.last)
-        self.known.update(zip(again, map(self.last.__getitem__, again), strict=True))
-        self.learn(words.difference(again))
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in cut]
+            self.known = {"": b""}
+        get, piece, rest = self.known.get, self.piece, []
+        out = list(map(get, words))
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = words[i]
+                base = word.rstrip(MARKS)
+                if not base or base.isalpha() and (base.isascii() or max(base) < "\u0100"):
+                    low, tail = base.lower(), word[len(base) :]
+                    out[i] = (get(low) or piece(low)) + (get(tail) or piece(tail)) if tail else get(low) or piece(low)
+                else:
+                    rest.append(i)
+        odd = [words[i] for i in rest]
+        for i, word, ids in zip(rest, odd, self.singly(odd), strict=True):
+            out[i] = self.known[word] = ids
+        return out
+
+    def encode_all(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """ids of each text; each distinct word of the texts is looked up once."""
+        if not self.wordwise:
+            return self.singly(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        known = self.words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = list(map(known.__getitem__, coded.indices.to_numpy().tolist()))
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -96,7 +121,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID)
     alone("tokens")
     encoder, end = Encoder.of(path), struct.pack("<I", end_id)
     for batch in blocks(batches):
-        yield batch.column("doc_id").to_pylist(), [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
+        yield batch.column("doc_id").to_pylist(), [x + end for x in encoder.encode_all(batch.column("text"))]
 
 
 def narrow(ids: bytes) -> bytes:
@@ -109,10 +134,21 @@ def widened(data: bytes | memoryview) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
 
 
+#: Parts whose totals are summed in one task.
+PARTS_AT_ONCE = 1_000
+
+
 def with_bases(rows: DataFrame, part: str, size: str) -> DataFrame:
-    """Add `base`: the sum of `size` over all parts before the row's part. The totals have one row a part."""
-    totals = rows.groupBy(part).agg(F.sum(size).alias("_n"))
-    bases = totals.select(part, (F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))).alias("base")).fillna(0, ["base"])
+    """Add `base`: the sum of `size` over all parts (numbers) before the row's part.
+
+    The totals have one row a part. They are summed up within runs of PARTS_AT_ONCE parts, and these runs' totals, a
+    thousandth of the parts, in one more window.
+    """
+    totals = rows.groupBy(part).agg(F.sum(size).alias("_n")).withColumn("_run", F.expr(f"`{part}` div {PARTS_AT_ONCE}"))
+    runs = totals.groupBy("_run").agg(F.sum("_n").alias("_n"))
+    runs = runs.select("_run", F.coalesce(F.sum("_n").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inner = totals.withColumn("_i", F.coalesce(F.sum("_n").over(W.partitionBy("_run").orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    bases = inner.join(runs, "_run").select(part, (F.col("_b") + F.col("_i")).alias("base"))
     small = totals.count() <= MOST_TOTALS
     return rows.join(F.broadcast(bases) if small else bases, part)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -49,6 +50,48 @@ def test_word_encoder(texts):
     assert tokens.Encoder.of(PATH).encode_all(texts) == [u32(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_letters_that_normalise_to_marks(tokenizer):
+    """Every letter whose lower-cased, composed form has a mark, before, between and behind punctuation and letters."""
+    odd = [c for c in map(chr, range(128, 0x110000)) if c.isalpha() and any(unicodedata.category(x)[0] == "M" for x in unicodedata.normalize("NFC", c).lower())]
+    assert len(odd) >= 50 and "İ" in odd and "ड़" not in odd and "\u095c" in odd
+    texts = [t for c in odd for m in ".,;:!?#-" for t in (f"ab{c}{m}", f"{c}{m}", f"{m}{c}", f"A{c}b{m} x{c}", f"é{c}{m}{c}")]
+    texts += ["GAZİ. ANKARA", "EVİ, x", "ड़.", "ড়, a", *(a + b for a in tokens.MARKS for b in tokens.MARKS), *(f"aÉ{m}" for m in tokens.MARKS)]
+    assert tokens.Encoder.of(PATH).encode_all(texts) == [u32(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_random_texts(tokenizer):
+    r = random.Random(11)
+    chars = [*"aZbéÜßÿªµ'st1²½.,;:!?#$%<|> \n\t\u3000ΣσςЖ中", "\u0130", "\u095c", "\u0301", "\u09bc", "\u1e9e", "\u212b", "\ufb01"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(30))) for _ in range(20_000)]
+    assert tokens.Encoder.of(PATH).encode_all(texts) == [u32(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_full_table_of_words(monkeypatch, tokenizer):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 20)
+    encoder = tokens.Encoder(PATH)
+    texts = [f"Word{i} w{i}, again" for i in range(60)]
+    for i in range(0, 60, 7):
+        assert encoder.encode_all(texts[i : i + 7]) == [u32(e.ids) for e in tokenizer.encode_batch_fast(texts[i : i + 7], add_special_tokens=False)]
+
+
+def test_other_tokenizer_goes_whole():
+    """A file whose pieces reach over spaces is not cut into words."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["the cat  sat\non the mat.", "", " x"]
+    assert tokens.Encoder.of(path).encode_all(texts) == [u32(e.ids) for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_bases_over_runs_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "PARTS_AT_ONCE", 3)
+    rows = spark.createDataFrame([(p, p * 7 % 5) for p in (0, 1, 2, 5, 6, 9, 10, 11, 30)], "part long, n long")
+    got = {r["part"]: r["base"] for r in tokens.with_bases(rows, "part", "n").collect()}
+    total, want = 0, {}
+    for p in sorted(got):
+        want[p] = total
+        total += p * 7 % 5
+    assert got == want
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXTS, max_size=4))
 def test_byte_encoder(texts):
