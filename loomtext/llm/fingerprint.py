@@ -8,83 +8,83 @@ equals their generalised Jaccard similarity, the sum of least weights over the s
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_text, stored
 
-SAMPLES = 64
-#: Samples drawn in one aggregate; more at once would make code too large to be compiled.
-AT_ONCE = 16
-#: Bits of a sample that a fingerprint keeps.
-KEPT_BITS = 24
+#: The standard error of a likeness is sqrt(s (1 - s) / SAMPLES): 0.044 at most.
+SAMPLES = 128
+#: Samples drawn in one aggregate. With more, the code of one would pass 8,000 bytes, beyond which the JVM only interprets it.
+AT_ONCE = 4
+#: Bits of a sample that a fingerprint keeps: two different samples look equal once in 65,536 times.
+KEPT_BITS = 16
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def uniforms(k: str) -> tuple[str, str, str]:
-    """SQL for -r, -c and beta: logarithms of products of two uniforms, and a uniform, by hashes of a term."""
+def sample_keys(rows: DataFrame, count: int) -> DataFrame:
+    """From rows with term, first (a sample's number) and log_w (of the weight): k0, k1 and on for `count` samples from first.
+
+    A key has the rank ln a in the high bits and KEPT_BITS of the hash of (term, t) in the low ones. Steps are columns of
+    their own, so that each is computed once.
+    """
     # three 21-bit numbers of one hash, two of another; never 0
-    h, g = f"xxhash64(term, 2L * {k})", f"xxhash64(term, 2L * {k} + 1L)"
     part = lambda x, i: f"((shiftrightunsigned({x}, {21 * i}) & 2097151L) + 0.5D)"
-    return f"ln({part(h, 0)} * {part(h, 1)} / 4398046511104.0D)", f"ln({part(g, 0)} * {part(g, 1)} / 4398046511104.0D)", f"{part(h, 2)} / 2097152.0D"
-
-
-def sample_key(k: str, log_w: str) -> Column:
-    """A term's value for sample k: its rank ln a in the high bits, KEPT_BITS of the hash of (term, t) in the low ones;
-    null where the term has no weight."""
-    minus_r, minus_c, beta = uniforms(k)
-    t = f"floor({log_w} / (-{minus_r}) + {beta})"
-    rank = f"(ln(-{minus_c}) + {minus_r} * ({t} - {beta} + 1.0D))"
-    # ranks lie far within 500 of 0 (the logarithms have 42-bit arguments); the bounds keep the bits apart in any case
-    whole = f"cast((least(greatest({rank}, -500.0D), 500.0D) + 512.0D) * 268435456.0D as bigint)"
-    return F.expr(f"case when {log_w} is not null then shiftleft({whole}, {KEPT_BITS}) | (xxhash64(term, cast({t} as bigint), cast({k} as int)) & {(1 << KEPT_BITS) - 1}L) end")
+    log2 = lambda x: f"ln({part(x, 0)} * {part(x, 1)} / 4398046511104.0D)"  # of a product of two uniforms
+    ks = range(count)
+    rows = rows.withColumns({f"{c}{k}": F.expr(f"xxhash64(term, 2L * first + {2 * k + i}L)") for k in ks for i, c in enumerate("hg")})
+    rows = rows.withColumns({f"minus_r{k}": F.expr(log2(f"h{k}")) for k in ks} | {f"beta{k}": F.expr(f"{part(f'h{k}', 2)} / 2097152.0D") for k in ks})
+    rows = rows.withColumns({f"t{k}": F.expr(f"cast(floor(beta{k} - log_w / minus_r{k}) as double)") for k in ks})
+    # ranks lie within 512 of 0: the logarithms are of 42-bit numbers
+    rank = lambda k: f"ln(-{log2(f'g{k}')}) + minus_r{k} * (t{k} - beta{k} + 1.0D)"
+    return rows.withColumns({f"k{k}": F.expr(f"shiftleft(cast(({rank(k)} + 512.0D) * 268435456.0D as bigint), {KEPT_BITS}) | (xxhash64(h{k}, t{k}) & {(1 << KEPT_BITS) - 1}L)") for k in ks})
 
 
 def following(ids: DataFrame, parts: int) -> DataFrame:
     """doc_id and next_id: the id before it in descending order; the smallest is followed by the largest.
 
-    Ids are dealt out by ranges and ordered within each; the first of a range comes from the next range that has rows.
+    Ids are dealt out by ranges, stored with their range's number and ordered within each; the first of a range comes from
+    the next range that has rows. The ends of the ranges, one row each, meet in one window.
     """
-    ranged = ids.repartitionByRange(parts, "doc_id").withColumn("p", F.spark_partition_id())
-    by = W.partitionBy("p").orderBy("doc_id")
-    inner = ranged.withColumn("before", F.lag("doc_id").over(by))
+    ranged = stored(ids.repartitionByRange(parts, "doc_id").withColumn("p", F.spark_partition_id()), "ranges")
+    inner = ranged.withColumn("before", F.lag("doc_id").over(W.partitionBy("p").orderBy("doc_id")))
     ends = ranged.groupBy("p").agg(F.max("doc_id").alias("top"))
-    edges = ends.withColumn("edge", F.lag("top").over(W.orderBy("p")))  # one row a range
-    largest = ends.agg(F.max("top").alias("largest"))
-    edges = edges.crossJoin(largest).select("p", F.coalesce("edge", "largest").alias("edge"))  # a single row beside
-    return inner.join(F.broadcast(edges), "p").select("doc_id", F.coalesce("before", "edge").alias("next_id"))
+    largest = ends.agg(F.max("top")).first()[0]
+    edges = ends.select("p", F.coalesce(F.lag("top").over(W.orderBy("p")), F.lit(largest).cast("long")).alias("edge"))
+    return inner.join(F.broadcast(edges), "p").select("doc_id", F.coalesce("before", "edge").alias("next_id"))  # a row a range
 
 
-def signed(texts: DataFrame, columns: list[str], samples: int = SAMPLES) -> DataFrame:
-    """doc_id and, for each text column, an array of its samples of the same name, null for a text without words.
+def signed(texts: DataFrame, a: str, b: str, samples: int = SAMPLES) -> DataFrame:
+    """doc_id and, for each of two text columns, an array of its samples of the same name, null for a text without words.
 
-    If the rows are dealt out by doc_id, nothing is shuffled: words are counted and samples drawn in place. A term's
-    numbers are made once for all columns. Samples are drawn by runs of AT_ONCE, each a copy of the counted terms.
+    If the rows are dealt out by doc_id, nothing is shuffled: words are counted and samples drawn in place. A term that
+    has the same weight in both texts is drawn for once. Samples are drawn by runs of AT_ONCE, each a copy of the terms.
     """
-    each = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("t")) for i, c in enumerate(columns)))
+    each = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("t")) for i, c in enumerate((a, b))))
     words = texts.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.c", F.explode(F.split("e.t", SPACE)).alias("word")).filter("word <> ''")
-    counts = words.groupBy("doc_id", F.xxhash64("word").alias("term")).agg(*(F.count_if(F.col("c") == i).alias(f"w{i}") for i in range(len(columns))))
-    weights = counts.select("doc_id", "term", *(F.when(F.col(f"w{i}") > 0, F.log(f"w{i}")).alias(f"l{i}") for i in range(len(columns))))
-    runs = weights.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // AT_ONCE)))).withColumn("first", (F.col("run") * AT_ONCE).cast("long"))
-    own = [f"(first + {k})" for k in range(min(samples, AT_ONCE))]
-    drawn = runs.groupBy("doc_id", "run").agg(*(F.min(sample_key(k, f"l{i}")).alias(f"m{i}_{j}") for j, k in enumerate(own) for i in range(len(columns))))
-    low = (1 << KEPT_BITS) - 1
-    parts = [F.when(F.col(f"m{i}_0").isNotNull(), F.array(*(F.col(f"m{i}_{j}").bitwiseAND(low).cast("int") for j in range(len(own))))).alias(c) for i, c in enumerate(columns)]
-    joined = drawn.select("doc_id", "run", *parts).groupBy("doc_id").agg(*(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("run", F.col(c).alias("s"))))).alias(c) for c in columns))
-    return joined.select("doc_id", *(F.when(F.size(c) > 0, F.slice(F.flatten(F.col(f"{c}.s")), 1, samples)).alias(c) for c in columns))
+    counts = words.groupBy("doc_id", F.xxhash64("word").alias("term")).agg(*(F.count_if(F.col("c") == i).alias(f"w{i}") for i in range(2)))
+    weight = lambda w, in_a, in_b: f"named_struct('w', {w}, 'in_a', {in_a}, 'in_b', {in_b})"
+    weights = F.expr(f"if(w0 = w1, array({weight('w0', 'true', 'true')}), filter(array({weight('w0', 'true', 'false')}, {weight('w1', 'false', 'true')}), x -> x.w > 0))")
+    terms = counts.select("doc_id", "term", F.explode(weights).alias("x")).select("doc_id", "term", F.log("x.w").alias("log_w"), "x.in_a", "x.in_b")
+    size = min(samples, AT_ONCE)
+    runs = terms.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // size)))).withColumn("first", (F.col("run") * size).cast("long"))
+    keys = sample_keys(runs, size)
+    least = keys.groupBy("doc_id", "run").agg(*(F.min(F.when(F.col(f"in_{c}"), F.col(f"k{k}"))).alias(f"{c}{k}") for k in range(size) for c in "ab"))
+    low = lambda c: F.when(F.col(f"{c}0").isNotNull(), F.array(*(F.expr(f"cast(({c}{k} & {(1 << KEPT_BITS) - 1}L) - {1 << KEPT_BITS - 1} as smallint)") for k in range(size))))
+    drawn = least.select("doc_id", "run", low("a").alias("a"), low("b").alias("b"))
+    joined = drawn.groupBy("doc_id").agg(*(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("run", F.col(c).alias("s"))))).alias(c) for c in "ab"))
+    return joined.select("doc_id", *(F.when(F.size(c) > 0, F.slice(F.flatten(F.col(f"{c}.s")), 1, samples)).alias(name) for c, name in (("a", a), ("b", b))))
 
 
 def text_of(fingerprint: Column) -> Column:
-    """A fingerprint as a string: six hexadecimal digits a sample; empty for a text without words."""
-    return F.coalesce(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), KEPT_BITS // 4, "0")), ""), F.lit(""))
+    """A fingerprint as a string: four hexadecimal digits a sample; empty for a text without words."""
+    return F.coalesce(F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x.cast("int") + (1 << KEPT_BITS - 1)), KEPT_BITS // 4, "0"))), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples; 1 for two texts without words, 0 if only one has none."""
-    same = reduce(lambda x, y: x + y, (F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), 1.0).otherwise(0.0) for k in range(samples)))
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / samples)
 
 
@@ -99,7 +99,8 @@ def compare_edits(docs: DataFrame, parts: int = 0, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    docs = id_text(docs, id_col, text_col)
+    # the drawing takes long for few bytes: a number of parts that adaptive execution does not lower
+    docs = id_text(docs, id_col, text_col).repartition(parts, "doc_id")
     sizes = docs.groupBy("doc_id").agg(F.min_by(F.length("text"), F.xxhash64("text")).alias("n"))
     docs = docs.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
     after = stored(following(sizes.select("doc_id"), parts), "following")
@@ -108,7 +109,7 @@ def compare_edits(docs: DataFrame, parts: int = 0, id_col: str = "doc_id", text_
     tails = docs.join(follows, "doc_id").select(F.col("for_id").alias("doc_id"), F.expr("left(text, take)").alias("tail"), "take")
     both = docs.join(tails, "doc_id").select("doc_id", "text", F.concat(F.expr("left(text, length(text) - take)"), "tail").alias("edited"))
     plain = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    prints = stored(plain.join(signed(both, ["text", "edited"]), "doc_id", "left"), "fingerprints")
+    prints = stored(plain.join(signed(both, "text", "edited"), "doc_id", "left"), "fingerprints")
     nexts = after.join(prints.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next")), "next_id").select("doc_id", "next")
     return prints.join(nexts, "doc_id").select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("text")).alias("fingerprint"), text_of(F.col("edited")).alias("edited_fingerprint"),
