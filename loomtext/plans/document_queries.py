@@ -81,7 +81,15 @@ def page_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.accepted(table(spark, sf_dir, "pages"))
 
 
-@R.query()
+LINKS_SQL = rf"""with a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) as a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>'), 1) - 1 as pos from pages),
+    p as (select page_id, pos, {ENTITY_SQL.format("regexp_extract(a, '(?is)" + chr(92) + "bhref" + chr(92) + "s*=" + chr(92) + "s*[" + chr(34) + chr(39) * 2 + "]([^" + chr(34) + chr(39) * 2 + "]*)', 1)")} as href, trim(regexp_replace({ENTITY_SQL.format(TAGS_SQL.format("a"))}, '\s+', ' ', 'g')) as text,
+        regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') as root, regexp_extract(url, '^[a-zA-Z]+:') as scheme, regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\1/') as folder from a),
+    f as (select page_id, pos, text, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then href when starts_with(href, '//') then scheme || href when starts_with(href, '/') then root || href else folder || href end as url
+        from p where href <> '' and not regexp_matches(href, '(?i)^(javascript|mailto|tel|data):|^#'))
+    select page_id, url, min_by(text, pos) as text, min(pos)::int as pos from f group by 1, 2"""
+
+
+@R.query(LINKS_SQL)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.links(table(spark, sf_dir, "pages"))
 

@@ -25,6 +25,19 @@ MATCH_SQL = """with {lines}, m as (select doc_id, index, unnest(regexp_extract_a
     select doc_id, index, (e - length(original))::bigint as start, e::bigint as "end", original from o"""
 
 
+#: Documents with double spaces, blank lines and brackets, some without a partner: commas open one, sentence ends close one.
+DRAFTS_SQL = "d as (select doc_id, replace(replace(text, ', ', ' (  '), '. ', ')' || chr(10) || chr(10) || ' ' || chr(10)) as text from documents), l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as index, unnest(string_split(text, chr(10))) as text from d)"
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.replace("text", F.lit(", "), F.lit(" (  ")), F.lit(". "), F.lit(")\n\n \n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def draft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drafts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("index", "text"))
+
+
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("index", "text"))
 
@@ -33,9 +46,9 @@ def marks(rows: DataFrame, pattern: str, severity: str, suggestion) -> DataFrame
     return P.matches(rows, pattern, "format", severity, suggestion)
 
 
-@R.query(MATCH_SQL.format(lines=LINES_SQL, p=SPACES.replace(r"\t", "\t")))
+@R.query(MATCH_SQL.format(lines=DRAFTS_SQL, p=SPACES.replace(r"\t", "\t")))
 def space_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marks(line_rows(spark, sf_dir), SPACES, "warning", F.lit(" ")).select("doc_id", "index", "start", "end", "original")
+    return marks(draft_rows(spark, sf_dir), SPACES, "warning", F.lit(" ")).select("doc_id", "index", "start", "end", "original")
 
 
 @R.query(MATCH_SQL.format(lines=LINES_SQL, p=MARKS))
@@ -43,23 +56,29 @@ def dup_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks(line_rows(spark, sf_dir), MARKS, "error", F.left("original", F.lit(1))).select("doc_id", "index", "start", "end", "original")
 
 
-@R.query("""select doc_id, (length(text) - length(translate(text, '([{', '')))::bigint as n_open, (length(text) - length(translate(text, ')]}', '')))::bigint as n_close from documents
-    where length(text) - length(translate(text, '([{', '')) <> length(text) - length(translate(text, ')]}', ''))""")
+@R.query(f"""with {DRAFTS_SQL} select doc_id, (length(text) - length(translate(text, '([{{', '')))::bigint as n_open, (length(text) - length(translate(text, ')]}}', '')))::bigint as n_close from d
+    where length(text) - length(translate(text, '([{{', '')) <> length(text) - length(translate(text, ')]}}', ''))""")
 def bracket_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with more opening than closing brackets, or fewer."""
+    """Drafts with more opening than closing brackets, or fewer."""
     count = lambda marks: (F.length("text") - F.length(F.translate("text", marks, ""))).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", count("([{").alias("n_open"), count(")]}").alias("n_close")).filter("n_open <> n_close")
+    return drafts(spark, sf_dir).select("doc_id", count("([{").alias("n_open"), count(")]}").alias("n_close")).filter("n_open <> n_close")
 
 
-@R.query()
+@R.query(f"""with recursive {DRAFTS_SQL}, c as (select doc_id, index, unnest(range(0, length(text))) as i, unnest(string_split(text, '')) as c from l where regexp_matches(text, '[()]')),
+    b as (select doc_id, index, i, c, row_number() over (partition by doc_id, index order by i) as n from c where c in ('(', ')')),
+    s as (select doc_id, index, n, case when c = '(' then [i] else []::bigint[] end as o, case when c = '(' then []::bigint[] else [i] end as bad from b where n = 1
+        union all select b.doc_id, b.index, b.n, case when c = '(' then list_append(o, i) else o[: len(o) - 1] end, case when c = ')' and len(o) = 0 then list_append(bad, i) else bad end
+        from s join b on b.doc_id = s.doc_id and b.index = s.index and b.n = s.n + 1),
+    e as (select doc_id, index, list_concat(o, bad) as x from s qualify row_number() over (partition by doc_id, index order by n desc) = 1)
+    select doc_id, index, x::int as start, (x + 1)::int as "end" from (select doc_id, index, unnest(x) as x from e)""")
 def bracket_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.bracket_issues(line_rows(spark, sf_dir), "()[]{}")
+    return P.bracket_issues(draft_rows(spark, sf_dir), "()[]{}").select("doc_id", "index", "start", "end")
 
 
-@R.query(f"""with {LINES_SQL}, b as (select doc_id, index, index - row_number() over (partition by doc_id order by index) as i from l where trim(text, ' ' || chr(9) || chr(13)) = '')
+@R.query(f"""with {DRAFTS_SQL}, b as (select doc_id, index, index - row_number() over (partition by doc_id order by index) as i from l where trim(text, ' ' || chr(9) || chr(13)) = '')
     select doc_id, min(index) as first, count(*) as n from b group by doc_id, i having count(*) >= 2""")
 def empty_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.empty_runs(line_rows(spark, sf_dir).withColumn("in_table", F.lit(False)))
+    return P.empty_runs(draft_rows(spark, sf_dir).withColumn("in_table", F.lit(False)))
 
 
 #: A word list and names that overlap each other.
@@ -115,33 +134,59 @@ def citation_extract_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.citations(rows).withColumn("paragraphs", F.array_join(F.col("paragraphs").cast("array<string>"), ","))
 
 
+RUNS = r"[ \t,;:.!?]{2,}"
+
+
 def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_rows(spark, sf_dir)
+    rows = draft_rows(spark, sf_dir)
     found = marks(rows, SPACES, "warning", F.lit(" ")).unionByName(marks(rows, MARKS, "error", F.left("original", F.lit(1)))).withColumn("source", F.lit("rule"))
-    return found.unionByName(marks(rows, r"[ \t,;:.!?]{2,}", "warning", F.left("original", F.lit(1))).withColumn("source", F.lit("model")))
+    return found.unionByName(marks(rows, RUNS, "warning", F.left("original", F.lit(1))).withColumn("source", F.lit("model")))
 
 
-@R.query()
+def found_sql(p: str, severity: str, source: str, weak: int) -> str:
+    p = p.replace(r"\t", "\t")
+    return f"""select doc_id, index, e - length(m) as start, e as "end", '{severity}' as severity, '{source}' as source, {weak} as weak from (
+        select doc_id, index, m, sum(length(gap) + length(m)) over (partition by doc_id, index order by n)::bigint as e from (select doc_id, index, unnest(regexp_extract_all(text, '{p}')) as m,
+        unnest(list_slice(string_split_regex(text, '{p}'), 1, len(regexp_extract_all(text, '{p}')))) as gap, generate_subscripts(regexp_extract_all(text, '{p}'), 1) as n from l))"""
+
+
+@R.query(f"""with recursive {DRAFTS_SQL}, i as ({found_sql(SPACES, 'warning', 'rule', -1)} union all {found_sql(MARKS, 'error', 'rule', -3)} union all {found_sql(RUNS, 'warning', 'model', 0)}),
+    r as (select *, case when start < max("end") over (partition by doc_id, index order by start, "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from i),
+    g as (select *, sum(new) over (partition by doc_id, index order by start, "end" rows between unbounded preceding and current row) as run from r),
+    q as (select *, row_number() over (partition by doc_id, index, run order by weak, start, "end") as n from g),
+    t as (select doc_id, index, run, n, [{{'s': start, 'e': "end"}}] as taken, true as ok from q where n = 1
+        union all select doc_id, index, run, n, case when clash then taken else list_append(taken, {{'s': start, 'e': "end"}}) end, not clash from (select q.doc_id, q.index, q.run, q.n, q.start, q."end", t.taken,
+            len(list_filter(t.taken, lambda y: y.s < q."end" and q.start < y.e)) > 0 as clash from t join q on q.doc_id = t.doc_id and q.index = t.index and q.run = t.run and q.n = t.n + 1))
+    select doc_id, index, start::int as start, "end"::int as "end", 'format' as category, severity, source, concat_ws('-', 'format', index, start, "end") as id from t join q using (doc_id, index, run, n) where ok""")
 def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of three rules in the drafts, the stronger of those that overlap."""
     return P.merge_issues(all_issues(spark, sf_dir).drop("original", "suggestion"))
 
 
-@R.query(f"with {LINES_SQL} select doc_id, index, regexp_replace(text, '{SPACES.replace(chr(92) + 't', chr(9))}', ' ', 'g') as text from l")
+@R.query(f"with {DRAFTS_SQL} select doc_id, index, regexp_replace(text, '{SPACES.replace(chr(92) + 't', chr(9))}', ' ', 'g') as text from l")
 def apply_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_rows(spark, sf_dir)
+    rows = draft_rows(spark, sf_dir)
     return P.apply_issues(rows, marks(rows, SPACES, "warning", F.lit(" ")))
 
 
-@R.query()
+def packed_sql(most_size: int, most_items: int) -> str:
+    full = f"f.s + r.s > {most_size} or f.n >= {most_items}"
+    return f"""with recursive {LINES_SQL}, r as (select doc_id, index, length(text) as s from l),
+    f as (select doc_id, index, s, 0 as pack, 1 as n from r where index = 0
+        union all select r.doc_id, r.index, case when {full} then r.s else f.s + r.s end, case when {full} then f.pack + 1 else f.pack end, case when {full} then 1 else f.n + 1 end from f join r on r.doc_id = f.doc_id and r.index = f.index + 1)
+    select doc_id, index, pack from f"""
+
+
+@R.query(packed_sql(1800, 1 << 30))
 def pack_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document in sections of at most 1800 characters."""
     return P.packed(line_rows(spark, sf_dir).withColumn("size", F.length("text")), "doc_id", "index", "size", 1800)
 
 
-@R.query()
+@R.query(packed_sql(4000, 24))
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source in batches of at most 24 texts and 4000 characters."""
-    return P.packed(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 4000, 24)
+    """Lines of a document in batches of at most 24 lines and 4000 characters."""
+    return P.packed(line_rows(spark, sf_dir).withColumn("size", F.length("text")), "doc_id", "index", "size", 4000, 24)
 
 
 @R.query(f"with {LINES_SQL}, t as (select doc_id, index, sum(ceil(length(text) / 4)::bigint) over (partition by doc_id order by index)::bigint as used from l) select * from t where used <= 200")

@@ -14,10 +14,9 @@ R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-#: The first five distinct words of each benchmark item.
+#: The distinct words of each benchmark item.
 TERMS_SQL = f"""
-    bq as (select item_id as query_id, unnest({WORDS}) as term, generate_subscripts({WORDS}, 1) as pos from benchmark),
-    terms as (select query_id, term from (select query_id, term, min(pos) as pos from bq group by 1, 2) qualify row_number() over (partition by query_id order by pos) <= 5),"""
+    terms as (select distinct item_id as query_id, unnest({WORDS}) as term from benchmark),"""
 POSTINGS_SQL = f"p as (select term, doc_id, count(*) as tf from (select doc_id, unnest({WORDS}) as term from documents) group by 1, 2),"
 BM25_SQL = """
     len as (select doc_id, sum(tf) as len from p group by 1), st as (select count(*) as n, avg(len) as av from len),
@@ -31,7 +30,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(T.words(F.col("text"))), 1, 5)).alias("term"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
 
 
 def keyword(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
@@ -63,7 +62,7 @@ TOP_SQL = "select query_id, doc_id, rank, round(score * 10000)::bigint as points
 
 @R.query(f"with {TERMS_SQL}{POSTINGS_SQL}{BM25_SQL.format(where='').rstrip(',')} select x.query_id, x.doc_id, x.rank, x.points, d.lang, d.source from ({TOP_SQL}) x join documents d using (doc_id)")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best documents for each benchmark item's first words, with language and source."""
+    """Ten best documents for each benchmark item's words, with language and source."""
     hits = with_points(S.ranked(keyword(spark, sf_dir), 10, "doc_id"))
     return hits.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
 

@@ -16,8 +16,11 @@ QUERIES, ORACLE_SQL = R.queries, R.sql
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share; a local one only on a local master, where none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

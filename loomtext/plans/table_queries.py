@@ -17,11 +17,11 @@ def sha_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.content_originals(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-@R.query("select l_orderkey, l_linenumber, o_orderstatus, c_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_linenumber = 1")
+@R.query("select l_orderkey, l_linenumber, o_orderstatus, c_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey")
 def hit_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-way inner join of hits with their parents and owners."""
     l, o, c = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
-    hits = l.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber")
+    hits = l.select("l_orderkey", "l_linenumber")
     rows = hits.join(o.select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.join(c.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "o_orderstatus", "c_name")
 
@@ -121,15 +121,14 @@ def merge_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""with c as (select user_id, event_type, max(ts) as t from events group by 1, 2), now as (select max(ts) as now from events),
-    w as (select distinct user_id from events), k as (select distinct event_type from events)
-    select user_id, event_type, coalesce(t >= now - interval 3 days, false) as hit from w cross join k cross join now left join c using (user_id, event_type)""")
+    w as (select distinct user_id + 1 as user_id, event_type from events)
+    select user_id, event_type, coalesce(t >= now - interval 3 days, false) as hit from w cross join now left join c using (user_id, event_type)""")
 def cache_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which (user, kind) has an entry of the last three days before the end of the table."""
+    """Which kinds that the user with the number before has do have an entry of the last three days of the table."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
     now = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
     cache = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("created_at")).withColumn("result", F.lit(True))
-    kinds = e.select("event_type").distinct()
-    wanted = e.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*(F.lit(r[0]) for r in kinds.collect()))))
+    wanted = e.select((F.col("user_id") + 1).alias("user_id"), "event_type").distinct()
     return O.cached(wanted, cache, ["user_id", "event_type"], now, 3).select("user_id", "event_type", F.coalesce("result", F.lit(False)).alias("hit"))
 
 
@@ -189,10 +188,10 @@ def judge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("case_id", F.round(F.col("confidence") * 10000).cast("long").alias("points"), "hard_passed", "n_failed", "passed")
 
 
-@R.query("""with p as (select vec_id, list_transform(embedding[1:5], lambda x: greatest(x::double, 0)) as p from embeddings), s as (select vec_id, p, list_sum(p) as t from p)
-    select vec_id, case when t > 0 then round((p[2] + 2 * p[3] + 3 * p[4] + 4 * p[5]) / t * 10000)::bigint else -1 end as points from s""")
+@R.query("""with p as (select vec_id, list_transform(embedding, lambda x: greatest(x::double, 0)) as p from embeddings), s as (select vec_id, p, list_sum(p) as t from p)
+    select vec_id, case when t > 0 then round(list_sum(list_transform(p, lambda x, i: x * (i - 1))) / t * 10000)::bigint else -1 end as points from s""")
 def expected_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))
+    p = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(F.round(O.expected_level(p) * 10000).cast("long"), F.lit(-1)).alias("points"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -91,6 +92,24 @@ def test_chunks_cover_and_keep_sizes(spark):
     assert {tuple(r["path"]) for r in out} >= {("第一章 总则",), ("第一章 总则", "第一节 范围"), ("第二章 附则",)}
 
 
+def test_cuts_take_the_best_places():
+    text = "aaa bbb. ccc, ddd.\neee fff. ggg" * 3
+    for most in (1, 5, 12, 20, 40, 500):
+        parts = C.spans(text, most)
+        assert all(0 < b - a <= most for a, b in parts) and all(b <= c for (_, b), (c, _) in zip(parts, parts[1:], strict=False))
+        assert "".join(text[a:b] for a, b in parts).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    assert [text[a:b] for a, b in C.spans("one two.\nthree, four. five", 15)] == [] or [("one two.\nthree, four. five")[a:b] for a, b in C.spans("one two.\nthree, four. five", 20)] == ["one two.", "three, four. five"]
+    assert C.spans("x" * 25, 10) == [(0, 10), (10, 20), (20, 25)] and C.spans(" \n ", 10) == [] and C.spans("", 3) == []
+
+
+def test_segments_and_shared_path(spark):
+    rows = [(1, 0, "# A", 1), (1, 1, "## B", 2), (1, 2, "x", None), (1, 3, "## C", 2), (1, 4, "", None), (1, 5, "y", None), (2, 0, None, None), (3, 0, " ", None)]
+    found = C.segments(spark.createDataFrame(rows, "doc_id long, index int, text string, level int")).orderBy("doc_id", "segment").collect()
+    assert [(r["doc_id"], r["start"], r["path"], r["text"]) for r in found] == [(1, 0, ["# A", "## B"], "# A\n## B\nx"), (1, 11, ["# A", "## C"], "## C\n\ny"), (2, 0, [], ""), (3, 0, [], " ")]
+    out = C.chunks(spark.createDataFrame(rows, "doc_id long, index int, text string, level int")).orderBy("chunk_no").collect()
+    assert [(r["doc_id"], r["chunk_no"], r["parent_no"], r["parent_path"], r["path"]) for r in out] == [(1, 0, 0, ["# A"], ["# A", "## B"]), (1, 1, 0, ["# A"], ["# A", "## C"])]
+
+
 def test_short_document_is_one_parent(spark):
     rows = spark.createDataFrame([(1, 0, "# A", 1), (1, 1, "x", None), (1, 2, "# B", 1), (1, 3, "y", None)], "doc_id long, index int, text string, level int")
     out = C.chunks(rows).collect()
@@ -187,6 +206,28 @@ def test_issue_merge_and_apply(spark):
     assert [r["text"] for r in out] == ["abxghyj", "q"]
 
 
+def test_issue_merge_against_plain(spark):
+    """Random issues against the rule said plainly: strongest first, then by place, none that overlaps a taken one."""
+    r = random.Random(5)
+    rows = {(1, r.randrange(3), a, a + r.choice([0, 1, 2, 5]), r.choice(["format", "typo"]), r.choice(["error", "warning"]), r.choice(["rule", "model"])) for a in (r.randrange(40) for _ in range(150))}
+    weak = lambda x: -(2 * (x[5] == "error") + (x[6] == "rule"))
+    taken: list[tuple] = []
+    for x in sorted(rows, key=lambda x: (weak(x), x[2:])):
+        if x[2] == x[3]:
+            clash = any(y[1:5] == x[1:5] for y in taken)
+        else:
+            clash = any(y[1] == x[1] and y[2] < y[3] and y[2] < x[3] and x[2] < y[3] for y in taken)
+        if not clash:
+            taken.append(x)
+    got = P.merge_issues(spark.createDataFrame(sorted(rows), "doc_id long, index int, start int, end int, category string, severity string, source string")).collect()
+    assert sorted(tuple(x)[:7] for x in got) == sorted(taken) and len({x["id"] for x in got}) == len(got)
+
+
+def test_bracket_fold(spark):
+    rows = spark.createDataFrame([(1, 0, "a (b] c) ) 《x"), (1, 1, "（ok）"), (1, 2, None)], "doc_id long, index int, text string")
+    assert sorted((r["index"], r["start"], r["original"]) for r in P.bracket_issues(rows, "()[]（）《》").collect()) == [(0, 4, "]"), (0, 9, ")"), (0, 11, "《")]
+
+
 def test_packs(spark):
     rows = spark.createDataFrame([("g", i, s) for i, s in enumerate([5, 5, 5, 30, 1, 1, 1])], "g string, i int, s int")
     assert [r["pack"] for r in P.packed(rows, "g", "i", "s", 10, 2).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3, 4]
