@@ -26,12 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests, one machine)."""
+    """The folder that driver and executors share; a temporary one only on a local master where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return (path or tempfile.mkdtemp(prefix="loomtext-")).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

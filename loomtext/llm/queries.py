@@ -23,7 +23,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled document of the page's id is its outcome: good if of quality and not toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels, URL_RULES)
+    out = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels, URL_RULES)
+    return out.withColumns({c: F.round(c, 6) for c in ("good_mean", "good_upper")})
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_toxicity, op4_near_duplicates, op5_token_records, op6_packing, op7_quality_rules, op8_fingerprints, op9_suffix_dedup, op10_byte_bpe)
 }
 
+def strength_sql(rows: str, good: str, n: str, prior: str) -> str:
+    """A prior's strength over rows, as url_filter.strength has it."""
+    p, q, (least, most) = prior, f"{good} / {n}", url_filter.STRENGTH
+    return f"""(select case when coalesce(sum({n}), 0) = 0 or sum({n} * {p} * (1 - {p})) = 0 then {most} else
+        least({most}, greatest({least}, 1 / greatest(1e-9, (sum({n} * ({q} - {p}) ** 2) - sum({p} * (1 - {p}))) / greatest(sum({n} * {p} * (1 - {p})) - sum({p} * (1 - {p})), 1e-9)) - 1)) end
+        from {rows} where {n} > 1)"""
+
+
+LISTED = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+RULE_CASES = {r: f"(host = '{r.split('/')[0]}' or ends_with(host, '.{r.split('/')[0]}')) and starts_with(path, '/{r.split('/', 1)[1]}')" for r in sorted(URL_RULES, key=len, reverse=True)}
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": rf"""
+        with u as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, strpos(url, '://') + 3) else '' end r from pages),
+        p as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path from u),
+        m as (select doc_id page_id, count(*) m, count(*) filter (where quality = 1 and toxic = 0) g from labels where doc_id is not null and quality is not null and toxic is not null group by 1),
+        c as (select host, coalesce(sum(m), 0)::double n, coalesce(sum(g), 0)::double g, regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\d*$', '') bare from p left join m using (page_id) group by host),
+        l as (select *, case when regexp_full_match(bare, '\d{{1,3}}(\.\d{{1,3}}){{3}}|\[.*\]') or not contains(bare, '.') then [bare] else string_split(bare, '.') end l from c),
+        k as (select *, case when len(l) >= 4 and array_to_string(l[-4:], '.') in ({LISTED}) then 4 when len(l) >= 3 and array_to_string(l[-3:], '.') in ({LISTED}) then 3
+            when len(l) >= 2 and array_to_string(l[-2:], '.') in ({LISTED}) then 2 else 1 end k from l),
+        h as (select host, n, g, array_to_string(l[-k:], '.') suffix, array_to_string(l[-least(k + 1, len(l)):], '.') as dom from k),
+        top as (select (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 2) top from h),
+        s as (select suffix, sum(n) sn, sum(g) sg, any_value(top) top from h, top group by suffix), ks as (select {strength_sql("s", "sg", "sn", "top")} ks),
+        sr as (select suffix, (sg + ks * top) / (sn + ks) srate from s, ks),
+        d as (select dom, suffix, sum(n) dn, sum(g) dg, any_value(srate) srate from h join sr using (suffix) group by dom, suffix), kd as (select {strength_sql("d", "dg", "dn", "srate")} kd),
+        dr as (select dom, suffix, (dg + kd * srate) / (dn + kd) drate from d, kd),
+        x as (select * from h join dr using (dom, suffix)), kh as (select {strength_sql("x", "g", "n", "drate")} kh),
+        ab as (select host, g + kh * drate a, n - g + kh * (1 - drate) b from x, kh),
+        post as (select host, a / (a + b) mean, a / (a + b) + 1.645 * sqrt(a * b / (a + b) / (a + b) / (a + b + 1)) upper from ab),
+        j as (select page_id, host, path, case {" ".join(f"when {fits} then '{r}'" for r, fits in RULE_CASES.items())} end as rule, mean, upper, top from p join post using (host), top)
+        select page_id, host, path, rule, case {" ".join(f"when rule = '{r}' then '{v}'" for r, v in URL_RULES.items())} when upper < top then 'block' else 'allow' end verdict,
+            round(mean, 6) good_mean, round(upper, 6) good_upper from j""",
     "op1_substring_dedup": r"""
         with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
         s as (select doc_id, w, unnest(range(1, len(w) - 48)) i from w where len(w) >= 50),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,13 +61,71 @@ def test_url_query(spark, sf_dir):
     assert url_filter.judge(empty, spark.createDataFrame([], "page_id long, good boolean"), queries.URL_RULES).collect() == []
 
 
+def plain_domain(host: str, listed: set[str]) -> tuple[str, str]:
+    bare = re.sub(r":\d*$", "", re.sub("^[^@]*@", "", host))
+    labels = bare.split(".")
+    if len(labels) == 1 or re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}|\[.*\]", bare):
+        return bare, bare
+    k = max((k for k in range(2, url_filter.LABELS + 1) if k <= len(labels) and ".".join(labels[-k:]) in listed), default=1)
+    return ".".join(labels[-k - 1 :]), ".".join(labels[-k:])
+
+
 def test_domains(spark):
-    hosts = ["a.b.example.co.uk", "example.co.uk", "co.uk", "x.de", "de", "", "a.x.de", "x.com.de"]
-    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", *(c.alias(n) for c, n in zip(url_filter.domain_of(F.col("h")), ("d", "s"), strict=True))).collect()
-    got = {r["h"]: (r["d"], r["s"]) for r in rows}
-    assert got["a.b.example.co.uk"] == got["example.co.uk"] == ("example.co.uk", "co.uk")
-    assert got["a.x.de"] == got["x.de"] == ("x.de", "de")
-    assert got["de"][1] == "de" and got[""] == ("", "")
+    hosts = ["a.b.example.co.uk", "example.co.uk", "co.uk", "x.de", "de", "", "a.x.de", "x.com.de", "a.or.jp", "b.a.or.jp", "a.github.io", "site.gouv.fr", "1.2.3.4", "1.2.3.4:80", "[::1]:80", "u:p@a.example.com:8080", "a.b.c.d.own.list.x", "1.2.3.com"]
+    listed = {*url_filter.SUFFIXES, "own.list.x"}
+    rows = url_filter.with_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), spark.createDataFrame([(x,) for x in listed], "suffix string")).collect()
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in rows}
+    assert got == {h: plain_domain(h, listed) for h in hosts}
+    assert got["a.or.jp"] == ("a.or.jp", "or.jp") and got["site.gouv.fr"] == ("site.gouv.fr", "gouv.fr") and got["1.2.3.4:80"] == ("1.2.3.4", "1.2.3.4")
+    assert got["u:p@a.example.com:8080"] == ("example.com", "com") and got["a.b.c.d.own.list.x"] == ("d.own.list.x", "own.list.x")
+
+
+def test_posterior_against_plain(spark):
+    """Posterior and verdict of every page against the same formulas over plain dictionaries."""
+    r = random.Random(8)
+    hosts = [f"h{i}.d{i % 7}.{('de', 'co.uk', 'org')[i % 3]}" for i in range(40)]
+    urls = [f"http://{r.choice(hosts[: r.randrange(1, 41)])}/{i}" for i in range(1500)]
+    labels = [(i, r.random() < 0.2 + 0.6 * (len(u.split("/")[2].split(".")[0]) % 2)) for i, u in enumerate(urls) if r.random() < 0.6]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean"), {}).collect()
+    groups: dict[str, list[int]] = {h: [0, 0] for h in {u.split("/")[2] for u in urls}}
+    for i, good in labels:
+        groups[urls[i].split("/")[2]][0] += good
+        groups[urls[i].split("/")[2]][1] += 1
+    names = {h: plain_domain(h, set(url_filter.SUFFIXES)) for h in groups}
+
+    def level(key):
+        out: dict = {}
+        for h, (g, n) in groups.items():
+            x = out.setdefault(key(h), [0, 0])
+            x[0] += g
+            x[1] += n
+        return out
+
+    def strength(counts, prior):
+        rows = [(g, n, prior(k)) for k, (g, n) in counts.items() if n > 1]
+        if not rows or not sum(n * p * (1 - p) for _, n, p in rows):
+            return url_filter.STRENGTH[1]
+        s, v, w = sum(n * (g / n - p) ** 2 for g, n, p in rows), sum(p * (1 - p) for *_, p in rows), sum(n * p * (1 - p) for _, n, p in rows)
+        return min(max(1 / max(1e-9, (s - v) / max(w - v, 1e-9)) - 1, url_filter.STRENGTH[0]), url_filter.STRENGTH[1])
+
+    top = (sum(g for g, _ in groups.values()) + 1) / (sum(n for _, n in groups.values()) + 2)
+    suffixes = level(lambda h: names[h][1])
+    k = strength(suffixes, lambda _: top)
+    suffix_rate = {s: (g + k * top) / (n + k) for s, (g, n) in suffixes.items()}
+    domains = level(lambda h: names[h])
+    k = strength(domains, lambda d: suffix_rate[d[1]])
+    domain_rate = {d: (g + k * suffix_rate[d[1]]) / (n + k) for d, (g, n) in domains.items()}
+    k = strength(groups, lambda h: domain_rate[names[h]])
+    blocked = 0
+    for x in out:
+        g, n = groups[x["host"]]
+        a, b = g + k * domain_rate[names[x["host"]]], n - g + k * (1 - domain_rate[names[x["host"]]])
+        mean = a / (a + b)
+        upper = mean + 1.645 * math.sqrt(mean * (1 - mean) / (a + b + 1))
+        assert x["good_mean"] == pytest.approx(mean) and x["good_upper"] == pytest.approx(upper)
+        assert x["verdict"] == ("block" if upper < top else "allow")
+        blocked += upper < top
+    assert 0 < blocked < len(out)
 
 
 def test_toxicity_held_out(spark):
