@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import alone, blocks, id_text, stored
 
-#: Documented bounds of the fit: labelled documents, and words with a weight.
-SAMPLE, VOCABULARY = 12_000, 400
+#: Documented bound of the fit: labelled documents.
+SAMPLE = 12_000
 GRADES = 4
 #: Features are words, and their beginnings of these lengths (marked by "-"), which stand for a stem.
 PREFIXES = (4, 5, 6)
@@ -62,11 +62,12 @@ def unlike(rows: DataFrame, rounds: int = 3) -> DataFrame:
     return rows.drop("_w")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, least_docs: int = 6, least_z: float = 6.0, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_docs: int = 6, least_z: float = 6.0, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
     """Fit on at most `sample` labelled documents, those of the least hashed ids, without their near copies.
 
     Words with a weight are those in at least least_docs documents whose share of toxic ones lies least_z standard
-    deviations above the share of all. Labels without an id or value, of unknown documents, or repeated ones do not
+    deviations above the share of all. Where none stands out so far, as with few labels, the model has no weights and every
+    document stays: too few signs are no ground to drop one. Labels without an id or value, of unknown documents, or repeated ones do not
     count. Without toxic or without other labelled documents, the model has no weights and gives every document grade 0.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(toxic_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -83,8 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     rate = toxic / (toxic + clean)
     table = counts.groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).filter(F.col("n") >= least_docs)
     z = (F.col("t") - rate * F.col("n")) / F.sqrt(F.col("n") * rate * (1 - rate))
-    chosen = table.select("word", z.alias("z")).filter(F.col("z") > least_z).orderBy(F.desc("z"), "word").limit(vocabulary)
-    names = sorted(r["word"] for r in chosen.collect())
+    scored = table.select("word", z.alias("z")).filter(F.col("z") > least_z)
+    names = sorted(r["word"] for r in scored.collect())  # of the sample's words
     if not names:
         return nothing
     column = {w: i for i, w in enumerate(names)}
@@ -153,7 +154,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.2, **cols: str) ->
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.2, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not toxic. A null text is not."""
+    """The rows of docs, all columns, that are not toxic.
+
+    A null or empty text is not toxic; rows without an id and repeated rows are judged each; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
