@@ -14,20 +14,27 @@ from loomtext.llm import common, neardup, quality, substring, tokens, toxicity
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that policy v1 keeps. A null, empty or blank text has few words and goes; a very long text is measured
+    whole; repeated rows and rows without an id are judged each; an empty table gives none."""
     return quality.accepted(docs, "v1")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model is fitted on labelled documents that are still there."""
+    """Documents below the threshold, by a model fitted on labelled documents that are still there. A null or empty text
+    stays; a very long text is scored whole; repeated rows and rows without an id are judged each; an empty table gives none."""
     return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near copies. A text without words is in no group and stays; rows
+    without an id go; rows repeated with a kept id all stay; an empty table gives none."""
     return docs.join(neardup.near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A text that loses nothing stays as it is, spaces and lines included."""
+    """A text that loses nothing stays as it is, spaces and lines included; one that loses words has those left joined by
+    spaces. A null or empty text has no words and stays; a row repeated with its id counts once; rows without an id go; an empty
+    table gives none; further columns stay, whatever their names."""
     out = substring.dedup(docs, carry=tuple(docs.columns))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars").cast("long"))}
@@ -35,6 +42,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents. A null or empty text is the end id alone; a very long one is cut over many sequences;
+    repeated rows are packed each; rows without an id go; an empty table gives no pieces."""
     return tokens.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
