@@ -43,20 +43,21 @@ def article_lines(html: Column) -> Column:
     """Lines of the article: frames dropped, block ends as line ends, blank lines and repeats of the line before gone."""
     lines = F.split(decode(untagged(F.regexp_replace(bare(html, FRAME), BLOCK_END, "\n"))), "\n")
     lines = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (x != F.get(lines, i - 1)), x)), lambda x: x.isNotNull())
+    before = F.concat(F.array(F.lit(None).cast("string")), lines)
+    return F.filter(F.zip_with(lines, before, lambda x, b: F.when(b.isNull() | (x != b), x)), lambda x: x.isNotNull())
 
 
-def article(pages: DataFrame) -> DataFrame:
-    """page_id, title, text: from after the first line that holds the title."""
-    rows = pages.select("page_id", article_title(F.col("html")).alias("title"), article_lines(F.col("html")).alias("lines"))
+def article(pages: DataFrame, *keep: Column) -> DataFrame:
+    """page_id, title, text: from after the first line that holds the title; and further columns of the pages."""
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = pages.select("page_id", *(c.alias(n) for c, n in zip(keep, names, strict=True)), article_title(F.col("html")).alias("title"), article_lines(F.col("html")).alias("lines"))
     at = F.coalesce(F.array_position(F.transform("lines", lambda x: F.contains(x, F.col("title"))), True), F.lit(0))
-    return rows.select("page_id", "title", F.array_join(F.slice("lines", at.cast("int") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n").alias("text"))
+    return rows.select("page_id", "title", F.array_join(F.slice("lines", at.cast("int") + 1, F.greatest(F.size("lines"), F.lit(1))), "\n").alias("text"), *names)
 
 
 def accepted(pages: DataFrame, least_article: int = 50, least_excerpt: int = 20) -> DataFrame:
     """page_id, text, from_article: the article, or the page's text where it is too short; pages with too little go."""
-    art = article(pages).select("page_id", F.col("text").alias("article"))
-    rows = pages.select("page_id", page_text(F.col("html")).alias("page")).join(art, "page_id")
+    rows = article(pages, page_text(F.col("html"))).select("page_id", F.col("text").alias("article"), F.col("_k0").alias("page"))
     good = F.length("article") >= least_article
     return rows.select("page_id", F.when(good, F.col("article")).otherwise(F.col("page")).alias("text"), good.alias("from_article")).filter(F.length("text") >= least_excerpt)
 
