@@ -42,11 +42,10 @@ def keyword_scores(query_terms: DataFrame, index: DataFrame, id_col: str = "chun
     """
     weights = weights or FIELD_WEIGHTS
     weight = F.coalesce(*(F.when(F.col("field") == f, F.lit(w)) for f, w in weights.items()), F.lit(1.0))
-    weighted = index.groupBy("term", id_col).agg(F.sum(weight * F.col("tf")).alias("tf"))
+    wanted = query_terms.select("term").distinct()
+    hits = index.join(wanted, "term", "left_semi").groupBy("term", id_col).agg(F.sum(weight * F.col("tf")).alias("tf"))
     lengths = index.groupBy(id_col).agg(F.sum(weight * F.col("tf")).alias("len"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    wanted = query_terms.select("term").distinct()
-    hits = weighted.join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if only is not None:
         hits = hits.join(only.select(id_col).distinct(), id_col, "left_semi")
