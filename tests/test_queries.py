@@ -10,6 +10,10 @@ from loomtext import queries
 from . import oracle
 
 
+#: Without rows on purpose, or on the smallest tables, where every document has a vector.
+EMPTY = ("bm25_no_documents", "pending_embeddings")
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return oracle.connect(sf_dir)
@@ -20,7 +24,7 @@ def test_query(spark, sf_dir, con, name):
     df = __spark_entry__.queries()[name](spark, sf_dir)
     if name in queries.ORACLE_SQL:
         oracle.same(df, con, queries.ORACLE_SQL[name])
-        assert name == "bm25_no_documents" or df.count() > 0
+        assert name in EMPTY or df.count() > 0
     else:
         assert df.columns and df.count() > 0
 
