@@ -120,7 +120,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Mapping[str, str], thresho
     marks = labels.filter("page_id is not null and good is not null").groupBy("page_id").agg(F.count("*").alias("m"), F.sum(F.col("good").cast("long")).alias("g"))
     counts = parsed.select("page_id", "host").join(marks, "page_id", "left").groupBy("host").agg(F.count("*").alias("n_pages"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_labelled"), F.coalesce(F.sum("g"), F.lit(0)).alias("n_good"))
     if suffixes is None:
-        suffixes = pages.sparkSession.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+        suffixes = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SUFFIXES))).alias("suffix"))
     hosts = stored(with_domains(counts, suffixes), "hosts")
     top = overall(hosts)
     mean = F.col("a") / (F.col("a") + F.col("b"))
