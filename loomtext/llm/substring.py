@@ -59,8 +59,9 @@ def shared_anchors(texts: DataFrame, window: int, cover: tuple[int, ...], period
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[at]), pa.array(local[at].astype(np.int32))], ["h", "doc_id", "at"])
 
     rows = texts.select("doc_id", "text").mapInArrow(anchors, "h long, doc_id long, at int")
-    by = W.partitionBy("h")
-    return rows.withColumns({"lo": F.min("doc_id").over(by), "hi": F.max("doc_id").over(by)}).filter("lo < hi").select("doc_id", "at")
+    # counted before the shuffle, a row a key; the join back is one that adaptive execution can split at a hot key
+    shared = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    return rows.join(shared, "h", "left_semi").select("doc_id", "at")
 
 
 def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", cover: tuple[int, ...] = COVER, period: int = PERIOD, carry: tuple[str, ...] = ()) -> DataFrame:
