@@ -96,8 +96,8 @@ def dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[starts]), pa.array(local.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
     runs = texts.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(windows, "h1 long, h2 long, doc_id long, start int")
-    # the first text of each run is found by a partial count; ~h1 makes the join deal out its keys anew, as adaptive
-    # execution splits a hot key only where both sides of a join come straight from a shuffle
+    # the first text of each run is found by a partial count; ~h1 makes the join deal out its keys anew, so that
+    # both sides come straight from a shuffle, which adaptive execution needs to split a hot key
     lowest = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     lowest = lowest.select(F.bitwise_not("h1").alias("key"), "h2", "lo")
     first = runs.withColumn("key", F.bitwise_not("h1")).join(lowest, ["key", "h2"]).filter("lo < doc_id")
