@@ -27,8 +27,9 @@ NATIVE: dict[str, str] = {
 }
 FILTERS = (*NATIVE, "E")
 COPY = 1 << FILTERS.index("E")
-#: Text that a task keeps for its own comparisons before it hands its chains on.
-CHAIN_BYTES = 32 << 20
+#: Text that a task keeps for its own comparisons before it hands its chains on, and that a partition of the route is
+#: to have at most, as far as fingerprints spread it.
+CHAIN_BYTES, ROUTE_BYTES = 32 << 20, 64 << 20
 
 ORDERS = tuple("".join(p) for p in itertools.permutations(FILTERS))
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
@@ -116,11 +117,14 @@ def judged(docs: DataFrame, **cols) -> DataFrame:
     """doc_id, part, mask with the bit of exact copies, n (equal rows): non-minimum ids of a text have the bit.
 
     An RDD partitioned by fingerprint and sorted within partitions (the sorter spills to Spark's local folders), so a
-    third of all rows with one text costs one row a task.
+    third of all rows with one text costs one row a task. The bytes of all texts are added up first: an RDD has no
+    adaptive execution, so its partitions are numbered by what they will have to sort.
     """
     spark = docs.sparkSession
-    rows: RDD = measured(docs, **cols).rdd.mapPartitions(_routed)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = measured(docs, **cols)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTE_BYTES))
+    rows: RDD = texts.rdd.mapPartitions(_routed)
     found = rows.repartitionAndSortWithinPartitions(n, lambda key: key[0]).mapPartitions(_judged)
     return spark.createDataFrame(found, "doc_id long, part string, mask int, n long", verifySchema=False)
 
