@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Words that an index leaves out; fixed values.
-STOP_WORDS = (
-    "的 了 和 与 及 或 等 在 是 为 对 由 将 把 被 于 之 其 以 而 并 且 也 都 就 这 那 此 该 各 有 个 第 条 号 款 项 着 从 向 到 按 如 若 则 但 又 还 所 已 我 你 他 她 它 们 "
-    "我们 你们 他们 吗 呢 吧 啊 及其 以及 或者 并且 关于 对于 一个 这个 那个 这些 那些 什么 怎么 如何 哪些 the a an of and or to in on for is are be with by as at"
-).split()
 #: Extensions of files that can be read; fixed values.
 FILE_TYPES = ("pdf", "docx", "doc", "xlsx", "xls", "wps", "ofd", "txt", "md")
 #: Words of a link text that name the act rather than the document; fixed values.
@@ -22,9 +15,6 @@ LINK_WORDS = ("下载", "点击", "查看", "原文", "全文", "附件", "打
 #: How a gap in a draft begins, and who is to fill those that are not asked for; fixed values.
 GAP, AUTHORS = "【待补充", "编制单位"
 SENTENCE_ENDS = "。！？；\\n!?;"
-DIGITS = ("〇○零一二两三四五六七八九", "000122345678 9".replace(" ", ""))
-#: Accented Latin letters and the letter each is without its marks.
-ACCENTED = {c: b for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and (b := d[0]).isascii()}
 
 
 def squeezed(text: Column) -> Column:
@@ -112,32 +102,6 @@ def mentions(text: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(text, t) | ((F.length(t) > 2) & F.exists(pairs(t), part)))
 
 
-def without_accents(text: Column) -> Column:
-    return F.translate(text, "".join(ACCENTED), "".join(ACCENTED.values()))
-
-
-def numeral(text: Column) -> Column:
-    """The number of an Arabic or Chinese numeral below ten thousand; digits alone are read one by one."""
-    digits = F.translate(text, *DIGITS)
-    place = lambda unit, n: F.coalesce(F.when(digits.contains(unit), F.coalesce(F.nullif(F.regexp_extract(digits, f"([0-9]){unit}", 1), F.lit("")).cast("int"), F.lit(1)) * n), F.lit(0))
-    units = place("千", 1000) + place("百", 100) + place("十", 10) + F.coalesce(F.nullif(F.regexp_extract(digits, "([1-9])$", 1), F.lit("")).cast("int"), F.lit(0))
-    return F.when(digits.rlike("[千百十]"), units).otherwise(digits.try_cast("int"))
-
-
-def index_terms(text: Column) -> Column:
-    """Terms of the index: document numbers and ordinals (第n条) in one canonical form, then words, without marks on
-    letters and without stop words."""
-    from ..operators.structure import doc_numbers
-
-    plain = T.normalize(text)
-    numbers = F.transform(doc_numbers(plain), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
-    pattern = "第([0-9一二三四五六七八九十百千零〇○两]+)(条|章|节|编|款|项|部分)"
-    both = F.arrays_zip(F.regexp_extract_all(plain, F.lit(pattern), 1).alias("n"), F.regexp_extract_all(plain, F.lit(pattern), 2).alias("u"))
-    ordinals = F.filter(F.transform(both, lambda x: F.concat(F.lit("第"), numeral(x["n"]).cast("string"), x["u"])), lambda x: x.isNotNull())
-    words = F.filter(T.search_terms(without_accents(text)), lambda w: ~w.isin(*STOP_WORDS))
-    return F.concat(numbers, ordinals, words)
-
-
 # ---- rows -----------------------------------------------------------------------------------------------------------
 def paragraph_range(rows: DataFrame, a: int, b: int) -> DataFrame:
     """Paragraphs from one index to another, both included, in either order."""

@@ -23,16 +23,14 @@ def words(text: Column) -> Column:
 
 
 def search_terms(text: Column) -> Column:
-    """Terms of the index: words without Han, and overlapping pairs (or a single one) of each run of Han characters."""
-    runs = F.regexp_extract_all(F.lower(normalize(text)), F.lit(f"[{HAN}]+|(?:(?![{HAN}])[\\p{{L}}\\p{{N}}])+"), 0)
+    """Words without Han, and overlapping pairs (or a single one) of each run of Han characters; texts without Han, the
+    usual case, are only searched for words."""
+    low = F.lower(normalize(text))
+    runs = F.regexp_extract_all(low, F.lit(f"[{HAN}]+|[\\p{{L}}\\p{{N}}&&[^{HAN}]]+"), 0)
     pairs = lambda run: F.when(
         run.rlike(f"^[{HAN}]{{2,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
     ).otherwise(F.array(run))
-    return F.flatten(F.transform(runs, pairs))
-
-
-def query_terms(text: Column, most: int = 128) -> Column:
-    return F.slice(F.array_distinct(search_terms(text)), 1, most)
+    return F.when(low.rlike(f"[{HAN}]"), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(WORD), 0))
 
 
 def han_count(text: Column) -> Column:

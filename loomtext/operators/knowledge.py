@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.terms import number_matches, query_terms
 from . import search as S
-from .structure import chunks, doc_numbers, heading
+from .index import Index
+from .storage import shared_path
+from .structure import chunks, heading
 
 META = ("title", "doc_number", "issuer", "date")
 
@@ -81,36 +84,56 @@ def chunk_table(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def cited_documents(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents whose number a query names, as it is or with words before it."""
-    found = queries.select("query_id", F.explode(doc_numbers(F.col("text"))).alias("n"))
-    known = catalog.filter("doc_number is not null").select("doc_id", "doc_number", F.regexp_extract("doc_number", r"(〔\d{4}〕\d+号)$", 1).alias("tail"))
-    pairs = found.withColumn("tail", F.regexp_extract("n", r"(〔\d{4}〕\d+号)$", 1)).join(known, "tail")
-    return pairs.filter(F.endswith("n", F.col("doc_number"))).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id): documents whose number a query names, as it is or with words that run into it."""
+    found = queries.select("query_id", F.explode(number_matches(T.normalize(F.col("text")))).alias("m")).select("query_id", "m.number", "m.context")
+    tail = lambda c: F.regexp_extract(c, r"(〔\d{4}〕\d+号)$", 1)
+    known = catalog.filter("doc_number is not null").select("doc_id", "doc_number", tail("doc_number").alias("tail"))
+    pairs = found.withColumn("tail", tail("number")).join(known, "tail")
+    return pairs.filter((F.col("number") == F.col("doc_number")) | F.endswith("context", F.col("doc_number"))).select("query_id", "doc_id").distinct()
 
 
-def search(queries: DataFrame, chunk_rows: DataFrame, catalog: DataFrame, vectors: DataFrame | None = None, only: DataFrame | None = None, limit: int = 30, reranker: Callable | None = None) -> DataFrame:
-    """Hybrid search for a batch of queries (query_id, text, and vector where vectors are given): query_id, position,
+def index_rows(chunk_rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What an index keeps of chunks: body, head (the path), doc (title, number and issuer of the document)."""
+    named = catalog.select("doc_id", F.concat_ws(" ", title_of(F.col("title"), F.col("file_name")), "doc_number", "issuer").alias("doc"))
+    return chunk_rows.join(named, "doc_id").select("chunk_id", "doc_id", F.col("text").alias("body"), F.array_join("path", " ").alias("head"), "doc")
+
+
+def refreshed_index(index: Index, before: DataFrame, after: DataFrame, chunk_rows: DataFrame) -> int:
+    """Bring metadata that changed between two states of the catalog into the index: only the documents whose indexed
+    fields differ are written anew, with the vectors that they have. Returns the batch."""
+    fields = F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("file_name", *META[:3])))
+    old = before.select("doc_id", fields.alias("_h"))
+    changed = after.select("doc_id", fields.alias("_g")).join(old, "doc_id", "left").filter("_h is null or _h <> _g").select("doc_id")
+    gone = before.select("doc_id").join(after.select("doc_id"), "doc_id", "left_anti")
+    return index.update(index_rows(chunk_rows.join(changed, "doc_id", "left_semi"), after), gone=gone, keep_vectors=True)
+
+
+def search(queries: DataFrame, chunk_rows: DataFrame, catalog: DataFrame, vectors: DataFrame | None = None, only: DataFrame | None = None, limit: int = 30, reranker: Callable | None = None, index: Index | None = None, model: str = "") -> DataFrame:
+    """Hybrid search for a batch of queries (query_id, text, and vector where they ask by vector): query_id, position,
     chunk_id, doc_id, title, path, text, parent_text, keyword_rank, vector_rank, score.
 
-    Keyword and vector lists of 50 are fused; chunks of documents that the query cites come first; one chunk a parent;
-    with a reranker the best max(30, limit) are ordered anew and cut. limit 0 stands for 30.
+    index: a stored index of the chunks and of the model's vectors; without one, one is made of chunk_rows and vectors
+    (chunk_id, vector). Keyword and vector lists of 50 are fused; chunks of documents that the query cites come first; one
+    chunk a parent; with a reranker the best max(30, limit) are ordered anew and cut. limit 0 stands for 30.
     """
     limit = limit or 30
-    fields = chunk_rows.join(catalog.select("doc_id", F.concat_ws(" ", title_of(F.col("title"), F.col("file_name")), "doc_number", "issuer").alias("_title")), "doc_id").select("chunk_id", F.col("text").alias("body"), F.array_join("path", " ").alias("head"), F.col("_title").alias("doc"))
-    index = S.postings(fields, {"body": "body", "head": "head", "doc": "doc"})
+    if index is None:
+        index = Index(queries.sparkSession, shared_path(queries.sparkSession, "search"))
+        own = None if vectors is None else vectors.select("chunk_id", "vector").join(chunk_rows.select("chunk_id", "doc_id"), "chunk_id").select("chunk_id", "doc_id", F.lit(model).alias("model"), "vector")
+        index.update(index_rows(chunk_rows, catalog), own)
     ids = None if only is None else chunk_rows.join(only.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id")
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
-    scores = S.keyword_scores(terms, index, only=ids)
+    terms = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
+    scores = index.keyword_scores(terms, only=ids)
     cited = cited_documents(queries, catalog).withColumn("cited", F.lit(True))
     owners = chunk_rows.select("chunk_id", "doc_id", "parent_id")
     # chunks of cited documents fill the list first, the rest follows in order
     marked = scores.join(owners.select("chunk_id", "doc_id"), "chunk_id").join(cited, ["query_id", "doc_id"], "left")
     order = W.partitionBy("query_id").orderBy(F.coalesce("cited", F.lit(False)).desc(), F.desc("score"), "chunk_id")
     keyword = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= S.POOL).select("query_id", "chunk_id", "rank")
-    if vectors is None:
-        vector = keyword.filter("false")
+    if "vector" in queries.columns:
+        vector = index.vector_top(queries.select("query_id", "vector"), model, S.POOL, ids).select("query_id", "chunk_id", "rank")
     else:
-        vector = S.ranked(S.vector_scores(queries.select("query_id", "vector"), vectors.select("chunk_id", "vector"), only=ids), S.POOL, by="dot").select("query_id", "chunk_id", "rank")
+        vector = keyword.filter("false")
     fused = S.fuse(keyword, vector).join(owners, "chunk_id").join(cited, ["query_id", "doc_id"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
     best = S.collapse(fused.drop("parent_id"), owners.select("chunk_id", "parent_id"), max(30, limit) if reranker else limit, cited="cited")
     hits = best.join(chunk_rows.select("chunk_id", "path", "text", "parent_text"), "chunk_id").join(catalog.select("doc_id", title_of(F.col("title"), F.col("file_name")).alias("title")), "doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phrases as H
+from ..functions import terms as W
 from ..functions import text as T
 from ..operators import web
 from .document_queries import LINES_SQL, LINKS_SQL
@@ -63,20 +64,20 @@ def turn_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", H.mentions(F.col("text"), F.slice(terms, 2, 2)).alias("m"), F.contains("text", F.lit("über")).alias("u")).select("conv_id", "turn", (F.col("m") | F.col("u")).alias("mentioned"))
 
 
-@R.query(f"select doc_id, sha256(translate(text, '{''.join(H.ACCENTED)}', '{''.join(H.ACCENTED.values())}')) as sha256, strip_accents(text) = translate(text, '{''.join(H.ACCENTED)}', '{''.join(H.ACCENTED.values())}') as agrees from documents")
+@R.query(f"select doc_id, sha256(translate(text, '{''.join(W.ACCENTED)}', '{''.join(W.ACCENTED.values())}')) as sha256, strip_accents(text) = translate(text, '{''.join(W.ACCENTED)}', '{''.join(W.ACCENTED.values())}') as agrees from documents")
 def accents_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without marks on letters; the SQL also holds them against DuckDB's own function."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(H.without_accents(F.col("text")), 256).alias("sha256"), F.lit(True).alias("agrees"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(W.without_accents(F.col("text")), 256).alias("sha256"), F.lit(True).alias("agrees"))
 
 
-STOP_SQL = ", ".join(f"'{w}'" for w in H.STOP_WORDS)
+STOP_SQL = ", ".join(f"'{w}'" for w in W.STOP_WORDS)
 
 
 @R.query(rf"""with w as (select doc_id, list_filter(regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+'), lambda x: x not in ({STOP_SQL})) as w from documents)
     select doc_id, len(w)::bigint as n_terms, sha256(array_to_string(w, ' ')) as sha256 from w""")
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of the index without accents and stop words."""
-    terms = H.index_terms(F.col("text"))
+    terms = W.index_terms(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.sha2(F.array_join(terms, " "), 256).alias("sha256"))
 
 

@@ -6,54 +6,109 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import terms as X
 from ..operators import search as S
+from ..operators.index import Index
+from ..operators.storage import shared_path
 from .registry import Registry, table
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 
-WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-#: The distinct words of each benchmark item.
+STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def words_sql(column: str) -> str:
+    """Terms of a column by the rule of index and queries; the tables have no Han."""
+    return rf"list_filter(regexp_extract_all(lower(strip_accents({column})), '[\p{{L}}\p{{N}}]+'), lambda x: x not in ({STOP_SQL}))"
+
+
+WORDS = words_sql("text")
+#: The distinct terms of each benchmark item, the first 128.
 TERMS_SQL = f"""
-    terms as (select distinct item_id as query_id, unnest({WORDS}) as term from benchmark),"""
-POSTINGS_SQL = f"p as (select term, doc_id, count(*) as tf from (select doc_id, unnest({WORDS}) as term from documents) group by 1, 2),"
+    terms as (select item_id as query_id, unnest(list_transform(list_sort(list_transform(list_distinct(l), lambda x: {{'i': list_position(l, x), 't': x}}))[1 : {X.MOST_TERMS}], lambda y: y.t)) as term
+        from (select item_id, {WORDS} as l from benchmark)),"""
+#: Fields of the index and their weights: the text, the source as a heading, the language as the document's name.
+POSTINGS_SQL = f"""p as (select term, doc_id, sum(w)::double as tf from (select doc_id, unnest({WORDS}) as term, 1.0 as w from documents
+        union all select doc_id, unnest({words_sql("source")}), 2.0 from documents union all select doc_id, unnest({words_sql("lang")}), 0.5 from documents) group by 1, 2),"""
 BM25_SQL = """
     len as (select doc_id, sum(tf) as len from p group by 1), st as (select count(*) as n, avg(len) as av from len),
     df as (select term, count(*) as df from p group by 1),
     scores as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))), 9) as score
         from terms join p using (term) join df using (term) join len using (doc_id) cross join st {where} group by 1, 2),"""
 
+#: Indexes of this process by session and tables: made by the first query that asks, read by all others.
+INDEXES: dict[tuple[str, str], Index] = {}
+MODEL = "given"
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("body"), F.col("source").alias("head"), F.col("lang").alias("doc"))
+
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.postings(table(spark, sf_dir, "documents"), {"body": "text"}, "doc_id", T.words)
+def vectors_of(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.lit(MODEL).alias("model"), F.col("embedding").alias("vector"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents (each one chunk) and vectors of a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        made = Index(spark, shared_path(spark, "index"))
+        made.update(chunks_of(table(spark, sf_dir, "documents")), vectors_of(table(spark, sf_dir, "embeddings")))
+        INDEXES[key] = made
+    return INDEXES[key]
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.query_terms(F.col("text"))).alias("term"))
 
 
 def keyword(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    return S.keyword_scores(benchmark_terms(spark, sf_dir), index(spark, sf_dir), "doc_id", only=only)
+    only = only if only is None else only.select(F.col("doc_id").alias("chunk_id"))
+    return index(spark, sf_dir).keyword_scores(benchmark_terms(spark, sf_dir), only=only).withColumnRenamed("chunk_id", "doc_id")
 
 
 def with_points(df: DataFrame) -> DataFrame:
     return df.withColumn("points", F.round(F.col("score") * 10000).cast("long")).drop("score")
 
 
-@R.query(f"with {POSTINGS_SQL[:-1]} select term, doc_id, 'body' as field, tf from p")
+@R.query(f"with {POSTINGS_SQL} l as (select doc_id, sum(tf) as len from p group by 1) select term, doc_id, tf, len from p join l using (doc_id)")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir)
+    """The stored postings, frequencies weighted by field."""
+    return index(spark, sf_dir).live("postings").select("term", "doc_id", "tf", "len")
 
 
 @R.query(f"with {POSTINGS_SQL[:-1]} select term, count(*) as df from p group by 1")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.doc_freq(index(spark, sf_dir), "doc_id")
+    """The stored frequencies."""
+    return index(spark, sf_dir).frequencies()
+
+
+#: What a changed document gains: accented letters, an article, a document number; and the terms that it is found under.
+ADDED, ADDED_TERMS = " Crème Việt 第二十条 国办发〔2024〕12号", "['第20条', '国办发202412号', 'creme', 'viet', '第二', '二十', '十条', '国办', '办发', '2024', '12']"
+
+
+@R.query(f"""with t as (select doc_id, list_concat(case when doc_id % 10 = 3 and doc_id % 20 = 3 then {ADDED_TERMS} else [] end, {WORDS}) as w, source, lang from documents where doc_id % 10 <> 7),
+    p as (select term, doc_id, sum(w)::double as tf from (select doc_id, unnest(w) as term, 1.0 as w from t union all select doc_id, unnest({words_sql("source")}), 2.0 from t
+        union all select doc_id, unnest({words_sql("case when doc_id % 20 = 13 then 'fr' else lang end")}), 0.5 from t) group by 1, 2)
+    select term, count(*) as df, count(*) as n_postings, sum(tf)::double as tf, sum(doc_id)::bigint as ids from p group by 1""")
+def index_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after three batches: all documents; some with a longer text, others with other metadata; some deleted.
+    Its frequencies and live postings are those of the documents as they are then."""
+    docs = table(spark, sf_dir, "documents")
+    made = Index(spark, shared_path(spark, "maintained"))
+    made.update(chunks_of(docs))
+    text = F.when(F.col("doc_id") % 20 == 3, F.concat("text", F.lit(ADDED))).otherwise(F.col("text"))
+    made.update(chunks_of(docs.filter("doc_id % 10 = 3").withColumns({"text": text, "lang": F.when(F.col("doc_id") % 20 == 13, "fr").otherwise(F.col("lang"))})))
+    made.update(chunks_of(docs.filter("false")), gone=docs.filter("doc_id % 10 = 7").select("doc_id"))
+    live = made.live("postings").groupBy("term").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("tf"), F.sum("doc_id").alias("ids"))
+    return made.frequencies().join(live, "term", "full").select("term", "df", "n_postings", "tf", "ids")
 
 
 @R.query(f"select doc_id, len({WORDS})::bigint as n_tokens, len(list_distinct({WORDS}))::bigint as n_distinct from documents")
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = T.words(F.col("text"))
+    words = X.index_terms(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
@@ -95,10 +150,10 @@ VECTOR_SQL = """with {norm}, s as (select a.vec_id as query_id, b.vec_id as vec_
 
 
 def vector_batch(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """The stated query set, ids divisible by 50, against all vectors."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
-    return S.ranked(S.vector_scores(q, e, "vec_id", only), 10, "vec_id", "dot").select("query_id", "vec_id", "dot", "rank")
+    """The stated query set, ids divisible by 50, against all stored vectors."""
+    q = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = index(spark, sf_dir).vector_top(q, MODEL, 10, only if only is None else only.select(F.col("vec_id").alias("chunk_id")))
+    return found.select("query_id", F.col("chunk_id").alias("vec_id"), "dot", "rank")
 
 
 @R.query(VECTOR_SQL.format(norm=NORM_SQL, where=""))
@@ -122,10 +177,9 @@ HYBRID_SQL = f"""with {TERMS_SQL}{POSTINGS_SQL}{BM25_SQL.format(where='')} {NORM
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = S.ranked(keyword(spark, sf_dir), S.POOL, "doc_id")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    q = e.withColumnRenamed("doc_id", "query_id").join(asked, "query_id", "left_semi")
-    v = S.ranked(S.vector_scores(q, e, "doc_id"), S.POOL, "doc_id", "dot")
+    q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).join(asked, "query_id", "left_semi")
+    v = index(spark, sf_dir).vector_top(q, MODEL, S.POOL).withColumnRenamed("chunk_id", "doc_id")
     return S.fuse(k, v, "doc_id")
 
 
@@ -191,4 +245,4 @@ def bigram_dice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idf_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that share rare words with each benchmark item."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("index", "text"))
-    return S.related(lines, benchmark_terms(spark, sf_dir), terms=T.words).select("query_id", "doc_id", "index", "rank", "n_terms")
+    return S.related(lines, benchmark_terms(spark, sf_dir), terms=X.index_terms).select("query_id", "doc_id", "index", "rank", "n_terms")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import phrases as H
+from loomtext.functions import terms as W
 
 
 def one(spark, f, *values):
@@ -22,8 +23,9 @@ def test_texts(spark):
         (H.named_type, {"附件：办法.pdf）": "pdf", "办法": None}),
         (H.names_document, {"下载附件": False, "建设项目管理办法下载": True, "PDF": False}),
         (H.without_label, {"[第12段] 正文": "正文", "[第x段] 正文": "[第x段] 正文"}),
-        (H.without_accents, {"Crème brûlée ñ ß ø": "Creme brulee n ß ø"}),
-        (H.numeral, {"十": 10, "二十三": 23, "一百零五": 105, "一千二百": 1200, "二〇二四": 2024, "12": 12, "两百": 200, "十五": 15}),
+        (W.without_accents, {"Crème brûlée ñ ß ø": "Creme brulee n ß ø", "Cre\u0300me Việt": "Creme Viet", "": ""}),
+        (W.doc_numbers, {"根据国办发[2024]第012号和京政发（2023）5号，见财预【2022】1号": ["国办发〔2024〕12号", "京政发〔2023〕5号", "财预〔2022〕1号"], "〔2024〕12号": [], "按照〔2024〕3号": [], "国发〔1824〕1号": []}),
+        (W.numeral, {"十": 10, "二十三": 23, "一百零五": 105, "一千二百": 1200, "二〇二四": 2024, "12": 12, "两百": 200, "十五": 15}),
     ):
         for text, want in cases.items():
             assert one(spark, f, text) == want, (f.__name__, text)
@@ -36,8 +38,8 @@ def test_spans(spark):
 
 
 def test_terms_and_mentions(spark):
-    assert one(spark, H.index_terms, "国办发〔2024〕12号，the Crème 第二十条")[:2] == ["国办发202412号", "第20条"]
-    terms = one(spark, H.index_terms, "the Crème of 规划")
+    assert one(spark, W.index_terms, "国办发〔2024〕12号，the Crème 第二十条")[:2] == ["国办发202412号", "第20条"]
+    terms = one(spark, W.index_terms, "the Crème of 规划")
     assert "creme" in terms and "the" not in terms and "of" not in terms and "规划" in terms
     mentions = lambda text, *t: one(spark, lambda a: H.mentions(a, F.array(*map(F.lit, t))), text)
     assert mentions("生态环境", "环境影响") and not mentions("abxx", "abcd") and mentions("xabcdx", "abcd") and not mentions("环", "环境")
