@@ -72,13 +72,12 @@ def document_view(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return ranked.join(ranges, "doc_id", "left").select("doc_id", "index", "text", "char_start", "rank", F.get(inside, F.lit(0))["chunk_no"].alias("chunk_no"))
 
 
-def chunk_table(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, parent_id, path, start, end, text, parent_text, embedding_text of documents (doc_id, text) by
-    their lines; ids are hashes, the same in every run."""
-    rows = chunks(lines).join(docs.select("doc_id", F.col("text").alias("_d")), "doc_id")
-    cut = lambda a, b: F.substring("_d", F.col(a) + 1, F.col(b) - F.col(a))
-    text = cut("start", "end")
-    rows = rows.withColumns({"chunk_id": F.xxhash64("doc_id", "chunk_no", F.lit("chunk")), "parent_id": F.xxhash64("doc_id", "parent_no", F.lit("parent")), "text": text, "parent_text": cut("parent_start", "parent_end")})
+def chunk_table(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """chunk_id, doc_id, parent_id, path, start, end, text, parent_text, embedding_text of documents (doc_id, text), with
+    the levels of their lines if these have styles; ids are hashes, the same in every run. Texts are the document's own
+    characters between the offsets."""
+    rows = chunks(docs, lines, texts=True)
+    rows = rows.withColumns({"chunk_id": F.xxhash64("doc_id", "chunk_no", F.lit("chunk")), "parent_id": F.xxhash64("doc_id", "parent_no", F.lit("parent"))})
     with_path = F.when(F.size("path") > 0, F.concat(F.array_join("path", " > "), F.lit("\n"), "text")).otherwise(F.col("text"))
     return rows.select("chunk_id", "doc_id", "parent_id", "path", "start", "end", "text", "parent_text", with_path.alias("embedding_text"))
 

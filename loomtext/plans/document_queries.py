@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,19 +27,89 @@ def hard_cut_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hard_cuts(table(spark, sf_dir, "documents"))
 
 
-def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.chunks(S.markdown_lines(table(spark, sf_dir, "documents")))
-
-
-@R.query()
+def structured(docs: DataFrame) -> DataFrame:
+    """The documents with headings put before some of their lines, by the line's number: chapters, sections, articles,
+    items, attachments; every third document has carriage returns."""
+    def line(x: Column, i: Column) -> Column:
+        before = lambda *c: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in c), x)
+        return (
+            F.when(i % 24 == 12, before("第", i, "章 标题\n第", i, "节 小节\n"))
+            .when(i % 12 == 0, before("第", i, "章 标题\n"))
+            .when((i % 12 == 1) | (i % 12 == 7), before("一、要点\n"))
+            .when(i % 12 == 9, before("附件", i, "\n"))
+            .when(i % 4 == 2, before("第", i, "条 "))
+            .otherwise(x)
+        )
+
+    lines = docs.select("doc_id", F.transform(F.split("text", "\n"), line).alias("l"))
+    return lines.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.array_join("l", "\r\n")).otherwise(F.array_join("l", "\n")).alias("text"))
+
+
+#: The texts of structured(), and their lines; rank by the label, an item below an open article is text.
+HEADS_SQL = r"""d as (select doc_id, replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: case when (k - 1) % 24 = 12 then '第' || (k - 1) || '章 标题' || chr(10) || '第' || (k - 1) || '节 小节' || chr(10) || x
+            when (k - 1) % 12 = 0 then '第' || (k - 1) || '章 标题' || chr(10) || x when (k - 1) % 12 in (1, 7) then '一、要点' || chr(10) || x when (k - 1) % 12 = 9 then '附件' || (k - 1) || chr(10) || x
+            when (k - 1) % 4 = 2 then '第' || (k - 1) || '条 ' || x else x end), chr(1)), chr(1), case when doc_id % 3 = 0 then chr(13) || chr(10) else chr(10) end) t from documents),
+    l0 as (select doc_id, generate_subscripts(string_split(t, chr(10)), 1) i, unnest(string_split(t, chr(10))) raw from d),
+    l1 as (select doc_id, i, raw, trim(raw, ' ' || chr(9) || chr(13)) x, coalesce(sum(length(raw) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint pos from l0),
+    l2 as (select doc_id, i, x, pos + length(raw) - length(ltrim(raw, ' ' || chr(9) || chr(13))) a, pos + length(rtrim(raw, ' ' || chr(9) || chr(13))) b,
+        case when regexp_matches(x, '^附件\d+$') then 0 when regexp_matches(x, '^第\d+章') then 2 when regexp_matches(x, '^第\d+节') then 3 when regexp_matches(x, '^第\d+条') then 4 when regexp_matches(x, '^一、') then 5 end r from l1 where x <> ''),
+    l3 as (select *, case when r = 5 and coalesce(last_value(case when r < 5 then r end ignore nulls) over (partition by doc_id order by i), 0) = 4 then null else r end h, case when r = 4 then regexp_extract(x, '^第\d+条') else x end title from l2),
+    l4 as (select doc_id, i, a, b, h, lag(h) over (partition by doc_id order by i) above, lag(i) over (partition by doc_id order by i) is null first,
+        list_filter([last_value(case when h <= 0 then {'h': h, 'x': title} end ignore nulls) over w, last_value(case when h <= 2 then {'h': h, 'x': title} end ignore nulls) over w, last_value(case when h <= 3 then {'h': h, 'x': title} end ignore nulls) over w,
+            last_value(case when h <= 4 then {'h': h, 'x': title} end ignore nulls) over w, last_value(case when h <= 5 then {'h': h, 'x': title} end ignore nulls) over w], lambda p, k: p is not null and p.h = [0, 2, 3, 4, 5][k]) p from l3 window w as (partition by doc_id order by i)),
+    l5 as (select *, sum(case when first or (h is not null and not coalesce(above <> 4 and above < h, false)) then 1 else 0 end) over (partition by doc_id order by i) seg from l4),
+    segs as (select doc_id, seg, coalesce(arg_max(list_transform(p, lambda y: y.x), i) filter (where h is not null), []) path, min(a) a, max(b) b from l5 group by doc_id, seg),
+    shared as (select doc_id, min(a) da, max(b) db, min(path) lo, max(path) hi from segs group by doc_id),
+    whole as (select doc_id, da, db, list_transform(list_filter(range(1, len(lo) + 1), lambda k: lo[1 : k] = hi[1 : k]), lambda k: lo[k]) shared from shared)"""
+SENTENCES_SQL, CLAUSES_SQL = ("[^{0}]*[{0}][{0}{1}]*|[^{0}]+$".format(ends, '”’"' + "''" + "」』）)】〕》") for ends in ("。！？；!?;", "，,、：:"))
+
+
+def split_sql(name: str, source: str, most: int) -> str:
+    """CTEs that cut the spans (doc_id, a, b) of a source as structure.spans does: name (doc_id, sa, a, b), sa the span's start."""
+
+    def pieces(step: str, before: str, pattern: str) -> str:
+        cond = f"where b - a > {most}" if step != "l" else ""
+        return f"""{name}_{step}0 as (select doc_id, sa, a, generate_subscripts(regexp_extract_all(substr(t, a + 1, b - a), '{pattern}'), 1) k, unnest(regexp_extract_all(substr(t, a + 1, b - a), '{pattern}')) x from {before} join d using (doc_id) {cond}),
+        {name}_{step}1 as (select doc_id, sa, x, a + coalesce(sum(length(x)) over (partition by doc_id, sa, a order by k rows between unbounded preceding and 1 preceding), 0) pos from {name}_{step}0),
+        {name}_{step} as (select doc_id, sa, (pos + length(x) - length(ltrim(x, ws)))::bigint a, (pos + length(rtrim(x, ws)))::bigint b from {name}_{step}1, (select ' ' || chr(9) || chr(10) || chr(13) ws) where trim(x, ws) <> '')"""
+
+    fold = lambda enough: f"""list_reduce(l, lambda x, y: case when x.b >= 0 and x.b - x.a < {enough} and y.b - x.a <= {most} then {{'a': x.a, 'b': y.b, 'g': x.g}}
+        else {{'a': y.a, 'b': y.b, 'g': case when x.b >= 0 then list_append(x.g, {{'a': x.a, 'b': x.b}}) else x.g end}} end, {{'a': -1::bigint, 'b': -1::bigint, 'g': []::struct(a bigint, b bigint)[]}})"""
+    return f"""{name}_z as (select doc_id, a sa, a::bigint a, b::bigint b from {source} where b - a > {most}),
+        {pieces("l", f"{name}_z", "[^\n]*\n|[^\n]+$")}, {pieces("s", f"{name}_l", SENTENCES_SQL)}, {pieces("c", f"{name}_s", CLAUSES_SQL)},
+        {name}_p as (select * from {name}_l where b - a <= {most} union all select * from {name}_s where b - a <= {most} union all select * from {name}_c where b - a <= {most}
+            union all select doc_id, sa, x a, least(x + {most}, b) b from (select doc_id, sa, b, unnest(range(a, b, {most})) x from {name}_c where b - a > {most})),
+        {name}_q as (select doc_id, sa, list({{'a': a, 'b': b, 'g': []::struct(a bigint, b bigint)[]}} order by a) l from {name}_p group by doc_id, sa),
+        {name}_t as (select q.*, s.b - s.a size, {fold(most)} r from {name}_q q join {name}_z s using (doc_id, sa)),
+        {name}_e as (select *, {fold("ceil(size / (len(r.g) + 1))")} e from {name}_t),
+        {name} as (select doc_id, a sa, a::bigint a, b::bigint b from {source} where b - a <= {most}
+            union all select doc_id, sa, g.a, g.b from (select doc_id, sa, unnest(case when len(e.g) <= len(r.g) then list_append(e.g, {{'a': e.a, 'b': e.b}}) else list_append(r.g, {{'a': r.a, 'b': r.b}}) end) g from {name}_e))"""
+
+
+CHUNKS_SQL = f"""with {HEADS_SQL}, large as (select segs.* from segs join whole using (doc_id) where db - da > 1500),
+    {split_sql("par", "large", 1500)},
+    units as (select p.doc_id, p.a, p.b, path, path parent_path, p.a parent_start, p.b parent_end from par p join segs s on p.doc_id = s.doc_id and p.sa = s.a
+        union all select segs.doc_id, a, b, path, shared, da, db from segs join whole using (doc_id) where db - da <= 1500),
+    {split_sql("ch", "units", 400)}"""
+
+
+@R.query(
+    f"""{CHUNKS_SQL} select c.doc_id, dense_rank() over (partition by c.doc_id order by parent_start)::int - 1 parent_no, row_number() over (partition by c.doc_id order by c.a)::int - 1 chunk_no, array_to_string(path, ' > ') path,
+        c.a::int as start, c.b::int as "end", parent_start::int parent_start, parent_end::int parent_end, array_to_string(parent_path, ' > ') parent_path, sha256(substr(t, c.a + 1, c.b - c.a)) sha256
+        from ch c join units u on c.doc_id = u.doc_id and c.sa = u.a join d on d.doc_id = c.doc_id"""
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_spans(spark, sf_dir)
+    """Chunks of the documents with headings: paths, offsets, and the text that these have."""
+    out = S.chunks(structured(table(spark, sf_dir, "documents")), texts=True)
+    joined = {c: F.array_join(c, " > ") for c in ("path", "parent_path")}
+    return out.withColumns(joined | {"sha256": F.sha2("text", 256)}).drop("text", "parent_text")
 
 
 @R.query("select doc_id, 0 as n_uncovered from documents")
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every character other than white space lies in a chunk."""
-    return S.uncovered(table(spark, sf_dir, "documents"), chunk_spans(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    return S.uncovered(docs, S.chunks(docs))
 
 
 @R.query("select lang, sum(length(regexp_replace(text, '\\s', '', 'g')))::bigint as n_chars, count(*) as n_docs from documents group by 1")

@@ -36,8 +36,7 @@ def test_search_end_to_end(spark):
     texts = {1: "水资源管理办法\n第一条 加强水资源保护。\n第二条 节约用水。", 2: "大气污染防治\n治理大气污染。", 3: "cats and dogs\nwater for cats"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     cat = catalog(spark, [(1, "/1", "a", "b", "one.txt", None, "某政发〔2020〕12号", None, None, False), (2, "/2", "b", "b", "two.txt", "大气", "某环发〔2021〕3号", None, None, False), (3, "/3", "c", "b", "three.md", None, None, None, None, False)])
-    lines = P.lines(docs).withColumn("level", C.heading(F.col("text"))["rank"])
-    chunks = K.chunk_table(docs, lines).cache()
+    chunks = K.chunk_table(docs).cache()
     assert {r["text"] for r in chunks.collect()} >= {"cats and dogs\nwater for cats"}
     vectors = L.embed(chunks.select("chunk_id", "text"), L.bucket_embedder()).cache()
     asked = spark.createDataFrame([(1, "水资源"), (2, "cats"), (3, "污染，见某政发[2020]12号"), (4, "zzz")], "query_id long, text string")
@@ -55,7 +54,7 @@ def test_search_end_to_end(spark):
     assert {r["query_id"]: r["doc_id"] for r in ranked.filter("position = 1").collect()}[2] == 3
     cited = K.numbered_citations(ranked).collect()
     assert sorted(r["n"] for r in cited if r["query_id"] == 2) == list(range(1, 1 + sum(r["query_id"] == 2 for r in cited)))
-    view = K.document_view(P.lines(docs), C.chunks(lines)).filter("doc_id = 1").orderBy("index").collect()
+    view = K.document_view(P.lines(docs), C.chunks(docs)).filter("doc_id = 1").orderBy("index").collect()
     assert [r["rank"] for r in view] == [None, 4, 4] and all(r["chunk_no"] is not None for r in view)
 
 

@@ -75,53 +75,116 @@ def test_numbers(spark):
 
 # ---- structure -----------------------------------------------------------------------------------------------------
 def test_headings(spark):
-    cases = {"第一章 总则": "chapter", "第二节　范围": "section", "第三条 为了保护环境，制定本办法。": "article", "第二十条规定的情形": None, "一、目标": "level1", "（二）原则": "level2", "1.范围": "level3", "1.5倍": None, "（1）甲": "level4", "①乙": "level5", "附件1": "attachment", "一、甲；": None, "普通段落": None}
-    rows = spark.createDataFrame([(k,) for k in cases], "text string").select("text", C.heading(F.col("text"))["kind"].alias("k")).collect()
-    assert {r["text"]: r["k"] for r in rows} == cases
-
-
-def test_chunks_cover_and_keep_sizes(spark):
+    """Line, kind, text of the heading, whether more follows on the line."""
+    long = "各级人民政府应当加强公共数据管理工作"
+    cases = [
+        ("第一章 总则", "chapter", "第一章 总则", False), ("第一章　总　则", "chapter", "第一章 总则", False), ("第二节　范围", "section", "第二节 范围", False), ("第三部分 任务", "part", "第三部分 任务", False), ("第一编　总则", "part", "第一编 总则", False),
+        ("第三条 为了保护环境，制定本办法。", "article", "第三条", True), ("第四条【目的】为了管理。", "article", "第四条【目的】", True), ("第五条", "article", "第五条", False), ("第20条（范围）", "article", "第20条（范围）", False),
+        ("一、目标", "level1", "一、目标", False), ("（二）原则", "level2", "（二）原则", False), ("(二) 范围", "level2", "(二) 范围", False), ("1.范围", "level3", "1.范围", False), ("2．原则", "level3", "2．原则", False), ("3、工作", "level3", "3、工作", False), ("（1）甲", "level4", "（1）甲", False), ("⑴甲", "level4", "⑴甲", False), ("①乙", "level5", "①乙", False),
+        ("附件1", "attachment", "附件1", False), ("附件 二：", "attachment", "附件 二", False), (f"（一）加强领导。{long * 4}", "level2", "（一）加强领导", True), (f"1. 加强领导。{long * 2}", "level3", "1. 加强领导", True), (f"一、{'长' * 30}。{long}", "level1", f"一、{'长' * 30}。{long}", False),
+    ]
+    none = ["第二十条规定的情形", "第五条第二款所列数据", "1.5倍", "一、甲；", "（一）甲，", "普通段落", "", "附件1 清单", f"1. {long * 4}", f"（1）{long * 3}", "（1）甲。乙", "①甲：乙", f"第三章{'很长的正文' * 10}", "第三章 甲。", "2024年3月15日", f"一、{'长' * 61}"]
+    rows = spark.createDataFrame([(c[0],) for c in cases] + [(t,) for t in none], "text string").select("text", C.heading(F.col("text")).alias("h")).collect()
+    got = {r["text"]: r["h"] and (r["h"]["kind"], r["h"]["text"], r["h"]["has_body"]) for r in rows}
+    assert got == {t: rest for t, *r in cases for rest in [tuple(r)]} | dict.fromkeys(none)
+
+
+def levels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, index int, level int, display string")
+
+
+def test_chunks_follow_structure(spark):
+    """Offsets into the text as it is, sizes, cover and paths; line feeds, carriage returns and both mixed."""
     body = "第一句话说明情况。" * 60
-    lines = [("办法", None), ("第一章 总则", 1), (body, None), ("第一节 范围", 2), ("短。", None), ("第二章 附则", 1), (body * 4, None)]
-    rows = spark.createDataFrame([(1, i, t, lv) for i, (t, lv) in enumerate(lines)], "doc_id long, index int, text string, level int")
-    out = C.chunks(rows).orderBy("chunk_no").collect()
-    whole = "\n".join(t for t, _ in lines)
-    assert all(r["end"] - r["start"] <= C.CHILD and r["parent_end"] - r["parent_start"] <= C.PARENT for r in out)
-    assert all(r["parent_start"] <= r["start"] < r["end"] <= r["parent_end"] for r in out)
-    seen = {i for r in out for i in range(r["start"], r["end"])}
-    assert all(i in seen or c.isspace() for i, c in enumerate(whole))
-    assert {tuple(r["path"]) for r in out} >= {("第一章 总则",), ("第一章 总则", "第一节 范围"), ("第二章 附则",)}
-
-
-def test_cuts_take_the_best_places():
-    text = "aaa bbb. ccc, ddd.\neee fff. ggg" * 3
-    for most in (1, 5, 12, 20, 40, 500):
-        parts = C.spans(text, most)
-        assert all(0 < b - a <= most for a, b in parts) and all(b <= c for (_, b), (c, _) in zip(parts, parts[1:], strict=False))
-        assert "".join(text[a:b] for a, b in parts).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
-    assert [text[a:b] for a, b in C.spans("one two.\nthree, four. five", 15)] == [] or [("one two.\nthree, four. five")[a:b] for a, b in C.spans("one two.\nthree, four. five", 20)] == ["one two.", "three, four. five"]
-    assert C.spans("x" * 25, 10) == [(0, 10), (10, 20), (20, 25)] and C.spans(" \n ", 10) == [] and C.spans("", 3) == []
-
-
-def test_segments_and_shared_path(spark):
-    rows = [(1, 0, "# A", 1), (1, 1, "## B", 2), (1, 2, "x", None), (1, 3, "## C", 2), (1, 4, "", None), (1, 5, "y", None), (2, 0, None, None), (3, 0, " ", None)]
-    found = C.segments(spark.createDataFrame(rows, "doc_id long, index int, text string, level int")).orderBy("doc_id", "segment").collect()
-    assert [(r["doc_id"], r["start"], r["path"], r["text"]) for r in found] == [(1, 0, ["# A", "## B"], "# A\n## B\nx"), (1, 11, ["# A", "## C"], "## C\n\ny"), (2, 0, [], ""), (3, 0, [], " ")]
-    out = C.chunks(spark.createDataFrame(rows, "doc_id long, index int, text string, level int")).orderBy("chunk_no").collect()
-    assert [(r["doc_id"], r["chunk_no"], r["parent_no"], r["parent_path"], r["path"]) for r in out] == [(1, 0, 0, ["# A"], ["# A", "## B"]), (1, 1, 0, ["# A"], ["# A", "## C"])]
+    lines = ["办法", "", "第一章 总则", body, "第一节 范围", "短。", "第一条 甲", "（一）乙", "第二条", "丙", "第二章 附则", body * 4, "附件1", "一、甲", "丁"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\r\n".join(lines)), (3, "\n".join(x + "\r" * (i % 2) for i, x in enumerate(lines)) + "\n \n"), (4, None), (5, ""), (6, " \r\n ")], "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = C.chunks(docs, texts=True).orderBy("doc_id", "chunk_no").collect()
+    assert {r["doc_id"] for r in out} == {1, 2, 3}
+    for doc in (1, 2, 3):
+        own, whole = [r for r in out if r["doc_id"] == doc], texts[doc]
+        assert all(r["end"] - r["start"] <= C.CHILD and r["parent_end"] - r["parent_start"] <= C.PARENT and r["parent_start"] <= r["start"] < r["end"] <= r["parent_end"] for r in own)
+        assert all(r["text"] == whole[r["start"] : r["end"]] == r["text"].strip() and r["parent_text"] == whole[r["parent_start"] : r["parent_end"]] for r in own)
+        seen = {i for r in own for i in range(r["start"], r["end"])}
+        assert all(i in seen or c.isspace() for i, c in enumerate(whole))
+        assert [r["chunk_no"] for r in own] == list(range(len(own)))
+        paths = []
+        for r in own:
+            if r["path"] not in paths:
+                paths.append(r["path"])
+        top = ["第一章 总则", "第一节 范围"]
+        assert paths == [[], top[:1], top, [*top, "第一条"], [*top, "第二条"], ["第二章 附则"], ["附件1", "一、甲"]]
+    # an item below an article is its text; a chapter without text of its own joins its first part
+    assert next(r["text"] for r in out if r["path"][-1:] == ["第一条"]).replace("\r", "") == "第一条 甲\n（一）乙"
+    assert next(r["text"] for r in out if r["path"][:1] == ["附件1"]).replace("\r", "") == "附件1\n一、甲\n丁"
+
+
+def test_styles_and_numbers_stack(spark):
+    """By style where both have one, else by rank; a styled heading holds numbered ones, not the other way round."""
+    body = "正文内容。" * 120
+    lines = ["项目概述", "建设背景", "一、现状分析", body, "建设目标", body, "实施计划", body, "x" * 101, "1. 第一项", body]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    styled = levels(spark, [(1, 0, 0, None), (1, 1, 1, None), (1, 4, 1, "2 建设目标"), (1, 6, 0, None), (1, 8, 0, None)])
+    out = C.chunks(docs, styled).orderBy("chunk_no").collect()
+    paths = list(dict.fromkeys(tuple(r["parent_path"]) for r in out))
+    assert paths == [("项目概述", "建设背景", "一、现状分析"), ("项目概述", "2 建设目标"), ("实施计划",), ("实施计划", "1. 第一项")]
+    article = C.outline(["a", "b", "c", "d"], {0: C.Head(4, None, "条"), 1: C.Head(5, None, "一"), 2: C.Head(5, 3, "styled"), 3: C.Head(2, None, "章")})
+    assert article == [(0, ["条"]), (2, ["条", "styled"]), (3, ["章"])]
 
 
 def test_short_document_is_one_parent(spark):
-    rows = spark.createDataFrame([(1, 0, "# A", 1), (1, 1, "x", None), (1, 2, "# B", 1), (1, 3, "y", None)], "doc_id long, index int, text string, level int")
-    out = C.chunks(rows).collect()
-    assert {(r["parent_start"], r["parent_end"]) for r in out} == {(0, 11)}
+    text = "关于做好值班工作的通知\n一、加强值班\n各单位要落实制度。\n二、做好应急\n遇有事件及时报告。"
+    out = C.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("chunk_no").collect()
+    assert {(r["parent_start"], r["parent_end"], tuple(r["parent_path"]), r["parent_no"]) for r in out} == {(0, len(text), (), 0)}
+    assert [r["path"] for r in out] == [[], ["一、加强值班"], ["二、做好应急"]]
+    shared = C.chunks(spark.createDataFrame([(1, "第一章 甲\n一、乙\n丙\n二、丁\n戊")], "doc_id long, text string")).collect()
+    assert {tuple(r["parent_path"]) for r in shared} == {("第一章 甲",)}
+
+
+def plain_groups(pieces, most):
+    """The two passes, stated over all ways to join neighbours."""
+    def joined(enough):
+        out, k = [], 0
+        while k < len(pieces):
+            end = k
+            while end + 1 < len(pieces) and pieces[end][1] - pieces[k][0] < enough and pieces[end + 1][1] - pieces[k][0] <= most:
+                end += 1
+            out.append((pieces[k][0], pieces[end][1]))
+            k = end + 1
+        return out
+
+    tight = joined(10**9)
+    even = joined(-(-(pieces[-1][1] - pieces[0][0]) // len(tight)))
+    return even if len(even) <= len(tight) else tight
+
+
+def test_cuts_in_two_passes():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["甲", "乙", " ", "\n", "。", "”", "，", "；", "x" * r.randrange(1, 30)]) for _ in range(r.randrange(1, 80)))
+        most = r.randrange(1, 60)
+        got = C.spans(text, most)
+        assert all(0 < b - a <= most for a, b in got) and all(b <= c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+        seen = {i for a, b in got for i in range(a, b)}
+        assert all(i in seen or c.isspace() for i, c in enumerate(text))
+        whole = C.trimmed(text, 0, len(text))
+        assert got == ([] if whole is None else plain_groups(list(C.parts(text, *whole, most)), most))
+    cuts = lambda t, most: [t[a:b] for a, b in C.spans(t, most)]
+    assert cuts("甲甲甲。”乙乙乙。丙丙丙。丁", 9) == ["甲甲甲。”乙乙乙。", "丙丙丙。丁"]
+    assert cuts("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5] and cuts(" \n ", 10) == [] and cuts("", 3) == []
+    assert cuts("一二三四五六七八九十，一二三。", 8) == ["一二三四五六七八", "九十，一二三。"]
+    # as even as it gets without more parts: 12 pieces of 3 in parts of at most 30 are two of 18, not 30 and 6
+    assert [b - a for a, b in C.spans("甲甲。" * 12, 30)] == [18, 18]
 
 
 def test_markdown_and_paths(spark):
-    docs = spark.createDataFrame([(1, "# A\ntext\n```\n# no\n```\n## B\nmore\n# C")], "doc_id long, text string")
-    rows = C.heading_paths(C.markdown_lines(docs)).orderBy("index").collect()
-    assert [r["level"] for r in rows] == [1, None, None, None, None, 2, None, 1]
-    assert rows[6]["path"] == ["# A", "## B"] and rows[7]["path"] == ["# C"]
+    docs = spark.createDataFrame([(1, "# A\r\ntext\n```\n# no\n~~~\n# nor\n```\n## B ##\nmore\n# C")], "doc_id long, text string")
+    lines = C.markdown_lines(docs)
+    rows = lines.orderBy("index").collect()
+    assert [r["level"] for r in rows] == [1, None, None, None, None, None, None, 2, None, 1]
+    assert [r["display"] for r in rows if r["level"]] == ["A", "B", "C"]
+    out = C.chunks(docs, lines, texts=True).orderBy("chunk_no").collect()
+    assert [(r["path"], r["text"]) for r in out] == [(["A"], "# A\r\ntext\n```\n# no\n~~~\n# nor\n```"), (["A", "B"], "## B ##\nmore"), (["C"], "# C")]
 
 
 def test_metadata(spark):
