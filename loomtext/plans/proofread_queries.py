@@ -153,13 +153,15 @@ def found_sql(p: str, severity: str, source: str, weak: int) -> str:
 @R.query(f"""with recursive {DRAFTS_SQL}, i as ({found_sql(SPACES, 'warning', 'rule', -1)} union all {found_sql(MARKS, 'error', 'rule', -3)} union all {found_sql(RUNS, 'warning', 'model', 0)}),
     r as (select *, case when start < max("end") over (partition by doc_id, index order by start, "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from i),
     g as (select *, sum(new) over (partition by doc_id, index order by start, "end" rows between unbounded preceding and current row) as run from r),
-    q as (select *, row_number() over (partition by doc_id, index, run order by weak, start, "end") as n from g),
-    t as (select doc_id, index, run, n, [{{'s': start, 'e': "end"}}] as taken, true as ok from q where n = 1
-        union all select doc_id, index, run, n, case when clash then taken else list_append(taken, {{'s': start, 'e': "end"}}) end, not clash from (select q.doc_id, q.index, q.run, q.n, q.start, q."end", t.taken,
-            len(list_filter(t.taken, lambda y: y.s < q."end" and q.start < y.e)) > 0 as clash from t join q on q.doc_id = t.doc_id and q.index = t.index and q.run = t.run and q.n = t.n + 1))
-    select doc_id, index, start::int as start, "end"::int as "end", 'format' as category, severity, source, concat_ws('-', 'format', index, start, "end") as id from t join q using (doc_id, index, run, n) where ok""")
+    q as (select *, row_number() over (partition by doc_id, index, run order by start, "end", weak) as n from g),
+    t as (select doc_id, index, run, n, [{{'s': start, 'e': "end", 'w': weak, 'sev': severity, 'src': source}}] as taken from q where n = 1
+        union all select q.doc_id, q.index, q.run, q.n, case when t.taken[-1].e <= q.start then list_append(t.taken, {{'s': q.start, 'e': q."end", 'w': q.weak, 'sev': q.severity, 'src': q.source}})
+            when q.weak < t.taken[-1].w then list_append(t.taken[: -2], {{'s': q.start, 'e': q."end", 'w': q.weak, 'sev': q.severity, 'src': q.source}}) else t.taken end
+            from t join q on q.doc_id = t.doc_id and q.index = t.index and q.run = t.run and q.n = t.n + 1),
+    x as (select doc_id, index, unnest(arg_max(taken, n)) as x from t group by doc_id, index, run)
+    select doc_id, index, x.s::int as start, x.e::int as "end", 'format' as category, x.sev as severity, x.src as source, concat_ws('-', 'format', index, x.s, x.e) as id from x""")
 def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of three rules in the drafts, the stronger of those that overlap."""
+    """Issues of three rules in the drafts: in order of place, a stronger one in place of the one that it overlaps."""
     return P.merge_issues(all_issues(spark, sf_dir).drop("original", "suggestion"))
 
 

@@ -270,21 +270,41 @@ def test_issue_merge_and_apply(spark):
     assert [r["text"] for r in out] == ["abxghyj", "q"]
 
 
+def plain_merge(rows):
+    """In order of place, each issue against all that stayed, the last first: it replaces a weaker one or goes."""
+    strength = lambda x: 2 * (x[5] == "error") + (x[6] == "rule")
+    kept: list[tuple] = []
+    for x in sorted(rows, key=lambda x: (x[1], x[2], x[3], -strength(x), x[4:])):
+        for k in range(len(kept) - 1, -1, -1):
+            y = kept[k]
+            points = x[2] == x[3] or y[2] == y[3]
+            if y[1] == x[1] and ((y[2:5] == x[2:5]) if points else (y[2] < x[3] and x[2] < y[3])):
+                if strength(x) > strength(y):
+                    kept[k] = x
+                break
+        else:
+            kept.append(x)
+    return sorted(kept)
+
+
+ISSUES = "doc_id long, index int, start int, end int, category string, severity string, source string"
+
+
 def test_issue_merge_against_plain(spark):
-    """Random issues against the rule said plainly: strongest first, then by place, none that overlaps a taken one."""
     r = random.Random(5)
-    rows = {(1, r.randrange(3), a, a + r.choice([0, 1, 2, 5]), r.choice(["format", "typo"]), r.choice(["error", "warning"]), r.choice(["rule", "model"])) for a in (r.randrange(40) for _ in range(150))}
-    weak = lambda x: -(2 * (x[5] == "error") + (x[6] == "rule"))
-    taken: list[tuple] = []
-    for x in sorted(rows, key=lambda x: (weak(x), x[2:])):
-        if x[2] == x[3]:
-            clash = any(y[1:5] == x[1:5] for y in taken)
-        else:
-            clash = any(y[1] == x[1] and y[2] < y[3] and y[2] < x[3] and x[2] < y[3] for y in taken)
-        if not clash:
-            taken.append(x)
-    got = P.merge_issues(spark.createDataFrame(sorted(rows), "doc_id long, index int, start int, end int, category string, severity string, source string")).collect()
-    assert sorted(tuple(x)[:7] for x in got) == sorted(taken) and len({x["id"] for x in got}) == len(got)
+    for wide in (3, 12):
+        rows = {(1, r.randrange(3), a, a + r.choice([0, 1, 2, wide]), r.choice(["format", "typo"]), r.choice(["error", "warning"]), r.choice(["rule", "model"])) for a in (r.randrange(60) for _ in range(150))}
+        got = P.merge_issues(spark.createDataFrame(sorted(rows), ISSUES)).collect()
+        assert sorted(tuple(x)[:7] for x in got) == plain_merge(rows) and len({x["id"] for x in got}) == len(got)
+
+
+def test_issue_merge_chains(spark):
+    """A stronger issue replaces at its overlap, and what it frees does not come back."""
+    chain = [(1, 0, 0, 5, "a", "warning", "model"), (1, 0, 4, 8, "b", "warning", "rule"), (1, 0, 7, 10, "c", "error", "rule")]
+    same = [(2, 0, 3, 6, "a", "warning", "rule"), (2, 0, 3, 6, "b", "error", "model"), (2, 0, 5, 9, "c", "error", "model"), (2, 1, 5, 9, "d", "warning", "model")]
+    got = P.merge_issues(spark.createDataFrame(chain + same, ISSUES)).orderBy("doc_id", "index", "start").collect()
+    assert [r["id"] for r in got] == ["c-0-7-10", "b-0-3-6", "d-1-5-9"]
+    assert P.merge_issues(spark.createDataFrame([], ISSUES)).collect() == []
 
 
 def test_bracket_fold(spark):
