@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import citations as C
 from ..operators import diff as D
 from ..operators import proofread as P
 from ..operators import search as S
@@ -123,15 +124,70 @@ def figure_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.figure_conflicts(facts, F.broadcast(units)).drop("dimension")  # the fixed table of units
 
 
-CITED = [(1, 0, "依据《建设项目管理办法》（国发〔2017〕12号）和 GB/T 3095-2012。"), (1, 3, "《建设项目管理办法》规定，GB/T3095—2012 同样适用。"), (2, 1, "见国发[2017] 12 号。"), (2, 2, "没有引用。")]
-CITED_SQL = """select * from (values (1, 'number', '国发〔2017〕12号', [0]), (1, 'standard', 'GB/T3095-2012', [0, 3]), (1, 'title', '建设项目管理办法', [0, 3]), (2, 'number', '国发〔2017〕12号', [1])) t(doc_id, kind, key, paragraphs)"""
+#: What a line cites, by its number; L stands for the document's own word.
+CITING = {
+    0: "依据《L管理办法》（国发〔2017〕N号）执行，见《L技术导则》。",
+    1: "按《L技术规范》 GB/T 3095-20N 设计。",
+    2: "见国发[2017] 第N号，同时执行 GB 500N—2014。",
+    3: "ＧＢ/T 3095—20N 同样适用。",
+    4: "《L 管理办法》规定，HJ 2.2-2018《L公报》也适用。",
+}
 
 
-@R.query(f"select doc_id::bigint as doc_id, kind, key, array_to_string(paragraphs, ',') as paragraphs from ({CITED_SQL})")
+def cited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the documents, with a citation behind: the same titles and numbers come again within a document."""
+    rows = line_rows(spark, sf_dir)
+    text = F.coalesce(*(F.when(F.col("index") % 6 == k, F.lit(v)) for k, v in CITING.items()), F.lit(""))
+    word = F.concat(F.get(F.split("source", " "), F.lit(0)), (F.floor(F.col("index") / 12) % 3).cast("string"))
+    named = rows.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    made = F.replace(F.replace(text, F.lit("L"), word), F.lit("N"), (F.col("index") % 5 + 11).cast("string"))
+    return named.select("doc_id", "index", F.concat("text", F.lit(" "), made).alias("text"))
+
+
+#: The mentions of cited_rows, stated by the number of the line: loose, place in the line, title, kind, standard, number.
+CITED_SQL = f"""{LINES_SQL}, n as (select doc_id, index, source || (index // 12 % 3) as w, (index % 5 + 11)::varchar as n, index % 6 as k from l join documents using (doc_id)),
+    m as (select doc_id, index, 0 as loose, 0 as pos, w || '管理办法' as title, 'law' as kind, null as std, '国发〔2017〕' || n || '号' as num from n where k = 0
+        union all select doc_id, index, 0, 1, w || '技术导则', 'standard', null, null from n where k = 0
+        union all select doc_id, index, 0, 0, w || '技术规范', 'standard', 'GB/T 3095-20' || n, null from n where k = 1
+        union all select doc_id, index, 1, 1, '国发〔2017〕' || n || '号', 'policy', null, '国发〔2017〕' || n || '号' from n where k = 2
+        union all select doc_id, index, 1, 0, 'GB 500' || n || '-2014', 'standard', 'GB 500' || n || '-2014', null from n where k = 2
+        union all select doc_id, index, 1, 0, 'GB/T 3095-20' || n, 'standard', 'GB/T 3095-20' || n, null from n where k = 3
+        union all select doc_id, index, 0, 0, w || ' 管理办法', 'law', null, null from n where k = 4
+        union all select doc_id, index, 0, 1, w || '公报', 'standard', 'HJ 2.2-2018', null from n where k = 4),
+    o as (select *, row_number() over (partition by doc_id order by loose, index, pos) as i from m),
+    f as (select doc_id, i, [{{'t': title, 'k': kind, 's': std, 'd': num, 'p': [index]}}] as c from o where i = 1
+        union all select doc_id, i, case when hit is null then list_append(c, {{'t': title, 'k': kind, 's': std, 'd': num, 'p': [index]}})
+            else list_transform(c, lambda x, k: case when k = hit then {{'t': x.t, 'k': x.k, 's': coalesce(x.s, std), 'd': coalesce(x.d, num), 'p': case when list_contains(x.p, index) then x.p else list_append(x.p, index) end}} else x end) end
+            from (select o.*, f.c, list_position(list_transform(f.c, lambda x: coalesce(replace(x.t, ' ', '') = replace(title, ' ', '') or x.s = std or (title = num and x.d = num), false)), true) as hit from f join o on o.doc_id = f.doc_id and o.i = f.i + 1)),
+    g as (select doc_id, arg_max(c, i) as c from f group by doc_id), found as (select doc_id, unnest(c) as x, generate_subscripts(c, 1) - 1 as no from g)"""
+
+
+@R.query(f"with recursive {CITED_SQL} select doc_id, no::int as no, x.t as title, x.k as kind, coalesce(x.s, '') as standard_no, coalesce(x.d, '') as doc_no, array_to_string(x.p, ',') as paragraphs from found")
 def citation_extract_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed rows: the driver's texts have no such citations."""
-    rows = spark.createDataFrame(CITED, "doc_id long, index int, text string")
-    return P.citations(rows).withColumn("paragraphs", F.array_join(F.col("paragraphs").cast("array<string>"), ","))
+    """What the documents cite, each once, with the paragraphs."""
+    out = C.citations(cited_rows(spark, sf_dir))
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("standard_no", "doc_no")} | {"paragraphs": F.array_join(F.col("paragraphs").cast("array<string>"), ",")})
+
+
+@R.query(
+    f"""with recursive {CITED_SQL}, s as (select doc_id, x.t as title, x.s as std, unnest(x.p) as index, contains(x.t, '技术规范') as new from found where contains(x.t, '技术规范') or contains(x.t, '管理办法')),
+    t as (select s.*, length(l.text) + 1 as base, n.n, n.k, n.w from s join l using (doc_id, index) join n using (doc_id, index)),
+    u as (select *, k in (1, 3) and new and std = 'GB/T 3095-20' || n as numbered,
+        case k when 1 then w || '技术规范' when 0 then w || '管理办法' when 4 then w || ' 管理办法' end as marked from t),
+    v as (select *, case when k = 1 and numbered then '按《' || marked || '》 ' when k = 1 then '按' when k = 0 then '依据' else '' end as before,
+        case when numbered and k = 1 then 'GB/T 3095-20' || n when numbered then 'ＧＢ/T 3095—20' || n when marked = title then '《' || marked || '》' end as original from u)
+    select doc_id, index, case when new then 'warning' else 'error' end as severity, base + length(before) as start, base + length(before) + length(original) as "end", original,
+        case when numbered then 'GB/T 3095-2030' when new then '《新标准》' else '' end as suggestion, '《' || title || '》' || case when new then '已有新版本，现行版本为《新标准》（GB/T 3095-2030）。旧' else '已废止' end as reason
+        from v where original is not null"""
+)
+def citation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations that are out of force, where the documents cite them: regulations are repealed, specifications replaced."""
+    rows = cited_rows(spark, sf_dir)
+    found = C.citations(rows)
+    new = F.col("title").contains("技术规范")
+    status = found.select("title").distinct().select("title", F.when(new, "superseded").when(F.col("title").contains("管理办法"), "repealed").otherwise("current").alias("status"), F.when(new, "新标准").alias("replacement_title"), F.when(new, "GB/T 3095-2030").alias("replacement_number"), F.when(new, "旧").alias("reason"))
+    out = C.status_issues(found, status, rows)
+    return out.select("doc_id", "index", "severity", "start", "end", "original", F.coalesce("suggestion", F.lit("")).alias("suggestion"), "reason")
 
 
 RUNS = r"[ \t,;:.!?]{2,}"
