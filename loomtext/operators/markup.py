@@ -1,13 +1,17 @@
-"""Text out of pages: lines of PDF pages, Markdown of outside parsers, pipe tables."""
+"""Text out of pages: lines of PDF pages, Markdown of outside parsers, tables."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import HAN, han_count, nonspace_chars
-from .web import decode
+from .web import MARKUP_ENTITIES, decode
 
 
 def closed_up(text: Column) -> Column:
@@ -53,7 +57,7 @@ def clean_markdown(text: Column) -> Column:
     """Without comments, images and tags, entities decoded; numbered headings lose their marks."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"!\[[^\]]*\]\([^)]*\)", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)<br\s*/?>", "\n"), r"</?[A-Za-z][^>]*>", "")
-    return F.regexp_replace(decode(bare), r"(?m)^#{1,6}\s+(?=第[一二三四五六七八九十百零〇0-9]+[章节条]|[一二三四五六七八九十]+、)", "")
+    return F.regexp_replace(decode(bare, MARKUP_ENTITIES), r"(?m)^#{1,6}\s+(?=第[一二三四五六七八九十百零〇0-9]+[章节条]|[一二三四五六七八九十]+、)", "")
 
 
 def pipe_cells(docs: DataFrame) -> DataFrame:
@@ -67,6 +71,77 @@ def pipe_cells(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tbl", "row", F.posexplode(parts).alias("col", "text")).withColumn("text", F.trim(F.replace("text", F.lit("\\|"), F.lit("|"))))
 
 
+# ---- tables ---------------------------------------------------------------------------------------------------------
+TABLE, ROW = re.compile(r"<table\b[^>]*>.*?</table\s*>", re.I | re.S), re.compile(r"<tr\b[^>]*>(.*?)</tr\s*>", re.I | re.S)
+CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]\s*>", re.I | re.S)
+SPANS = tuple(re.compile(rf"\b{name}span\s*=\s*[\"']?\s*(\d+)", re.I) for name in ("row", "col"))
+MOST_SPAN = 1000
+
+
+def filled(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """The grid of a table from the cells (value, rows, columns) of its rows: a cell's value stands in every place that it
+    covers. What is open are the columns that a cell above still covers, with its value and how many rows are left."""
+    grid, below = [], {}
+    for cells in rows:
+        line = {column: value for column, (value, _) in below.items()}
+        below = {column: (value, left - 1) for column, (value, left) in below.items() if left > 1}
+        at = 0
+        for value, down, across in cells:
+            while at in line:
+                at += 1
+            for column in range(at, at + across):
+                line[column] = value
+                if down > 1:
+                    below[column] = (value, down - 1)
+            at += across
+        grid.append([line.get(column, "") for column in range(max(line, default=-1) + 1)])
+    return grid
+
+
+def html_cells(docs: DataFrame) -> DataFrame:
+    """doc_id, tbl, row, col, text of the HTML tables of texts, spans filled; text still has its tags. Only texts with a table
+    go to Python; a null text has none."""
+
+    def span(pattern: re.Pattern, attributes: str) -> int:
+        found = pattern.search(attributes)
+        return min(max(int(found[1]), 1), MOST_SPAN) if found else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                out = []
+                for tbl, table in enumerate(TABLE.findall(text)):
+                    rows = [[(value, span(SPANS[0], a), span(SPANS[1], a)) for a, value in CELL.findall(row)] for row in ROW.findall(table)]
+                    grid = filled(rows)
+                    wide = max(map(len, grid), default=0)
+                    out += [(doc, tbl, r, c, line[c] if c < len(line) else "") for r, line in enumerate(grid) for c in range(wide)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.int32()] * 3, pa.string()), strict=True)], ["doc_id", "tbl", "row", "col", "text"])
+
+    cells = docs.select("doc_id", "text").filter(F.col("text").rlike("(?i)<table")).mapInArrow(run, "doc_id long, tbl int, row int, col int, text string")
+    bare = F.regexp_replace(F.regexp_replace("text", r"(?i)<br\s*/?>|</?(?:p|div)\b[^>]*>", " "), r"</?[A-Za-z][^>]*>", "")
+    return cells.withColumn("text", F.trim(F.regexp_replace(decode(bare, MARKUP_ENTITIES), r"(?U)\s+", " ")))
+
+
+def labelled_rows(cells: DataFrame) -> DataFrame:
+    """doc_id, tbl, n, text: tables (doc_id, tbl, row, col, text) as lines, in order n.
+
+    The first row that is not blank is the header and gives a line of its own; every other row becomes "name：value" parts. A
+    value under no name, or under itself, stands alone; neighbours that are alike, as merged cells leave them, count once.
+    A table of one row or one column has no header. Rows of a table are gathered by table, cells by row.
+    """
+    by = ["doc_id", "tbl"]
+    once = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), x)), lambda x: x.isNotNull())
+    lines = cells.groupBy(*by, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("cells")).filter(F.exists("cells", lambda x: x != ""))
+    top = lines.groupBy(*by).agg(F.min_by("cells", "row").alias("head"), F.min("row").alias("first"), F.count("*").alias("rows"), F.max(F.size("cells")).alias("wide"))
+    rows = lines.join(top, by).withColumn("_h", (F.col("rows") > 1) & (F.col("wide") > 1))
+    full = lambda a: F.array_join(once(F.filter(a, lambda x: x != "")), " | ")
+    part = lambda v, h: F.when(v == "", F.lit(None)).when((F.coalesce(h, F.lit("")) == "") | (h == v), v).otherwise(F.concat(h, F.lit("："), v))
+    rows = rows.withColumn("_p", F.filter(F.zip_with("cells", "head", lambda v, h: part(F.coalesce(v, F.lit("")), h)), lambda x: x.isNotNull()))
+    text = F.when(~F.col("_h"), full("cells")).when(F.col("row") == F.col("first"), F.concat(F.lit("表格列："), full("head"))).otherwise(F.array_join(once(F.col("_p")), "；"))
+    return rows.select(*by, F.col("row").alias("n"), text.alias("text")).filter("text <> ''")
+
+
 def search_results(responses: DataFrame, paths: tuple[str, ...] = ("$.webPages.value", "$.results", "$.data")) -> DataFrame:
     """query_id, url, title, snippet of search responses (query_id, body) of several shapes, the first of each url."""
     array = F.coalesce(*(F.get_json_object("body", p) for p in paths))

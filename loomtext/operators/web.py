@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Named entities that are decoded; "&amp;" comes last, so that nothing is decoded twice. Fixed values.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+#: Named entities that are decoded in web pages, and in markup that parsers make; fixed values.
+PAGE_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "ldquo": "“", "rdquo": "”", "middot": "·"}
+MARKUP_ENTITIES = PAGE_ENTITIES | {"thinsp": " ", "lsquo": "‘", "rsquo": "’", "times": "×", "divide": "÷", "plusmn": "±", "le": "≤", "ge": "≥", "deg": "°", "mdash": "—", "ndash": "–", "hellip": "…"}
+ENTITY = "&(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,9}|[a-zA-Z]{2,8});"
 NOISE = "script|style|noscript|svg|head"
 FRAME = f"{NOISE}|nav|header|footer|form|select|button"
 BLOCK_END = r"(?i)</(p|div|li|tr|h[1-6]|section|article|table|ul|ol|td)>|<br\s*/?>"
 
 
-def decode(text: Column) -> Column:
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+def character(number: Column) -> Column:
+    """The character of a code point; null for surrogates and numbers beyond the last one."""
+    valid = number.between(0, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
+def entity(whole: Column, names: dict[str, str]) -> Column:
+    """What an entity stands for; one that is not known stays as it is written."""
+    body = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("long")).when(body.startswith("#"), F.substring(body, 2, 9).cast("long"))
+    named = F.get(F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in names.items())), lambda x: x["n"] == body), F.lit(0))["c"]
+    return F.coalesce(F.when(number.isNotNull(), character(number)).otherwise(named), whole)
+
+
+def decode(text: Column, names: dict[str, str] = PAGE_ENTITIES) -> Column:
+    """Entities decoded in one pass, so nothing is decoded twice: the text is cut at them and joined again."""
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    gaps = F.split(text, ENTITY, -1)
+    joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda x: entity(x, names)), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def bare(html: Column, blocks: str) -> Column:
@@ -62,28 +80,47 @@ def accepted(pages: DataFrame, least_article: int = 50, least_excerpt: int = 20)
     return rows.select("page_id", F.when(good, F.col("article")).otherwise(F.col("page")).alias("text"), good.alias("from_article")).filter(F.length("text") >= least_excerpt)
 
 
+#: scheme, authority, path, query and fragment of a reference; RFC 3986, appendix B.
+REFERENCE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without "." and ".." segments: a fold over its segments that keeps those that are open. ".." above the root
+    stays at the root; at the end, both leave a slash."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.array_append(a, x)))
+    tail = F.when(path.rlike(r"(^|/)\.{1,2}$"), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), tail)).otherwise(path)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """A reference resolved against the url of its page (RFC 3986, 5.2), the fragment kept."""
+    part = lambda text, i: F.regexp_extract(text, REFERENCE, i)
+    own_scheme, own_host = F.concat(part(base, 1), F.lit(":")), F.concat(F.lit("//"), part(base, 2))
+    path, query, fragment = part(href, 3), part(href, 4), part(href, 5)
+    folder = F.when(part(base, 3) == "", "/").otherwise(F.regexp_replace(part(base, 3), "[^/]*$", ""))
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(part(href, 1) != "", F.concat(part(href, 1), F.lit(":"), F.when(href.rlike("^[^/?#]*://"), F.concat(F.lit("//"), part(href, 2))).otherwise(""), without_dots(path), query, fragment))
+        .when(href.startswith("//"), F.concat(own_scheme, F.lit("//"), part(href, 2), without_dots(path), query, fragment))
+        .when(path == "", F.concat(own_scheme, own_host, part(base, 3), F.when(query != "", query).otherwise(part(base, 4)), fragment))
+        .otherwise(F.concat(own_scheme, own_host, without_dots(merged), query, fragment))
+    )
+
+
 def links(pages: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
     """page_id, url, text of the anchors, relative ones resolved, the first of each url; with extensions only those
-    whose url, text or title ends in one."""
+    whose url, text or title ends in one. Anchors within the page and other schemes than http(s) are left out; an anchor
+    without text has its title."""
     anchors = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), 1)
     rows = pages.select("page_id", "url", F.posexplode(anchors).alias("pos", "a"))
-    href = decode(F.regexp_extract("a", r"""(?is)\bhref\s*=\s*["']([^"']*)""", 1))
-    title = F.regexp_extract("a", r"""(?is)^<a\b[^>]*\btitle\s*=\s*["']([^"']*)""", 1)
-    text = F.trim(F.regexp_replace(decode(untagged(F.col("a"))), r"\s+", " "))
-    root = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0)
-    folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"([^/])/[^/]*$", "$1/")
-    full = (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract("url", r"^[a-zA-Z]+:", 0), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(folder, href))
-    )
-    rows = rows.filter((href != "") & ~href.rlike("(?i)^(javascript|mailto|tel|data):|^#"))
+    rows = rows.withColumns({"href": F.trim(decode(F.regexp_extract("a", r"""(?is)\bhref\s*=\s*["']([^"']*)""", 1))), "title": F.trim(F.regexp_replace(decode(F.regexp_extract("a", r"""(?is)^<a\b[^>]*\btitle\s*=\s*["']([^"']*)""", 1)), r"\s+", " ")), "text": F.trim(F.regexp_replace(decode(untagged(F.col("a"))), r"\s+", " "))})
+    rows = rows.filter((F.col("href") != "") & ~F.col("href").startswith("#"))
+    rows = rows.select("page_id", "pos", "href", "title", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("title")).alias("text"), resolved(F.col("url"), F.col("href")).alias("full")).filter(F.col("full").rlike("(?i)^https?://"))
     if extensions:
         ends = rf"(?i)\.({'|'.join(extensions)})([?#].*)?$"
-        rows = rows.filter(href.rlike(ends) | text.rlike(ends) | title.rlike(ends))
-    out = rows.select("page_id", full.alias("url"), text.alias("text"), "pos")
-    return out.groupBy("page_id", "url").agg(F.min_by("text", "pos").alias("text"), F.min("pos").alias("pos"))
+        rows = rows.filter(F.col("full").rlike(ends) | F.col("text").rlike(ends) | F.col("title").rlike(ends))
+    return rows.groupBy("page_id", F.col("full").alias("url")).agg(F.min_by("text", "pos").alias("text"), F.min("pos").alias("pos"))
 
 
 def host_of(url: Column) -> Column:
@@ -97,10 +134,10 @@ def allowed(rows: DataFrame, patterns: list[str], url_col: str = "url") -> DataF
 
     names = sorted({re.sub(r"^[a-z]+://|^\*?\.|/.*$", "", re.sub(r"^[a-z]+://", "", p.strip().lower())) for p in patterns} - {""})
     host = host_of(F.col(url_col))
-    hit = F.lit(False)
-    for n in names:
-        hit = hit | (host == n) | F.endswith(host, F.lit("." + n))
-    return rows.withColumns({"host": host, "trusted": hit})
+    # the host and what it lies under, one look-up each: the plan does not grow with the list
+    labels = F.split(F.col("host"), "[.]")
+    under = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return rows.withColumn("host", host).withColumn("trusted", F.coalesce(F.exists(under, lambda n: n.isin(names)), F.lit(False)) if names else F.lit(False))
 
 
 def robots_allows(rules: DataFrame, urls: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import markup as M
 from ..operators import proofread as P
 from ..operators import structure as S
 from ..operators import web as H
@@ -122,7 +124,9 @@ def clipped_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text"), 60).alias("head"), T.estimate_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
-ENTITY_SQL = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&mdash;', '—'), '&ndash;', '–'), '&hellip;', '…'), '&amp;', '&')"
+ENTITY_SQL = "{0}"
+for _name, _char in sorted(H.PAGE_ENTITIES.items(), key=lambda x: x[0] == "amp"):
+    ENTITY_SQL = f"replace({ENTITY_SQL}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
 NOISE_SQL = "regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<({0})\\b[^>]*>.*?</({0})\\s*>', ' ', 'gis')"
 TAGS_SQL = "regexp_replace({0}, '<[^>]*>', ' ', 'gs')"
 PAGE_SQL = "trim(regexp_replace(" + ENTITY_SQL.format(TAGS_SQL.format(NOISE_SQL.format(H.NOISE))) + ", '\\s+', ' ', 'g'))"
@@ -151,17 +155,61 @@ def page_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.accepted(table(spark, sf_dir, "pages"))
 
 
-LINKS_SQL = rf"""with a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) as a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>'), 1) - 1 as pos from pages),
-    p as (select page_id, pos, {ENTITY_SQL.format("regexp_extract(a, '(?is)" + chr(92) + "bhref" + chr(92) + "s*=" + chr(92) + "s*[" + chr(34) + chr(39) * 2 + "]([^" + chr(34) + chr(39) * 2 + "]*)', 1)")} as href, trim(regexp_replace({ENTITY_SQL.format(TAGS_SQL.format("a"))}, '\s+', ' ', 'g')) as text,
-        regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') as root, regexp_extract(url, '^[a-zA-Z]+:') as scheme, regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\1/') as folder from a),
-    f as (select page_id, pos, text, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then href when starts_with(href, '//') then scheme || href when starts_with(href, '/') then root || href else folder || href end as url
-        from p where href <> '' and not regexp_matches(href, '(?i)^(javascript|mailto|tel|data):|^#'))
-    select page_id, url, min_by(text, pos) as text, min(pos)::int as pos from f group by 1, 2"""
+#: Anchors that the pages do not have, put behind each.
+ANCHORS = (
+    '<a href="?p=2&amp;q=1">query</a><a href="../k.pdf">up</a><a href="./a/../b;x=1#f">dots</a><a title="named" href="//Other.org/x/./y"> </a><a href="../../../g/.">high</a><a href="#top">here</a>'
+    '<a href="mailto:a@b.c">mail</a><a href="HTTPS://a.org/./z">whole</a><a href="g?y=a/../b">kept</a><a href="/r/..">root</a><a href="f.aspx?id=3">下载建设项目管理办法.docx）</a>'
+)
+
+
+def linked(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", F.concat("html", F.lit(ANCHORS)).alias("html"))
+
+
+def dots_sql(path: str) -> str:
+    kept = f"list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda a, x: case when x[1] = '.' then a when x[1] = '..' then case when len(a) > 1 then a[: -2] else a end else list_concat(a, x) end, []::varchar[])"
+    return rf"case when regexp_matches({path}, '(^|/)\.{{1,2}}(/|$)') then array_to_string({kept}, '/') || case when regexp_matches({path}, '(^|/)\.{{1,2}}$') then '/' else '' end else {path} end"
+
+
+REFERENCE_SQL = "(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)([?][^#]*)?(#.*)?$"
+LINKS_SQL = rf"""with g as (select page_id, url, html || '{ANCHORS}' as html from pages),
+    a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) as a, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>'), 1) - 1 as pos from g),
+    p as (select page_id, url, pos, trim({ENTITY_SQL.format("regexp_extract(a, '(?is)" + chr(92) + "bhref" + chr(92) + "s*=" + chr(92) + "s*[" + chr(34) + chr(39) * 2 + "]([^" + chr(34) + chr(39) * 2 + "]*)', 1)")}) as href,
+        coalesce(nullif(trim(regexp_replace({ENTITY_SQL.format(TAGS_SQL.format("a"))}, '\s+', ' ', 'g')), ''), regexp_extract(a, 'title="([^"]*)"', 1)) as text from a),
+    r as (select *, {", ".join(f"regexp_extract(url, '{REFERENCE_SQL}', {i}) b{i}, regexp_extract(href, '{REFERENCE_SQL}', {i}) h{i}" for i in range(1, 6))} from p where href <> '' and not starts_with(href, '#')),
+    m as (select *, case when starts_with(h3, '/') then h3 when b3 = '' then '/' || h3 else regexp_replace(b3, '[^/]*$', '') || h3 end as merged from r),
+    f as (select page_id, pos, text, case when h1 <> '' then h1 || ':' || case when regexp_matches(href, '^[^/?#]*://') then '//' || h2 else '' end || {dots_sql("h3")} || h4 || h5
+        when starts_with(href, '//') then b1 || '://' || h2 || {dots_sql("h3")} || h4 || h5
+        when h3 = '' then b1 || '://' || b2 || b3 || coalesce(nullif(h4, ''), b4) || h5 else b1 || '://' || b2 || {dots_sql("merged")} || h4 || h5 end as url from m)
+    select page_id, url, min_by(text, pos) as text, min(pos)::int as pos from f where regexp_matches(url, '(?i)^https?://') group by 1, 2"""
 
 
 @R.query(LINKS_SQL)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.links(table(spark, sf_dir, "pages"))
+    return H.links(linked(table(spark, sf_dir, "pages")))
+
+
+@R.query("""select page_id, '<' || chr((8000 + page_id % 500)::int) || chr((10240 + page_id % 97)::int) || '&lt; &bogus; &copy;' || chr((128512 + page_id % 60)::int) || ' &#55296; “' as text from pages""")
+def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric entities of both kinds, names, what is no entity, and one that is written as text, made from each page's id."""
+    n = lambda first, size: (F.col("page_id") % size + first).cast("string")
+    made = F.concat(F.lit("&lt;&#"), n(8000, 500), F.lit(";&#x"), F.hex(F.col("page_id") % 97 + 10240), F.lit(";&amp;lt; &bogus; &copy;&#"), n(128512, 60), F.lit("; &#55296; &ldquo;"))
+    return table(spark, sf_dir, "pages").select("page_id", H.decode(made).alias("text"))
+
+
+@R.query("""with r as (select l_orderkey, l_linenumber, l_quantity::bigint as q, l_partkey, l_returnflag as f from lineitem), c as (select l_orderkey from r group by 1),
+    t as (select l_orderkey as doc_id, 0 as n, '表格列：项目 | 数量' as text from c union all select l_orderkey, 1, '项目；数量：件；数量：编号' from c
+        union all select l_orderkey, row_number() over (partition by l_orderkey order by f, l_linenumber, l_partkey, q) + 1, '项目：' || f || '；数量：' || q || '；数量：<' || l_partkey from r) select doc_id::bigint as doc_id, 0 as tbl, n::int as n, text from t""")
+def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as HTML tables with merged cells, read back as labelled rows."""
+    flags = W.partitionBy("l_orderkey", "l_returnflag")
+    items = table(spark, sf_dir, "lineitem").withColumns({"_n": F.count("*").over(flags), "_r": F.row_number().over(flags.orderBy("l_linenumber", "l_partkey", "l_quantity"))})
+    flag = F.when(F.col("_r") == 1, F.concat(F.lit("<td rowspan="), F.col("_n").cast("string"), F.lit("><b>"), "l_returnflag", F.lit("</b></td>"))).otherwise("")
+    row = F.concat(F.lit("<tr>"), flag, F.lit("<td> "), F.col("l_quantity").cast("long").cast("string"), F.lit("<br></td><TD class='x'>&lt;"), F.col("l_partkey").cast("string"), F.lit("</TD></tr>"))
+    rows = items.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_returnflag", "l_linenumber", "l_partkey", "l_quantity", row.alias("html")))), lambda x: x["html"]).alias("rows"))  # of one order
+    head = '<p>x</p><table><tr><th rowspan="2">项目</th><th colspan="2">数量</th></tr><tr><td>件</td><td>编号</td></tr>'
+    docs = rows.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(head), F.array_join("rows", "\n"), F.lit("</table>")).alias("text"))
+    return M.labelled_rows(M.html_cells(docs))
 
 
 @R.query("""with h as (select page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host from pages)

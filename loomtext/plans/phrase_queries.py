@@ -9,7 +9,7 @@ from ..functions import phrases as H
 from ..functions import terms as W
 from ..functions import text as T
 from ..operators import web
-from .document_queries import LINES_SQL, LINKS_SQL
+from .document_queries import LINES_SQL, LINKS_SQL, linked
 from .proofread_queries import line_rows
 from .registry import Registry, table
 
@@ -48,10 +48,10 @@ def line_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPES_SQL = ", ".join(f"'{t}'" for t in H.FILE_TYPES)
 
 
-@R.query(f"""with k as ({LINKS_SQL}), t as (select page_id, url, text, regexp_extract(lower(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1)), '\\.([^.]*)$', 1) as a, regexp_extract(lower(trim(text)), '\\.([^.]*)$', 1) as b from k)
-    select page_id, url, case when a in ({TYPES_SQL}) then a end as file_type, case when b in ({TYPES_SQL}) then b end as named_type, len(regexp_extract_all(text, '[一-鿿]')) >= 4 as names_document from t""")
+@R.query(f"""with k as ({LINKS_SQL}), t as (select page_id, url, text, regexp_extract(lower(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1)), '\\.([^.]*)$', 1) as a, regexp_extract(lower(regexp_replace(trim(text), '[）)]+$', '')), '\\.([^.]*)$', 1) as b from k)
+    select page_id, url, case when a in ({TYPES_SQL}) then a end as file_type, case when b in ({TYPES_SQL}) then b end as named_type, len(regexp_extract_all(replace(text, '下载', ''), '[一-鿿]')) >= 4 as names_document from t""")
 def link_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = web.links(table(spark, sf_dir, "pages"))
+    links = web.links(linked(table(spark, sf_dir, "pages")))
     return links.select("page_id", "url", H.file_type(F.col("url")).alias("file_type"), H.named_type(F.col("text")).alias("named_type"), H.names_document(F.col("text")).alias("names_document"))
 
 

@@ -413,6 +413,52 @@ def test_merging_twice_adds_nothing(spark):
 
 
 # ---- web -----------------------------------------------------------------------------------------------------------
+def test_references_are_resolved(spark):
+    """The cases of RFC 3986, 5.4, and bases with little path."""
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s",
+        ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g",
+        "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h",
+        "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/../x": "http://a/b/c/g#s/../x",
+    }
+    rows = [(base, h, u) for h, u in cases.items()] + [("http://a", "g", "http://a/g"), ("http://a?x", "g", "http://a/g"), ("http://a", "?y", "http://a?y"), ("https://a.org/x/y?z", "?p=2", "https://a.org/x/y?p=2"), ("https://a.org/x/y", "../k.pdf", "https://a.org/k.pdf")]
+    out = spark.createDataFrame(rows, "base string, href string, want string").withColumn("got", H.resolved(F.col("base"), F.col("href"))).collect()
+    assert {(r["base"], r["href"]): r["got"] for r in out} == {(b, h): u for b, h, u in rows}
+
+
+def test_entities(spark):
+    cases = {"a &amp;lt; b": "a &lt; b", "&#8217;&#x2019;&#X41;": "’’A", "&eacute; &bogus; &;": "&eacute; &bogus; &;", "&#55296;&#1114112;": "&#55296;&#1114112;", "&#128512;x": "😀x", "no": "no", "&": "&", "&nbsp;&ldquo;": " “", "&mdash;": "&mdash;"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", H.decode(F.col("t")).alias("x"), H.decode(F.col("t"), H.MARKUP_ENTITIES).alias("m")).collect()
+    assert {r["t"]: r["x"] for r in rows} == cases and {r["t"]: r["m"] for r in rows}["&mdash;"] == "—"
+
+
+def test_host_list(spark):
+    names = [f"h{i}.org" for i in range(3000)] + ["*.blog.example.net", "https://Example.org/x", ".dot.cn", ""]
+    urls = {"http://h7.org/": True, "http://a.b.h2999.org:80/x": True, "http://xh7.org/": False, "http://blog.example.net": True, "http://example.net": False, "http://u@EXAMPLE.org/": True, "no": False, "http://a.dot.cn": True, None: False}
+    out = H.allowed(spark.createDataFrame([(u,) for u in urls], "url string"), names)
+    assert {r["url"]: r["trusted"] for r in out.collect()} == urls and H.allowed(out.select("url"), []).filter("trusted").count() == 0
+
+
+HTML = """<table><tr><td rowspan="2">项目</td><td colspan="2">金额（万元）</td></tr>
+<tr><td>2024年</td><td>2025年</td></tr>
+<tr><td>硬件购置</td><td>1,260</td><td>800</td></tr>
+<tr><td rowspan=2>软件</td><td>300</td><td>&lt;100</td></tr>
+<tr><td>50</td><td>60</td></tr></table> text <TABLE><tr><td>单独<br>一格 <b>x</b></td></tr></TABLE>"""
+
+
+def test_html_tables(spark):
+    docs = spark.createDataFrame([(1, HTML), (2, None), (3, "no table"), (4, "<table></table><table><tr></tr></table>"), (5, "<table><tr><td>a</td><td></td><td>c</td></tr><tr><td></td><td>y</td></tr><tr><th> </th></tr></table>")], "doc_id long, text string")
+    got = [(r["doc_id"], r["tbl"], r["text"]) for r in M.labelled_rows(M.html_cells(docs)).orderBy("doc_id", "tbl", "n").collect()]
+    assert got == [
+        (1, 0, "表格列：项目 | 金额（万元）"), (1, 0, "项目；金额（万元）：2024年；金额（万元）：2025年"), (1, 0, "项目：硬件购置；金额（万元）：1,260；金额（万元）：800"), (1, 0, "项目：软件；金额（万元）：300；金额（万元）：<100"), (1, 0, "项目：软件；金额（万元）：50；金额（万元）：60"),
+        (1, 1, "单独 一格 x"), (5, 0, "表格列：a | c"), (5, 0, "y"),
+    ]
+    assert M.filled([[("a", 3, 1), ("b", 1, 2)], [("c", 2, 2)], [("d", 1, 1)], []]) == [["a", "b", "b"], ["a", "c", "c"], ["a", "c", "c", "d"], []]
+    pipes = M.labelled_rows(M.pipe_cells(spark.createDataFrame([(1, "| 序号 | 名称 | 备注 |\n|:---|---|---:|\n| 1 | 路灯 | 含\\|杆 |\n| 2 | 信号灯 | |")], "doc_id long, text string"))).orderBy("n").collect()
+    assert [r["text"] for r in pipes] == ["表格列：序号 | 名称 | 备注", "序号：1；名称：路灯；备注：含|杆", "序号：2；名称：信号灯"]
+
+
 def test_links(spark):
     html = '<a href="/f/a.pdf">One</a> <a href="b.docx?x=1" title="t">Two</a> <a href="//c.org/z">Three.xlsx</a> <a href="javascript:x()">no</a> <a href="/f/a.pdf">again</a><a href="http://d.org/p" title="doc.pdf">Four</a>'
     rows = H.links(spark.createDataFrame([(1, "https://a.org/x/y?q", html)], "page_id long, url string, html string"), ("pdf", "docx", "xlsx")).orderBy("pos").collect()
