@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as X
 from .search import FIELD_WEIGHTS, K1, POOL, B, ranked
-from .storage import stored
+from .storage import committed, stored
 
 TABLES = {
     "postings": "term string, chunk_id long, doc_id long, tf double, len double",
@@ -67,13 +67,7 @@ class Index:
     # ---- batches ---------------------------------------------------------------------------------------------------
     def batches(self) -> list[int]:
         """Numbers of the batches that count, by the success marks of `replaced`."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/replaced")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path
-        found = [s.getPath() for s in fs.listStatus(fs_path) if s.isDirectory()]
-        return sorted(int(p.getName().removeprefix("batch=")) for p in found if fs.exists(mark(p, "_SUCCESS")))
+        return committed(self.spark, f"{self.path}/replaced", "batch")
 
     def _write(self, rows: DataFrame, table: str, batch: int) -> None:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{table}/batch={batch}")

@@ -21,3 +21,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def committed(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders `name=n` below a path whose write has succeeded, ascending; none without the path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.getName().partition("=")[2]) for p in found if fs.exists(hadoop(p, "_SUCCESS")))

@@ -254,25 +254,30 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.within_budget(rows, "doc_id", "index", "size", 200).select("doc_id", "index", "used")
 
 
-def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the one before it that begins alike."""
-    by = W.partitionBy("head").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.left("text", F.lit(60))).alias("head"))
-    return docs.select("doc_id", F.lag("doc_id").over(by).alias("old_id"), F.lag("text").over(by).alias("old"), F.col("text").alias("new")).filter("old_id is not null")
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and an edited text: some words go, some are replaced by marks that stand nowhere else."""
+    word = lambda x, i: F.when(i % 41 == 5, F.concat(F.lit("⟦"), i.cast("string"), F.lit("⟧"))).when(i % 67 != 3, x)
+    words = F.filter(F.transform(F.split("text", " "), word), lambda x: x.isNotNull())
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"), F.array_join(words, " ").alias("new"))
 
 
-@R.query()
+EDITED_SQL = """e as (select doc_id, text as old, list_filter(list_transform(string_split(text, ' '), lambda x, i: case when (i - 1) % 41 = 5 then '⟦' || (i - 1) || '⟧' when (i - 1) % 67 <> 3 then x end), lambda x: x is not null) as w from documents),
+    n as (select doc_id, length(old) as old, length(array_to_string(w, ' ')) as new, coalesce(list_sum(list_transform(list_filter(w, lambda x: starts_with(x, '⟦')), lambda x: length(x))), 0) as marks from e)"""
+
+
+@R.query(f"with {EDITED_SQL} select doc_id, (old - new + marks)::int as n_deleted, marks::int as n_inserted from n")
 def diff_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.edit_counts(D.diff_spans(copies(spark, sf_dir))).select("doc_id", "old_id", F.size("spans").alias("n_spans"), "n_deleted", "n_inserted")
+    """Characters that a shortest edit deletes and inserts: all that both texts have in common stays, so it inserts the marks
+    alone. A longer edit would count more."""
+    return D.edit_counts(D.diff_spans(edited(spark, sf_dir), absorb=0)).select("doc_id", "n_deleted", "n_inserted")
 
 
-@R.query("""with h as (select doc_id, text, substr(text, 1, 60) as head from documents), p as (select doc_id, lag(doc_id) over (partition by head order by doc_id) as old_id, lag(text) over (partition by head order by doc_id) as old, text from h)
-    select doc_id, old_id, true as restored, true as balanced from p where old_id is not null""")
+@R.query("select doc_id, sha256(text) as old_sha256, true as restored from documents")
 def diff_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal and inserted spans give the new text, equal and deleted ones the old."""
-    rows = D.diff_spans(copies(spark, sf_dir))
+    """Equal and deleted spans give the old text, equal and inserted ones the new."""
+    rows = D.diff_spans(edited(spark, sf_dir))
     text = lambda other: F.array_join(F.transform(F.filter("spans", lambda s: s.kind != other), lambda s: s.text), "")
-    return rows.select("doc_id", "old_id", (text("delete") == F.col("new")).alias("restored"), (text("insert") == F.col("old")).alias("balanced"))
+    return rows.select("doc_id", F.sha2(text("insert"), 256).alias("old_sha256"), (text("delete") == F.col("new")).alias("restored"))
 
 
 @R.query()

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import merge
 from ..operators import tables as O
+from ..operators.storage import shared_path
+from ..operators.structure import hard_cuts
+from ..sources.files import read_current, replace_all, restore_backup
 from .registry import Registry, table
 
 R = Registry()
@@ -120,25 +124,100 @@ def merge_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.new_content(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0")).groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
 
 
+def base(spark: SparkSession, sf_dir: str, keep: str, names: list[tuple[int, str, int]]) -> dict[str, DataFrame]:
+    """A knowledge base of the documents that `keep` picks: chunks of 400 characters, parents of four of them, and two
+    models' vectors, the second's of half the length."""
+    docs = table(spark, sf_dir, "documents").filter(keep)
+    chunks = hard_cuts(docs).select(F.expr("doc_id * 1000 + chunk_no").alias("chunk_id"), "doc_id", F.expr("doc_id * 1000 + chunk_no div 4").alias("parent_id"), "start", "text")
+    firsts = docs.select(F.expr("doc_id * 1000").alias("chunk_id"), F.col("doc_id").alias("vec_id"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(firsts, "vec_id")
+    whole = vectors.select("chunk_id", F.lit(1).cast("long").alias("model_id"), F.col("embedding").alias("vector"))
+    half = vectors.select("chunk_id", F.lit(2).cast("long").alias("model_id"), F.slice("embedding", 1, 32).alias("vector"))
+    return {
+        "documents": docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.concat("source", F.lit("/?.txt")).alias("file_name"), F.lit("old").alias("stored_name")),
+        "parents": chunks.select("parent_id", "doc_id").distinct(),
+        "chunks": chunks,
+        "models": spark.createDataFrame(names, "model_id long, name string, dim int"),
+        "embeddings": whole.unionByName(half),
+    }
+
+
+OURS, THEIRS = [(1, "whole", 64), (2, "half", 16)], [(1, "half", 64), (2, "whole", 64)]
+#: Half of the documents, and a third with ids that clash; what comes in follows on in the old order.
+MERGE_SQL = """with recursive o as (select doc_id, sha256(text) as h, source, text from documents where doc_id % 2 = 0), t as (select doc_id, sha256(text) as h, source, text from documents where doc_id % 3 = 0),
+    n as (select * from t where h not in (select h from o) qualify row_number() over (partition by h order by doc_id) = 1),
+    d as (select doc_id as old, doc_id, source, text, true as own from o union all select doc_id, (select max(doc_id) from o) + row_number() over (order by doc_id), source, text, false from n),
+    c as (select old, doc_id, own, old * 1000 + i as chunk_id, old * 1000 + i // 4 as parent_id, i * 400 as start, substr(text, i * 400 + 1, 400) as text from (select *, unnest(range(0, (length(text) + 399) // 400)) as i from d)),
+    p as (select parent_id, (select max(parent_id) from c where own) + row_number() over (order by parent_id) as new from (select distinct parent_id from c where not own)),
+    m as (select c.old, c.doc_id, own, c.chunk_id as was, case when own then c.chunk_id else (select max(chunk_id) from c where own) + row_number() over (partition by own order by chunk_id) end as chunk_id, case when own then c.parent_id else p.new end as parent_id, start, text
+        from c left join p using (parent_id))"""
+
+
+@R.query(f"""{MERGE_SQL}, v as (select chunk_id, count(*) as n from m join embeddings on was = vec_id * 1000 and old = vec_id, (select unnest([1, 2]) as model) where own group by 1)
+    select doc_id::bigint as doc_id, chunk_id::bigint as chunk_id, parent_id::bigint as parent_id, start::int as start, length(text)::int as n_chars, coalesce(v.n, 0)::bigint as n_vectors from m left join v using (chunk_id)""")
+def merged_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a merged base with all their ids, and how many vectors they have. The other base calls a model of
+    another length half, and whole one whose vectors have half the length, so none of its vectors can be taken."""
+    merged, _ = merge.merged_bases(base(spark, sf_dir, "doc_id % 2 = 0", OURS), base(spark, sf_dir, "doc_id % 3 = 0", THEIRS))
+    counts = merged["embeddings"].groupBy("chunk_id").agg(F.count("*").alias("n_vectors"))
+    rows = merged["chunks"].join(counts, "chunk_id", "left")
+    return rows.select("doc_id", "chunk_id", "parent_id", "start", F.length("text").alias("n_chars"), F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+
+
+@R.query(f"""{MERGE_SQL}, e as (select count(*) as n from m join embeddings on was = vec_id * 1000 and old = vec_id where not own)
+    select 'documents skipped' as what, '' as name, (select count(*) from t) - (select count(*) from n) as n union all select 'documents added', '', count(*) from n union all select 'chunks added', '', count(*) from m where not own
+    union all select 'embeddings added', '', n from e union all select 'model skipped', 'half', 1""")
+def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merge took and what it left: the first model's vectors come in under its number here."""
+    theirs = base(spark, sf_dir, "doc_id % 3 = 0", [(1, "whole", 64), (2, "half", 32)])
+    return merge.merged_bases(base(spark, sf_dir, "doc_id % 2 = 0", OURS), theirs)[1]
+
+
+@R.query("""with a as (select count(*) as n, sum(doc_id)::bigint as ids from documents), b as (select count(*) as n, sum(doc_id)::bigint as ids from documents where doc_id % 2 = 0)
+    select 1 as step, n, ids from a union all select 2, n, ids from b union all select 3, n, ids from b union all select 4, n, ids from a""")
+def replace_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current documents after a first import, after one that replaces them, after one whose check fails, and after the
+    backup was named current again."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "state")
+
+    def state(step: int) -> DataFrame:
+        return read_current(spark, path)["documents"].agg(F.lit(step).alias("step"), F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+    def check(tables: dict[str, DataFrame]) -> None:
+        if tables["documents"].filter("text is null").limit(1).count():
+            raise ValueError("a document without text")
+
+    replace_all(spark, {"documents": docs}, path, check)
+    out = state(1)
+    replace_all(spark, {"documents": docs.filter("doc_id % 2 = 0")}, path, check)
+    out = out.unionByName(state(2))
+    try:
+        replace_all(spark, {"documents": docs.withColumn("text", F.lit(None).cast("string"))}, path, check)
+    except ValueError:
+        out = out.unionByName(state(3))
+    restore_backup(spark, path)
+    return out.unionByName(state(4))
+
+
 @R.query("""with c as (select user_id, event_type, max(ts) as t from events group by 1, 2), now as (select max(ts) as now from events),
     w as (select distinct user_id + 1 as user_id, event_type from events)
     select user_id, event_type, coalesce(t >= now - interval 3 days, false) as hit from w cross join now left join c using (user_id, event_type)""")
 def cache_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which kinds that the user with the number before has do have an entry of the last three days of the table."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
-    now = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
-    cache = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("created_at")).withColumn("result", F.lit(True))
+    now = F.broadcast(e.agg(F.max("ts").alias("_now")))  # one row
+    cache = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("created_at")).withColumn("result", F.lit(True)).crossJoin(now)
     wanted = e.select((F.col("user_id") + 1).alias("user_id"), "event_type").distinct()
-    return O.cached(wanted, cache, ["user_id", "event_type"], now, 3).select("user_id", "event_type", F.coalesce("result", F.lit(False)).alias("hit"))
+    return O.cached(wanted, cache, ["user_id", "event_type"], F.col("_now"), 3).select("user_id", "event_type", F.coalesce("result", F.lit(False)).alias("hit"))
 
 
 @R.query("""with c as (select user_id, event_type, max(ts) as t from events group by 1, 2), now as (select max(ts) as now from events)
     select user_id, bool_and(t >= now - interval 3 days) as all_cached from c cross join now group by 1""")
 def section_all_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
-    now = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
-    newest = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("created_at")).withColumn("result", F.lit(True))
-    rows = O.cached(newest.select("user_id", "event_type"), newest, ["user_id", "event_type"], now, 3)
+    now = F.broadcast(e.agg(F.max("ts").alias("_now")))  # one row
+    newest = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("created_at")).withColumn("result", F.lit(True)).crossJoin(now)
+    rows = O.cached(newest.select("user_id", "event_type"), newest, ["user_id", "event_type"], F.col("_now"), 3)
     return rows.groupBy("user_id").agg(F.bool_and(F.coalesce("result", F.lit(False))).alias("all_cached"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..operators.storage import committed
 
 TEXTS = ("txt", "text", "md", "markdown")
 DOCUMENTS = (*TEXTS, "docx", "pdf")
@@ -112,3 +116,55 @@ def load_version(spark: SparkSession, path: str, version: str | None = None) ->
     if not names:
         raise ValueError(f"no version {version}")
     return {n: spark.read.parquet(f"{path}/{version}/{n}") for n in names}
+
+
+# ---- the current state of a set of tables ------------------------------------------------------------------------------
+#: A pointer: which version is current, and which one it replaced.
+POINTER = "version string, backup string"
+
+
+def _point(spark: SparkSession, path: str, version: str, backup: str | None) -> None:
+    n = max(committed(spark, f"{path}/current", "n"), default=-1) + 1
+    spark.createDataFrame([(version, backup)], POINTER).coalesce(1).write.mode("overwrite").parquet(f"{path}/current/n={n}")
+
+
+def current(spark: SparkSession, path: str) -> tuple[str | None, str | None]:
+    """The current version and the one before it; the last pointer that was written to its end counts."""
+    known = committed(spark, f"{path}/current", "n")
+    if not known:
+        return None, None
+    row = spark.read.schema(POINTER).parquet(f"{path}/current/n={known[-1]}").first()
+    return row["version"], row["backup"]
+
+
+def read_current(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the current version."""
+    version, _ = current(spark, path)
+    if version is None:
+        raise ValueError(f"nothing is stored below {path}")
+    return load_version(spark, path, version)
+
+
+def replace_all(spark: SparkSession, tables: dict[str, DataFrame], path: str, checks: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
+    """Replace all tables at once: they are written as a version beside the current one, read again and checked, and only
+    then named the current one. The version before stays as the backup. A write or a check that fails (it raises) leaves
+    the current state as it was. Returns the version."""
+    before, _ = current(spark, path)
+    version = f"v{uuid.uuid4().hex}"
+    save_version(spark, tables, path, version)
+    written = load_version(spark, path, version)
+    if set(written) != set(tables):
+        raise ValueError(f"tables are missing: {sorted(set(tables) - set(written))}")
+    if checks is not None:
+        checks(written)
+    _point(spark, path, version, before)
+    return version
+
+
+def restore_backup(spark: SparkSession, path: str) -> str:
+    """Name the version before the current one current again; the one that was current becomes its backup."""
+    version, backup = current(spark, path)
+    if backup is None:
+        raise ValueError(f"no backup below {path}")
+    _point(spark, path, backup, version)
+    return backup
