@@ -11,7 +11,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import HAN, normalize, search_terms
+from .text import HAN, let, normalize, search_terms
 
 #: Words that an index leaves out; fixed values.
 STOP_WORDS = (
@@ -37,7 +37,7 @@ MARKS = "[̀-ͯ]"
 def without_accents(text: Column) -> Column:
     """Latin letters without their marks, whether the marks are part of the letter or follow it."""
     plain = F.translate(text, "".join(ACCENTED), "".join(ACCENTED.values()))
-    return F.when(plain.rlike(MARKS), F.regexp_replace(plain, MARKS, "")).otherwise(plain)
+    return let(plain, lambda x: F.when(x.rlike(MARKS), F.regexp_replace(x, MARKS, "")).otherwise(x))
 
 
 def number_matches(text: Column) -> Column:
@@ -51,8 +51,10 @@ def number_matches(text: Column) -> Column:
     both = F.arrays_zip(part(0).alias("whole"), part(1).alias("raw"), part(2).alias("year"), part(3).alias("count"))
     code = lambda raw: F.regexp_replace(F.regexp_replace(raw, f"^.*[{CODE_BREAKS}]", ""), f"^(?:{'|'.join(CODE_LEADS)})+", "")
     tail = lambda m: F.concat(F.lit("〔"), m["year"], F.lit("〕"), m["count"].cast("int").cast("string"), F.lit("号"))
-    each = F.transform(both, lambda m: F.struct(F.concat(code(m["raw"]), tail(m)).alias("number"), F.concat(m["raw"], tail(m)).alias("context"), m["whole"].alias("whole"), F.left(m["raw"], F.length(m["raw"]) - F.length(code(m["raw"]))).alias("lead")))
-    return F.filter(each, lambda m: ~m["number"].startswith("〔"))
+    one = lambda m, c: F.struct(F.concat(c, tail(m)).alias("number"), F.concat(m["raw"], tail(m)).alias("context"), m["whole"].alias("whole"), F.left(m["raw"], F.length(m["raw"]) - F.length(c)).alias("lead"))
+    each = F.transform(both, lambda m: let(code(m["raw"]), lambda c: one(m, c)))
+    none = F.array().cast("array<struct<number:string,context:string,whole:string,lead:string>>")
+    return F.when(text.contains("号"), F.filter(each, lambda m: ~m["number"].startswith("〔"))).otherwise(none)
 
 
 def doc_numbers(text: Column) -> Column:
@@ -84,7 +86,7 @@ def words(text: Column) -> Column:
 
 def index_terms(text: Column) -> Column:
     """Terms that a text is indexed under, repeats included. A null text gives null, an empty one none."""
-    return F.concat(special_terms(normalize(text)), words(text))
+    return F.concat(let(normalize(text), special_terms), words(text))
 
 
 def query_terms(text: Column, most: int = MOST_TERMS) -> Column:

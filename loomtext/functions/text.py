@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
 WORD = r"[\p{L}\p{N}]+"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once however often it is used, inside other functions of arrays too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Full-width ASCII and the ideographic space become their half-width forms; offsets stay."""
     return F.translate(text, FULL_WIDTH, HALF_WIDTH)
@@ -25,12 +32,11 @@ def words(text: Column) -> Column:
 def search_terms(text: Column) -> Column:
     """Words without Han, and overlapping pairs (or a single one) of each run of Han characters; texts without Han, the
     usual case, are only searched for words."""
-    low = F.lower(normalize(text))
-    runs = F.regexp_extract_all(low, F.lit(f"[{HAN}]+|[\\p{{L}}\\p{{N}}&&[^{HAN}]]+"), 0)
     pairs = lambda run: F.when(
         run.rlike(f"^[{HAN}]{{2,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
     ).otherwise(F.array(run))
-    return F.when(low.rlike(f"[{HAN}]"), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(WORD), 0))
+    runs = lambda low: F.regexp_extract_all(low, F.lit(f"[{HAN}]+|[\\p{{L}}\\p{{N}}&&[^{HAN}]]+"), 0)
+    return let(F.lower(normalize(text)), lambda low: F.when(low.rlike(f"[{HAN}]"), F.flatten(F.transform(runs(low), pairs))).otherwise(F.regexp_extract_all(low, F.lit(WORD), 0)))
 
 
 def han_count(text: Column) -> Column:

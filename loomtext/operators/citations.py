@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as X
-from ..functions.text import normalize
+from ..functions.text import let, normalize
 
 TITLE = r"《[^《》\n]{2,80}》"
 #: Codes of standards, a longer one before its beginning; fixed values.
@@ -22,7 +22,7 @@ CODES = (
     "GA/T GA JB/T HG/T YB/T SH/T SY/T TB/T TB QX/T WS/T WS YY/T JC/T JG/T LY/T NY/T SJ/T YD/T GY/T MH/T JR/T AQ/T AQ XF/T XF CH/T DZ/T TD/T CQJTG/T"
 ).split()
 #: A standard: code, number, year; a fixed pattern.
-STANDARD = rf"(?<![A-Za-z0-9/])({'|'.join(CODES)})\s*[-—–－]?\s*(\d{{1,6}}(?:\.\d{{1,3}})?)(?:\s*[-—–－]\s*((?:19|20)\d{{2}}))?"
+STANDARD = rf"(?<![A-Za-z0-9/])(?=[A-Z])({'|'.join(CODES)})\s*[-—–－]?\s*(\d{{1,6}}(?:\.\d{{1,3}})?)(?:\s*[-—–－]\s*((?:19|20)\d{{2}}))?"
 #: Words by which a title is told to be a standard, a law or a policy; fixed values.
 STANDARD_WORDS = "标准 规范 规程 导则 技术规定 技术要求 设计规定 图集".split()
 RULE_WORDS = "规定 办法 细则 规则".split()
@@ -47,13 +47,15 @@ def kind(title: Column, standard: Column, number: Column) -> Column:
 
 def located(text: str, pattern: str) -> Column:
     """Array of struct(start, whole) of the matches in a column: it is cut at them, and the lengths are added up."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gap = F.split(text, pattern, -1)
-    zipped = F.zip_with(whole, F.slice(gap, 1, F.size(whole)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
     none = F.array().cast("array<struct<start:int,whole:string>>")
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
     step = lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("start"), x["m"].alias("whole"))).alias("out"))
-    return F.when(F.size(whole) > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(none)
+
+    def placed(whole: Column) -> Column:
+        zipped = F.zip_with(whole, F.slice(F.split(text, pattern, -1), 1, F.size(whole)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+        return F.when(F.size(whole) > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def standard_number(whole: Column) -> Column:
@@ -66,12 +68,16 @@ def standard_number(whole: Column) -> Column:
 def spans(text: str) -> tuple[Column, Column, Column]:
     """Titles, standards and document numbers of a normalised text column: arrays of struct(start, end, value)."""
 
-    def each(pattern: str, value, lead=lambda m: F.lit(0)) -> Column:
-        return F.transform(located(text, pattern), lambda m: F.struct((m["start"] + lead(m["whole"])).alias("start"), (m["start"] + F.length(m["whole"])).alias("end"), value(m["whole"]).alias("value")))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    span = lambda m, value, lead=0: F.struct((m["start"] + lead).alias("start"), (m["start"] + F.length(m["whole"])).alias("end"), value.alias("value"))
+
+    def each(mark: str, pattern: str, one) -> Column:  # lines without the mark, most of them, are not searched
+        return F.when(F.col(text).rlike(mark), F.transform(located(text, pattern), one)).otherwise(none)
 
-    titles = each(TITLE, lambda w: F.trim(F.substring(w, F.lit(2), F.length(w) - 2)))
-    numbers = each(X.NUMBER, lambda w: F.get(X.number_matches(w), F.lit(0))["number"], lambda w: F.coalesce(F.length(F.get(X.number_matches(w), F.lit(0))["lead"]), F.lit(0)))
-    return titles, each(STANDARD, standard_number), F.filter(numbers, lambda m: m["value"].isNotNull())
+    titles = each("《", TITLE, lambda m: span(m, F.trim(F.substring(m["whole"], F.lit(2), F.length(m["whole"]) - 2))))
+    standards = each("[A-Z][A-Z/]", STANDARD, lambda m: span(m, standard_number(m["whole"])))
+    numbers = each("号", X.NUMBER, lambda m: let(F.get(X.number_matches(m["whole"]), F.lit(0)), lambda x: span(m, x["number"], F.coalesce(F.length(x["lead"]), F.lit(0)))))
+    return titles, standards, F.filter(numbers, lambda m: m["value"].isNotNull())
 
 
 def mentions(rows: DataFrame) -> DataFrame:
@@ -83,7 +89,7 @@ def mentions(rows: DataFrame) -> DataFrame:
     """
     text = rows.select("doc_id", "index", normalize(F.col("text")).alias("_n")).filter(F.col("_n").rlike("[《号]|[A-Z]"))
     titles, standards, numbers = spans("_n")
-    found = text.select("doc_id", "index", "_n", titles.alias("_t"), standards.alias("_s"), numbers.alias("_d")).filter(F.size("_t") + F.size("_s") + F.size("_d") > 0)
+    found = text.select("doc_id", "index", "_n", titles.alias("_t"), standards.alias("_s"), numbers.alias("_d"))
     between = lambda a, b: F.substring("_n", a + 1, b - a)
 
     def near(t: Column, x: Column) -> Column:

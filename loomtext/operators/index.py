@@ -34,25 +34,22 @@ TABLES = {
 }
 
 
-def occurrences(chunks: DataFrame, weights: Mapping[str, float], terms: Callable[[Column], Column]) -> DataFrame:
-    """chunk_id, doc_id, _s (term and weight of every occurrence, sorted by term), len (the sum of the weights)."""
+def counted(chunks: DataFrame, weights: Mapping[str, float], terms: Callable[[Column], Column]) -> DataFrame:
+    """term, chunk_id, doc_id, tf (the sum of a term's weights in the chunk), len (the sum of all weights).
 
-    def weighted(name: str, weight: float) -> Column:
-        return F.transform(terms(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-    each = [weighted(name, w) for name, w in weights.items() if name in chunks.columns]
-    rows = chunks.filter("chunk_id is not null and doc_id is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), F.sort_array(F.concat(*each)).alias("_s"))
-    return rows.filter(F.size("_s") > 0).withColumn("len", F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["w"]))
+    The chunks are dealt out by id first; their terms then lie together, and the sums take no further shuffle.
+    """
+    names = [name for name in weights if name in chunks.columns]
+    found = [terms(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))).alias(f"_t{i}") for i, name in enumerate(names)]
+    ids = [F.col(c).cast("long").alias(c) for c in ("chunk_id", "doc_id")]
+    rows = chunks.filter("chunk_id is not null and doc_id is not null").repartition("chunk_id").select(*ids, *found)
 
+    def weighted(i: int, weight: float) -> Column:
+        return F.transform(f"_t{i}", lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-def counted(found: DataFrame) -> DataFrame:
-    """term, chunk_id, doc_id, tf (the sum of a term's weights in the chunk), len. The sums are those of runs of equal
-    terms in a row, so nothing is shuffled for them."""
-    firsts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i)["term"] != F.get("_s", i - 1)["term"]))
-    run = lambda i, k: F.aggregate(F.slice("_s", i + 1, F.coalesce(F.get("_i", k + 1), F.size("_s")) - i), F.lit(0.0), lambda a, x: a + x["w"])
-    rows = found.withColumn("_i", firsts)
-    each = rows.select("chunk_id", "doc_id", "len", F.explode(F.transform("_i", lambda i, k: F.struct(F.get("_s", i)["term"].alias("term"), run(i, k).alias("tf")))).alias("x"))
-    return each.select("x.term", "chunk_id", "doc_id", "x.tf", "len")
+    size = sum((F.size(f"_t{i}") * float(weights[name]) for i, name in enumerate(names)), F.lit(0.0))
+    each = rows.select("chunk_id", "doc_id", size.alias("len"), F.explode(F.concat(*(weighted(i, weights[name]) for i, name in enumerate(names)))).alias("x"))
+    return each.groupBy("chunk_id", "doc_id", "len", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf")).select("term", "chunk_id", "doc_id", "tf", "len")
 
 
 @dataclass(frozen=True)
@@ -101,7 +98,7 @@ class Index:
         """
         known = self.batches()
         batch = known[-1] + 1 if known else 0
-        rows = counted(occurrences(chunks, self.weights, self.terms))
+        rows = counted(chunks, self.weights, self.terms)
         self._write(rows.sortWithinPartitions("term"), "postings", batch)
         fresh = self._batch("postings", batch)
         self._write(fresh.dropDuplicates(["chunk_id"]).select("chunk_id", "doc_id", "len"), "lengths", batch)
