@@ -124,6 +124,44 @@ def figure_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.figure_conflicts(facts, F.broadcast(units)).drop("dimension")  # the fixed table of units
 
 
+METRICS = ("建筑投资", "总投资", "设备投资", "项目投资额约", "占地面积", "面积", "备注量")
+
+
+@R.query(
+    f"""with recursive f as (select l_partkey as doc_id, ((l_orderkey * 10 + l_linenumber) * 1000 + l_quantity::bigint) * 10 + k as place, k, l_quantity as q from (select *, (l_orderkey + l_linenumber * 3) % 7 as k from lineitem)),
+    n as (select doc_id, place, ['建筑投资', '投资', '设备投资', '投资', '占地面积', '面积', '备注量'][k + 1] as name, case when k < 4 then 'money' when k < 6 then 'area' else 'other' end as dimension, case when k = 6 then '台' else '' end as unit,
+        q * case when k = 0 then 10000 when k = 5 then 10000 / 15.0::double else 1 end as v from f),
+    m as (select doc_id, dimension, unit, name, min(place) as place from n group by all),
+    o as (select *, row_number() over (partition by doc_id, dimension order by place) as i from m),
+    g as (select doc_id, dimension, i, [{{'n': name, 'm': name}}] as a from o where i = 1
+        union all select o.doc_id, o.dimension, o.i, list_append(a, {{'n': name, 'm': coalesce(list_filter(a, lambda x: x.n = x.m and (contains(x.m, name) or contains(name, x.m)))[1].m, name)}}) from g join o on g.doc_id = o.doc_id and g.dimension = o.dimension and o.i = g.i + 1),
+    u as (select doc_id, dimension, unnest(arg_max(a, i)) as x from g group by doc_id, dimension),
+    j as (select n.doc_id, n.dimension, unit, x.m as metric, place, v from n join u on n.doc_id = u.doc_id and n.dimension = u.dimension and n.name = x.n),
+    t as (select doc_id, dimension, metric, min_by(v, place) as first from j group by all)
+    select doc_id, '项目' as subject, metric, dimension, unit, count(*) as n, count(*) filter (where abs(v - first) > case when dimension = 'area' then 0.01 else 0.005 end * greatest(abs(v), abs(first), 1e-9)) as n_far
+        from j join t using (doc_id, dimension, metric) group by all having n_far > 0"""
+)
+def conflict_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of a part under names that contain each other, in several units, that differ from the first."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", (F.col("l_orderkey") + F.col("l_linenumber") * 3) % 7)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("k").cast("int"))
+    place = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("long")) * 10 + F.col("k")
+    value = F.concat(F.col("l_quantity").cast("string"), F.when(F.col("k") == 0, "万").otherwise(""))
+    unit = pick(["", "元", "元", " 元", "㎡", "亩", "台"])
+    return P.conflict_groups(rows.select(F.col("l_partkey").alias("doc_id"), place.alias("place"), F.lit("本 项目").alias("subject"), pick(METRICS).alias("metric"), value.alias("value"), unit.alias("unit")))
+
+
+@R.query("""with recursive c as (select conv_id, turn, turn % 3 as list, turn % 3 = 1 as single, length(text) as size from conversations), o as (select *, row_number() over (partition by conv_id order by list, turn) as i from c),
+    f as (select *, case when size <= 600 then size else 0 end as used, size <= 600 as admitted, case when size > 600 and not single then list end as ended from o where i = 1
+        union all select o.*, case when (o.single or f.ended is distinct from o.list) and f.used + o.size <= 600 then f.used + o.size else f.used end, (o.single or f.ended is distinct from o.list) and f.used + o.size <= 600,
+            case when (o.single or f.ended is distinct from o.list) and f.used + o.size <= 600 or o.single then f.ended else o.list end from f join o on o.conv_id = f.conv_id and o.i = f.i + 1)
+    select conv_id, list::int as list, turn::bigint as turn, used::bigint as used, admitted from f""")
+def admitted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as three lists under one budget of 600 characters, the second of single items."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("list"), (F.col("turn") % 3 == 1).alias("single"), F.length("text").alias("size"))
+    return P.admitted(c, "conv_id", 600, order="turn")
+
+
 #: What a line cites, by its number; L stands for the document's own word.
 CITING = {
     0: "依据《L管理办法》（国发〔2017〕N号）执行，见《L技术导则》。",

@@ -260,6 +260,30 @@ def test_figures(spark):
     assert {(r["value"], r["unit"]) for r in found} == {("3.5", "亿元"), ("20", "亩")}
 
 
+def test_conflict_groups(spark):
+    """Names that contain each other are one metric, in the order of the facts; units are converted or read off the value."""
+    facts = [
+        (1, 0, "本项目", "总投资", "3.2亿", ""), (1, 1, "项目", "建筑投资", "32000", "万元"), (1, 2, "", "项目投资额 约", "3.3", "亿元"), (1, 3, "整个工程", "设备投资", "320,000,000", "元"),
+        (2, 0, "甲", "建筑投资", "1", "元"), (2, 1, "甲", "设备投资", "2", "元"), (2, 2, "甲", "投资", "1", "元"), (2, 3, "乙", "投资", "5", "元"),
+        (3, 0, "甲", "面积", "100", "亩"), (3, 1, "甲", "占地面积", "66700", "平方米"), (3, 2, "甲", "面积", "6.5", "万㎡"), (3, 3, "甲", "建设工期", "2", "年"), (3, 4, "甲", "周期", "20", "个月"),
+        (4, 0, "甲", "数量", "5", "台"), (4, 1, "甲", "数量", "6", "套"), (4, 2, "甲", "数量", "7", "台"), (4, 3, "甲", "数量", "约三", "台"), (4, 4, "甲", "约", "9", "台"), (4, 5, None, None, None, None),
+    ]
+    out = P.conflict_groups(spark.createDataFrame(facts, "doc_id long, place long, subject string, metric string, value string, unit string"))
+    got = {(r["doc_id"], r["subject"], r["metric"], r["dimension"], r["n"], r["n_far"]) for r in out.collect()}
+    assert got == {(1, "项目", "投资", "money", 4, 1), (3, "甲", "面积", "area", 3, 1), (3, "甲", "工期", "duration", 2, 1), (4, "甲", "数量", "other", 2, 1)}
+    assert P.conflict_groups(out.sparkSession.createDataFrame([], "doc_id long, place long, subject string, metric string, value string, unit string")).collect() == []
+
+
+def test_admission_over_lists(spark):
+    items = [("g", 0, True, 0, 50), ("g", 0, True, 1, 60), ("g", 0, True, 2, 10), ("g", 1, False, 0, 20), ("g", 1, False, 1, 30), ("g", 1, False, 2, 5), ("g", 2, False, 0, 15), ("g", 2, False, 1, 6), ("h", 0, False, 0, 101), ("h", 1, False, 0, 100), ("h", 2, True, 0, None)]
+    rows = spark.createDataFrame(items, "g string, list int, single boolean, `order` long, size long")
+    got = {(r["g"], r["list"], r["order"]): (r["admitted"], r["used"]) for r in P.admitted(rows, "g", 100).collect()}
+    assert got == {
+        ("g", 0, 0): (True, 50), ("g", 0, 1): (False, 50), ("g", 0, 2): (True, 60), ("g", 1, 0): (True, 80), ("g", 1, 1): (False, 80), ("g", 1, 2): (False, 80), ("g", 2, 0): (True, 95), ("g", 2, 1): (False, 95),
+        ("h", 0, 0): (False, 0), ("h", 1, 0): (True, 100), ("h", 2, 0): (True, 100),
+    }
+
+
 def test_issue_merge_and_apply(spark):
     schema = "doc_id long, index int, start int, end int, category string, severity string, source string, original string, suggestion string"
     data = [(1, 0, 0, 4, "format", "warning", "model", "abcd", "w"), (1, 0, 2, 6, "typo", "error", "rule", "cdef", "x"), (1, 0, 8, 8, "format", "warning", "rule", "", "+"), (1, 0, 8, 8, "format", "warning", "rule", "", "+"), (1, 0, 8, 9, "typo", "warning", "rule", "i", "y"), (1, 1, 0, 1, "format", "warning", "rule", "z", "stale")]
