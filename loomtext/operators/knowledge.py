@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.terms import number_matches, query_terms
 from . import search as S
 from .index import Index
+from .metadata import is_letterhead
 from .storage import shared_path
 from .structure import chunks, heading
 
@@ -59,7 +60,7 @@ def edited_metadata(catalog: DataFrame, changes: DataFrame) -> DataFrame:
 
 def retitled(catalog: DataFrame, titles: DataFrame) -> DataFrame:
     """New titles (doc_id, title) for documents whose title is a letterhead or a hash, unless a user edited it."""
-    poor = ~F.col("meta_edited") & (F.col("title").isNull() | T.hash_like(F.col("title")) | F.col("title").rlike("(人民政府|委员会|办公室|局|厅)文件$"))
+    poor = ~F.col("meta_edited") & (F.col("title").isNull() | T.hash_like(F.col("title")) | is_letterhead(F.col("title")))
     rows = catalog.join(titles.select("doc_id", F.col("title").alias("_t")), "doc_id", "left")
     return rows.withColumn("title", F.when(poor, F.coalesce("_t", "title")).otherwise(F.col("title"))).drop("_t").select(*catalog.columns)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import markup as M
+from ..operators import metadata as D
 from ..operators import proofread as P
 from ..operators import structure as S
 from ..operators import web as H
@@ -114,6 +115,31 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.uncovered(docs, S.chunks(docs))
 
 
+#: Heads and ends of official documents, put around the texts by their number; W is a word of the document's own.
+FORMS = {
+    0: ("某市人民政府文件\n某政发[2023]第0N号\n关于W工作的通知\n各区人民政府：", "某市人民政府\n（盖章）\n二〇二三年十月N日\n某市办公室 2024年1月1日印发"),
+    1: ("特急\n某厅、某委关于进一步做好\nW工作的意见", "某省财政厅\n某市税务局（章）\n2022年3月N日"),
+    2: ("W管理条例\n（2021年6月N日第十次会议通过）", "没有署名。"),
+    3: ("某局关于W的方案\n发布日期：2024年2月N日", "某中心　　2020年5月N日"),
+}
+
+
+def official(docs: DataFrame) -> DataFrame:
+    """The lines of the documents in four forms."""
+    filled = lambda k: [F.replace(F.replace(F.lit(FORMS[k][i]), F.lit("N"), (F.col("doc_id") % 9 + 11).cast("string")), F.lit("W"), F.col("source")) for i in (0, 1)]
+    text = F.coalesce(*(F.when(F.col("doc_id") % 4 == k, F.concat(filled(k)[0], F.lit("\n\n"), "text", F.lit("\n"), filled(k)[1])) for k in FORMS))
+    return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("index", "text"))
+
+
+@R.query("""select doc_id, case doc_id % 4 when 0 then '关于' || source || '工作的通知' when 1 then '某厅、某委关于进一步做好' || source || '工作的意见' when 2 then source || '管理条例' else '某局关于' || source || '的方案' end as title,
+    case when doc_id % 4 = 0 then '某政发〔2023〕' || (doc_id % 9 + 11) || '号' else '' end as doc_number, case doc_id % 4 when 0 then '某市人民政府' when 1 then '某省财政厅 某市税务局' when 2 then '' else '某中心' end as issuer,
+    case doc_id % 4 when 0 then '2023-10-' when 1 then '2022-03-' when 2 then '2021-06-' else '2020-05-' end || (doc_id % 9 + 11) as date from documents""")
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents say about themselves, in the forms of official texts."""
+    out = D.metadata(official(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "doc_number", "issuer", "date")))
+
+
 @R.query("select lang, sum(length(regexp_replace(text, '\\s', '', 'g')))::bigint as n_chars, count(*) as n_docs from documents group by 1")
 def nonspace_chars_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.nonspace_chars(F.col("text"))).alias("n_chars"), F.count("*").alias("n_docs"))

@@ -14,6 +14,7 @@ from loomtext.functions import terms
 from loomtext.functions import text as T
 from loomtext.operators import diff as D
 from loomtext.operators import markup as M
+from loomtext.operators import metadata as G2
 from loomtext.operators import models as L
 from loomtext.operators import numbering as U
 from loomtext.operators import places as G
@@ -187,10 +188,24 @@ def test_markdown_and_paths(spark):
     assert [(r["path"], r["text"]) for r in out] == [(["A"], "# A\r\ntext\n```\n# no\n~~~\n# nor\n```"), (["A", "B"], "## B ##\nmore"), (["C"], "# C")]
 
 
+META = {
+    "某省人民政府文件\n某政发[2020] 012号\n关于加强水资源管理的通知\n各市人民政府：\n正文。\n某省人民政府\n2020年5月6日": ("关于加强水资源管理的通知", "某政发〔2020〕12号", "某省人民政府", "2020-05-06"),
+    "某市人民政府\n某政发[2023]5号\n某市人民政府关于加快建设的实施方案\n各区人民政府，各委、办、局：\n　　通知如下。\n某市人民政府　　2023年5月10日": ("某市人民政府关于加快建设的实施方案", "某政发〔2023〕5号", "某市人民政府", "2023-05-10"),
+    "财政部 税务总局文件\n财预【2022】1号\n关于优惠政策的公告\n　　期限为2022年1月1日至2024年12月31日。\n财政部　　　　税务总局\n（盖章）\n2022年3月14日\n抄送：各省财政厅（局）。\n财政部办公厅　　2022年3月15日印发": ("关于优惠政策的公告", "财预〔2022〕1号", "财政部 税务总局", "2022-03-14"),
+    "某市统计局关于加强管理的规定\n某统发〔2024〕3号\n发布日期：2024年1月20日\n第一条 应当注明来源。": ("某市统计局关于加强管理的规定", "某统发〔2024〕3号", "某市统计局", "2024-01-20"),
+    "某国数据安全法\n（2021年6月10日某届常务委员会通过）\n第一章　总　　则\n本法自2021年9月1日起施行。": ("某国数据安全法", None, None, "2021-06-10"),
+    "某办公厅关于印发《五年设想》\n的通知\n各省：\n正文\n某局\n某委员会（章）\n二〇二四年十二月三十一日": ("某办公厅关于印发《五年设想》的通知", None, "某局 某委员会", "2024-12-31"),
+    "\n \nplain text without anything": (None, None, None, None),
+    "会议内容，第一段；\n简短的一行\n2024年13月1日": ("简短的一行", None, None, None),
+}
+
+
 def test_metadata(spark):
-    lines = paragraphs(spark, ["某省人民政府文件", "某政发[2020] 12号", "关于加强水资源管理的通知", "各市人民政府：", "正文。", "某省人民政府", "2020年5月6日"])
-    row = C.metadata(lines).first()
-    assert (row["title"], row["doc_number"], row["date"]) == ("关于加强水资源管理的通知", "某政发〔2020〕12号", "2020-05-06")
+    rows = spark.createDataFrame([(d, i, x) for d, t in enumerate(META) for i, x in enumerate(t.split("\n"))] + [(99, 0, None)], ROWS)
+    got = {r["doc_id"]: tuple(r)[1:] for r in G2.metadata(rows).collect()}
+    assert got == {d: v for d, v in enumerate(META.values())} | {99: (None,) * 4}
+    heads = spark.createDataFrame([("某市人民政府文件",), ("某政发〔2020〕1号",), ("关于文件的通知",)], "t string")
+    assert [r["x"] for r in heads.select(G2.is_letterhead(F.col("t")).alias("x")).collect()] == [True, True, False]
 
 
 # ---- proofreading --------------------------------------------------------------------------------------------------
