@@ -109,6 +109,33 @@ def check_answers(answers: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame,
     return issues, rows.filter("index is not null and value is not null").join(paragraphs.select("doc_id", "index"), ["doc_id", "index"], "left_semi")
 
 
+def confirmed_groups(answers: DataFrame) -> DataFrame:
+    """doc_id, group (from 0), reason: the groups of figures that answers (doc_id, n_groups, answer) confirm as contradictions;
+    numbers that are no group's do not count."""
+    json = answers.select("doc_id", "n_groups", json_of(F.col("answer")).alias("j")).filter("j is not null")
+    each = json.select("doc_id", "n_groups", F.explode(items(F.col("j"), "groups")).alias("x"))
+    told = F.lower(field(F.col("x"), "conflict", "contradiction")) == "true"
+    rows = each.filter(told).select("doc_id", "n_groups", field(F.col("x"), "id", "group").try_cast("int").alias("id"), F.coalesce(field(F.col("x"), "reason", "理由"), F.lit("")).alias("reason"))
+    return rows.filter("id between 1 and n_groups").select("doc_id", (F.col("id") - 1).alias("group"), "reason")
+
+
+#: Words for the state of a cited document; fixed values.
+STATES = {"current": ["current", "现行", "有效"], "repealed": ["repealed", "废止", "已废止"], "superseded": ["superseded", "replaced", "替代", "已替代"]}
+
+
+def citation_statuses(answers: DataFrame) -> DataFrame:
+    """title, status, replacement_title, replacement_number, reason of answers (title, answer); a replacement counts for what is
+    superseded only; answers without a status are left out, unknown words are the status unknown."""
+    json = answers.select("title", json_of(F.col("answer")).alias("j"))
+    word = F.lower(F.trim(field(F.col("j"), "status", "状态")))
+    status = F.coalesce(*(F.when(word.isin(words), name) for name, words in STATES.items()), F.when(word.isNotNull(), F.lit("unknown")))
+    new = F.get_json_object("j", "$.replacement")
+    named = F.nullif(F.regexp_replace(field(new, "title", "name"), "^《+|》+$", ""), F.lit(""))
+    rows = json.select("title", status.alias("status"), named.alias("_t"), field(new, "number", "no", "code").alias("_n"), F.coalesce(field(F.col("j"), "reason", "理由"), F.lit("")).alias("reason")).filter("status is not null")
+    only = lambda c: F.when((F.col("status") == "superseded") & F.col("_t").isNotNull(), F.col(c))
+    return rows.select("title", "status", only("_t").alias("replacement_title"), only("_n").alias("replacement_number"), "reason")
+
+
 def decisions(answers: DataFrame) -> DataFrame:
     """question_id, value of answers (question_id, kind, options, answer): yes/no and score as numbers, a choice as the
     index of its option, given by name or number; probabilities by option count as their largest; null if unreadable."""

@@ -83,6 +83,19 @@ def cached(wanted: DataFrame, cache: DataFrame, keys: list[str], now: Column, da
     return wanted.join(fresh, keys, "left")
 
 
+def by_precedence(wanted: DataFrame, sources: dict[str, DataFrame], key: str, defaults: dict[str, object]) -> DataFrame:
+    """wanted (key) with each field of defaults from the first source that has it, else the default; and source: where the
+    first of the fields came from ("default" where no source has it). sources come in their order; of a key they have one
+    row and any of the fields."""
+    out, fields = wanted.select(key), list(defaults)
+    for i, (_, rows) in enumerate(sources.items()):
+        has = [f for f in fields if f in rows.columns]
+        out = out.join(rows.select(key, *(F.col(f).alias(f"_{i}_{f}") for f in has)), key, "left")
+    of = lambda f: [(name, F.col(f"_{i}_{f}")) for i, (name, rows) in enumerate(sources.items()) if f in rows.columns]
+    origin = F.coalesce(*(F.when(c.isNotNull(), name) for name, c in of(fields[0])), F.lit("default"))
+    return out.select(key, *(F.coalesce(*(c for _, c in of(f)), F.lit(defaults[f])).alias(f) for f in fields), origin.alias("source"))
+
+
 def resolve_alias(pairs: DataFrame, aliases: DataFrame, reviewers: DataFrame, generic: list[str]) -> DataFrame:
     """reviewer_id of each (author, initials, doc_key).
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import knowledge as K
 from ..operators import markup as M
 from ..operators import metadata as D
 from ..operators import proofread as P
@@ -108,6 +109,18 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(joined | {"sha256": F.sha2("text", 256)}).drop("text", "parent_text")
 
 
+@R.query(
+    f"""{CHUNKS_SQL}, t as (select c.doc_id, c.a, array_to_string(path, ' > ') p, substr(t, c.a + 1, c.b - c.a) x, parent_start, substr(t, parent_start + 1, parent_end - parent_start) y from ch c join units u on c.doc_id = u.doc_id and c.sa = u.a join d on d.doc_id = c.doc_id)
+    select doc_id, a::int as start, sha256(case when p = '' then x else p || chr(10) || x end) embedded, sha256(y) parent, dense_rank() over (partition by doc_id order by parent_start)::bigint parent_no from t"""
+)
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of each chunk, its path in front, and the parent's text; parents are told apart by their ids."""
+    rows = K.chunk_table(structured(table(spark, sf_dir, "documents")))
+    firsts = rows.groupBy("doc_id", "parent_id").agg(F.min("start").alias("_f"))
+    numbered = firsts.withColumn("parent_no", F.row_number().over(W.partitionBy("doc_id").orderBy("_f")).cast("long"))
+    return rows.join(numbered, ["doc_id", "parent_id"]).select("doc_id", "start", F.sha2("embedding_text", 256).alias("embedded"), F.sha2("parent_text", 256).alias("parent"), "parent_no")
+
+
 @R.query("select doc_id, 0 as n_uncovered from documents")
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every character other than white space lies in a chunk."""

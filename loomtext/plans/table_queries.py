@@ -301,3 +301,13 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     return sequence_status(rows, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber"], "l_linenumber").select("l_orderkey", "l_linenumber", "status")
+
+
+@R.query("""select d.doc_id, coalesce(case when d.doc_id % 5 = 0 then d.n_chars end, case when d.doc_id % 3 = 0 then l.quality * 1000 end, 7)::bigint as size, coalesce(l.toxic, -1)::bigint as flag,
+    case when d.doc_id % 5 = 0 and d.n_chars is not null then 'manual' when d.doc_id % 3 = 0 and l.quality is not null then 'fetched' else 'default' end as source from documents d left join labels l using (doc_id)""")
+def field_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field of a document from the first source that has it: by hand, fetched, or a default."""
+    d, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    manual = d.filter("doc_id % 5 = 0").select("doc_id", F.col("n_chars").alias("size"))
+    fetched = marks.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("quality") * 1000).cast("long").alias("size"), F.col("toxic").cast("long").alias("flag"))
+    return O.by_precedence(d.select("doc_id"), {"manual": manual, "fetched": fetched}, "doc_id", {"size": 7, "flag": -1})
