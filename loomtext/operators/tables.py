@@ -55,6 +55,16 @@ def cascade_delete(gone: DataFrame, tables: dict[str, tuple[DataFrame, str]]) ->
     return {name: df.join(gone.select(F.col(key).alias(col)).distinct(), col, "left_anti") for name, (df, col) in tables.items()}
 
 
+#: How much of each kind a request shows at most; fixed values.
+SHOWN = {"citations": 60, "conflicts": 30, "findings": 15}
+
+
+def shown(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group in an order, with their place from 1 and how many the group has."""
+    place = W.partitionBy(*group).orderBy(*order)
+    return rows.withColumns({"place": F.row_number().over(place), "of": F.count("*").over(W.partitionBy(*group))}).filter(F.col("place") <= most)
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 

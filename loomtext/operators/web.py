@@ -164,3 +164,38 @@ def download_name(url: Column, disposition: Column) -> Column:
     plain = F.regexp_extract(disposition, r"""(?i)filename\s*=\s*"?([^";]+)""", 1)
     path = F.url_decode(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]*)$", 1))
     return F.coalesce(F.nullif(F.trim(star), F.lit("")), F.nullif(F.trim(plain), F.lit("")), F.nullif(path, F.lit("")), F.lit("download"))
+
+
+# ---- result pages of search engines -------------------------------------------------------------------------------------
+#: How two engines mark up a result: its block, its link and title, its excerpt; fixed patterns. The second begins blocks with
+#: a tag that may carry the real address in an attribute.
+FIRST_BLOCK, FIRST_LINK, FIRST_TEXT = r'(?s)<li class="b_algo\b[^"]*"(.*?)</li>', r'(?s)<h2[^>]*>\s*<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>', r"(?s)<p[^>]*>(.*?)</p>"
+SECOND_START, SECOND_LINK = r'<div[^>]*class="[^"]*\bc-container\b[^"]*"[^>]*>', r'(?s)<h3[^>]*>\s*<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+SECOND_TEXT = r'(?s)<(?:span|div)[^>]*class="[^"]*(?:content-right|c-abstract|c-span-last)[^"]*"[^>]*>(.*?)</(?:span|div)>'
+#: Links that only count clicks: the target is in base64url behind a mark; and the host whose links never are the target.
+TRACKER, OWN_HOST = r"^https?://(?:[^/?#]*\.)?bing\.com/ck/a\?(?:.*&)?u=a1([A-Za-z0-9_-]+)", r"^https?://(?:[^/?#]*\.)?baidu\.com(?:[:/?#]|$)"
+
+
+def click_target(href: Column) -> Column:
+    """The address behind a click counter, or the link itself where it is none or holds no address."""
+    code = F.translate(F.regexp_extract(href, TRACKER, 1), "-_", "+/")
+    padded = F.rpad(code, (F.ceil(F.length(code) / 4) * 4).cast("int"), F.lit("="))
+    target = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    return F.when((code != "") & target.rlike("^https?://"), target).otherwise(href)
+
+
+def result_links(pages: DataFrame) -> DataFrame:
+    """query_id, pos, url, title, snippet of result pages (query_id, html) of either engine, in the page's order; a block
+    without a link is left out."""
+    first = F.transform(F.regexp_extract_all("html", F.lit(FIRST_BLOCK), F.lit(1)), lambda b: F.struct(F.lit("").alias("start"), b.alias("block"), F.lit(1).alias("engine")))
+    starts, gaps = F.regexp_extract_all("html", F.lit(SECOND_START), F.lit(0)), F.split("html", SECOND_START, -1)
+    second = F.zip_with(starts, F.slice(gaps, 2, F.size(starts)), lambda s, g: F.struct(s.alias("start"), g.alias("block"), F.lit(2).alias("engine")))
+    each = pages.filter("html is not null").select("query_id", F.posexplode(F.concat(first, second)).alias("pos", "x")).select("query_id", "pos", "x.*")
+    one = F.col("engine") == 1
+    part = lambda a, b, i: F.when(one, F.regexp_extract("block", a, i)).otherwise(F.regexp_extract("block", b, i))
+    clean = lambda c: F.trim(F.regexp_replace(decode(F.regexp_replace(c, r"(?s)<[^>]*>", "")), r"\s+", " "))
+    href = decode(part(FIRST_LINK, SECOND_LINK, 1))
+    real = decode(F.regexp_extract("start", r'\bmu="([^"]+)"', 1))
+    url = F.when(one, click_target(href)).when(real.rlike("^https?://") & ~real.rlike(OWN_HOST), real).otherwise(href)
+    rows = each.withColumn("url", url).filter(href != "")
+    return rows.select("query_id", "pos", "url", clean(part(FIRST_LINK, SECOND_LINK, 2)).alias("title"), clean(part(FIRST_TEXT, SECOND_TEXT, 1)).alias("snippet"))

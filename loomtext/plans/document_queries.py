@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import facts
 from ..operators import knowledge as K
 from ..operators import markup as M
 from ..operators import metadata as D
@@ -251,6 +252,36 @@ def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.labelled_rows(M.html_cells(docs))
 
 
+@R.query("""with p as (select page_id, url, page_id % 4 as k from pages) select page_id as query_id, 0 as pos, url, 'Page & ' || page_id as title, 'about ' || page_id as snippet from p where k < 2
+    union all select page_id, 1, 'https://www.bing.com/ck/a?u=b1xyz', 'second', '' from p where k < 2 union all select page_id, 0, url, 'Page ' || page_id, 'in short' from p where k = 2
+    union all select page_id, 0, 'https://www.baidu.com/link?url=' || page_id, 'Page ' || page_id, 'in short' from p where k = 3""")
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages of two engines that list the pages: behind a click counter, in an attribute, or as a redirect only."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").cast("string").alias("n"))
+    code = F.rtrim(F.translate(F.base64(F.encode("url", "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+    first = F.concat(F.lit('<ol><li class="b_algo x"><h2 class="">\n<a h="1" href="https://www.bing.com/ck/a?!&amp;&amp;p=1&amp;u=a1'), code, F.lit('&amp;ntb=1"><b>Page</b> &amp; '), "n", F.lit('</a></h2><p class="t">about\n '), "n", F.lit('</p></li><li class="b_algo"><h2><a href="https://www.bing.com/ck/a?u=b1xyz">second</a></h2></li><li class="b_algo">none</li></ol>'))
+    address = F.when(F.col("page_id") % 4 == 2, F.concat(F.lit(' mu="'), "url", F.lit('"'))).otherwise(' mu="http://x.baidu.com/"')
+    second = F.concat(F.lit('<div id="1" class="result c-container new"'), address, F.lit('><h3 class="t"><a href="https://www.baidu.com/link?url='), "n", F.lit('">Page '), "n", F.lit('</a></h3><span class="content-right_1">in <em>short</em></span></div><div class="c-container">none</div>'))
+    return H.result_links(p.select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 4 < 2, first).otherwise(second).alias("html")))
+
+
+@R.query(f"""with {LINES_SQL}, s as (select doc_id, index, source from l join documents using (doc_id)),
+    f as (select doc_id, index, 'name' as fact, source || '工程' as value from s where index % 9 = 4 union all select doc_id, index, 'investment', (index + 1) || ',000.5 万元' from s where index % 7 = 3 and index % 9 <> 4 union all select doc_id, index, 'owner', source || '公司' from s where index % 11 = 5 and index % 9 <> 4
+        union all select doc_id, index, 'place', source || '区' from s where index % 5 = 2 and index % 9 <> 4 union all select doc_id, index, 'period', (index + 6) || '个月' from s where index % 7 = 3 and index % 9 <> 4)
+    select doc_id, fact, min_by(value, index) as value, min(index)::int as index from f group by 1, 2""")
+def labelled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that some lines of the documents state, each where it is stated first."""
+    rows = P.lines(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    i, at = F.col("index"), lambda n: (F.col("index") + n).cast("string")
+    name = F.when(i % 9 == 4, F.concat(F.lit("项目名称： "), "source", F.lit("工程 。"))).otherwise(F.col("text"))
+    more = F.concat(
+        F.when((i % 7 == 3) & (i % 9 != 4), F.concat(F.lit("。总投资估算约为"), at(1), F.lit(",000.5 万元，建设工期为"), at(6), F.lit("个月。"))).otherwise(""),
+        F.when((i % 11 == 5) & (i % 9 != 4), F.concat(F.lit("建设单位： "), "source", F.lit("公司，"))).otherwise(""),
+        F.when((i % 5 == 2) & (i % 9 != 4), F.concat(F.lit("项目拟选址位于"), "source", F.lit("区，"))).otherwise(""),
+    )
+    return facts.labelled(rows.select("doc_id", "index", F.concat(name, more).alias("text")))
+
+
 @R.query("""with h as (select page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host from pages)
     select page_id, host, host = 'example.org' or host like '%.example.org' or host like '%.blog.example.net' or host = 'blog.example.net' as trusted from h""")
 def host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.phrases import preferred_first
 from ..operators import merge
 from ..operators import tables as O
 from ..operators.storage import shared_path
@@ -311,3 +312,17 @@ def field_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     manual = d.filter("doc_id % 5 = 0").select("doc_id", F.col("n_chars").alias("size"))
     fetched = marks.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("quality") * 1000).cast("long").alias("size"), F.col("toxic").cast("long").alias("flag"))
     return O.by_precedence(d.select("doc_id"), {"manual": manual, "fetched": fetched}, "doc_id", {"size": 7, "flag": -1})
+
+
+@R.query("""select conv_id, turn, role, place, n as "of" from (select conv_id, turn, role, row_number() over (partition by role order by length(text) desc, conv_id, turn) as place, count(*) over (partition by role) as n from conversations) where place <= 15""")
+def findings_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen longest turns of each role, and how many there are."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    return O.shown(rows, ["role"], [F.desc("n"), F.col("conv_id"), F.col("turn")], O.SHOWN["findings"]).select("conv_id", "turn", "role", "place", "of")
+
+
+@R.query("""select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_mktsegment = 'BUILDING' desc, c_custkey) as place from customer""")
+def role_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that fit the role first, then the others, by their ids."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
+    return preferred_first(rows, ["c_nationkey"], F.col("c_mktsegment") == "BUILDING", ["c_custkey"], 1 << 30).select("c_nationkey", "c_custkey", "place")
