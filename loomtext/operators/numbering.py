@@ -26,8 +26,8 @@ FAMILIES = (
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """rows (text) with family, value, parent (what stands before the last part of a dotted number) and token; rows
-    without a number go."""
+    """rows (text) with family, value, parent (what stands before the last part of a dotted number), token and variant (the
+    marks around the number; "mixed" where an opening and a closing one are of two widths); rows without a number go."""
     text = F.regexp_replace("text", r"^[\s　]+", "")
     family = token = None
     for name, pattern in reversed(FAMILIES):
@@ -38,7 +38,10 @@ def prefixes(rows: DataFrame) -> DataFrame:
     found = rows.withColumns({"family": family, "_t": token}).filter("family is not null")
     value = F.when(F.col("family") == "circled", F.ascii("_t.n").cast("long") - 0x245F).otherwise(parse_number("_t.n"))
     parent = F.when(F.col("family") == "dotted", F.regexp_replace("_t.t", r"[0-9]+$", "")).otherwise("")
-    return found.withColumns({"value": value.cast("int"), "parent": parent, "token": F.col("_t.t")}).drop("_t").filter("value is not null")
+    token = F.col("_t.t")
+    marks = F.regexp_replace(token, r"[0-9一二三四五六七八九十百零〇第章节条①-⑳\s]+", "")
+    variant = F.when(token.rlike(r"^（.*\)$|^\(.*）$"), "mixed").otherwise(F.substring(marks, 1, 2))
+    return found.withColumns({"value": value.cast("int"), "parent": parent, "token": token, "variant": variant}).drop("_t").filter("value is not null")
 
 
 def list_labels(rows: DataFrame) -> DataFrame:

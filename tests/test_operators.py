@@ -275,6 +275,16 @@ def test_figures(spark):
     assert {(r["value"], r["unit"]) for r in found} == {("3.5", "亿元"), ("20", "亩")}
 
 
+def test_numbering_of_styles_and_lists(spark):
+    """Other marks than the first of a level, numbers behind a list's own, headings that close levels."""
+    texts = [("一、甲", 1, None), ("1. a", None, None), ("2、b", None, None), ("3. c", None, None), ("（1）d", None, None), ("(2) e", None, None), ("（3)f", None, None), ("没有编号的标题", 1, None), ("1. g", None, None), ("二、乙", 1, None), ("1. h", None, "1."), ("1. i", None, None), ("3. j", None, None), ("四、丁", 1, None)]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(texts)], "doc_id long, index int, text string, level int, label string")
+    numbered = U.prefixes(rows)
+    plain = rows.filter("level is not null").join(numbered, ["doc_id", "index"], "left_anti").select("doc_id", "index", "level")
+    got = {(r["index"], r["status"], r["expected"]) for r in P.numbering_issues(numbered.unionByName(plain, allowMissingColumns=True)).collect()}
+    assert got == {(2, "style", None), (5, "style", None), (10, "doubled", None), (12, "skip", 2), (13, "skip", 3)}
+
+
 def test_conflict_groups(spark):
     """Names that contain each other are one metric, in the order of the facts; units are converted or read off the value."""
     facts = [
