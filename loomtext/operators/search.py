@@ -148,15 +148,20 @@ def similar_cases(queries: DataFrame, cases: DataFrame, top: int = 3, recent: in
     return ranked(scored, top, "case_id")
 
 
-def excerpts(rows: DataFrame, budget: int = 600, least: int = 1, terms_of: Callable[[Column], Column] = T.search_terms) -> DataFrame:
-    """rows (text, terms) with excerpt: the sentences with most of the terms that fit in `budget` characters, in their
-    order, gaps marked with an ellipsis; null where no sentence has `least` of them. A sentence that does not fit is
-    passed over."""
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？；])\s*|\n+"), F.trim), lambda s: s != "")
-    scored = F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(terms_of(s)), F.col("terms")))).alias("k"), i.alias("i"), s.alias("s")))
+def excerpts(rows: DataFrame, budget: int = 600, least: int = 2, ends: str = "。！？；", longest: int = 300) -> DataFrame:
+    """rows (text, terms) with excerpt: the sentences that hold most of the terms and fit in `budget` characters together, in
+    their order, a gap marked with an ellipsis; the beginning of the text where no sentence holds `least` terms.
+
+    Sentences end behind the marks of `ends` and with lines, and are cut at `longest` characters. One that does not fit is
+    passed over; of equal ones the first is taken. A null text gives null.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split("text", rf"(?<=[{ends}])|\n"), lambda s: F.left(strip(s), F.lit(longest))), lambda s: s != "")
+    held = lambda s: F.size(F.filter("terms", lambda t: F.contains(s, t)))
+    scored = F.transform("_s", lambda s, i: F.struct((-held(s)).alias("k"), i.alias("i"), F.length(s).alias("n")))
     best = F.array_sort(F.filter(scored, lambda x: x.k <= -least))
-    picked = F.expr(f"""aggregate(_best, named_struct('n', 0, 'p', cast(array() as array<struct<i:int,s:string>>)), (a, x) ->
-        if(a.n + length(x.s) <= {budget}, named_struct('n', a.n + length(x.s), 'p', concat(a.p, array(named_struct('i', x.i, 's', x.s)))), a), a -> array_sort(a.p))""")
-    joined = F.expr("""concat_ws('', transform(_p, (x, k) -> concat(case when k = 0 then if(x.i > 0, '…', '') when x.i = _p[k - 1].i + 1 then ' ' else ' … ' end, x.s)))""")
-    out = rows.withColumn("_best", best).withColumn("_p", picked)
-    return out.withColumn("excerpt", F.when(F.size("_p") > 0, joined)).drop("_best", "_p")
+    picked = F.expr(f"""aggregate(_best, named_struct('n', 0, 'p', cast(array() as array<int>)), (a, x) ->
+        if(a.n + x.n <= {budget}, named_struct('n', a.n + x.n, 'p', array_append(a.p, x.i)), a), a -> array_sort(a.p))""")
+    joined = F.array_join(F.transform("_p", lambda i, k: F.concat(F.when((k > 0) & (F.get("_p", k - 1) + 1 != i), "…").otherwise(""), F.get("_s", i))), "")
+    out = rows.withColumn("_s", parts).withColumn("_best", best).withColumn("_p", picked)
+    return out.withColumn("excerpt", F.when(F.size("_best") > 0, joined).otherwise(strip(F.left("text", F.lit(budget))))).drop("_s", "_best", "_p")

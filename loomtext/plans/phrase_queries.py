@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases as H
 from ..functions import terms as W
-from ..functions import text as T
 from ..operators import web
 from .document_queries import LINES_SQL, LINKS_SQL, linked
 from .proofread_queries import line_rows

@@ -6,10 +6,8 @@ import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import citations as C
 from ..operators import diff as D
 from ..operators import proofread as P
@@ -18,6 +16,7 @@ from ..operators import sections as check
 from ..operators.storage import shared_path
 from .document_queries import LINES_SQL
 from .registry import Registry, table
+from .search_queries import BM25_SQL, POSTINGS_SQL, TERMS_SQL, benchmark_terms, keyword
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -323,15 +322,20 @@ def diff_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(text("insert"), 256).alias("old_sha256"), (text("delete") == F.col("new")).alias("restored"))
 
 
-@R.query()
+@R.query(
+    f"""with {TERMS_SQL}{POSTINGS_SQL}{BM25_SQL.format(where="")} h as (select query_id, doc_id from scores qualify row_number() over (partition by query_id order by score desc, doc_id) <= 3),
+    w as (select query_id, list(term) as w from terms group by 1),
+    s as (select query_id, doc_id, w, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)[:300]), lambda x: x <> '') as s from h join w using (query_id) join documents using (doc_id)),
+    k as (select *, list_sort(list_filter(list_transform(s, lambda x, i: {{'k': -len(list_filter(w, lambda t: contains(x, t))), 'i': i, 'n': length(x), 'p': []::bigint[]}}), lambda y: y.k <= -2)) as l from s),
+    r as (select *, list_sort(list_reduce(l, lambda a, x: case when a.n + x.n <= 600 then {{'k': a.k, 'i': a.i, 'n': a.n + x.n, 'p': list_append(a.p, x.i)}} else a end, {{'k': 0, 'i': 0::bigint, 'n': 0::bigint, 'p': []::bigint[]}}).p) as p from k)
+    select query_id, doc_id, case when len(l) > 0 then array_to_string(list_transform(p, lambda i, k: case when k > 1 and p[k - 1] + 1 <> i then '…' else '' end || s[i]), '') else trim(text[:600]) end as excerpt from r"""
+)
 def excerpt_best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark item, what the documents nearest to it say about its first words."""
-    from .search_queries import benchmark_terms, keyword
-
+    """For each benchmark item, what the documents nearest to it say about its words."""
     hits = S.ranked(keyword(spark, sf_dir), 3, "doc_id").select("query_id", "doc_id")
-    terms = benchmark_terms(spark, sf_dir).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    terms = benchmark_terms(spark, sf_dir).groupBy("query_id").agg(F.collect_list("term").alias("terms"))  # at most 128 of a query
     rows = hits.join(terms, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return S.excerpts(rows, terms_of=T.words).select("query_id", "doc_id", "excerpt")
+    return S.excerpts(rows).select("query_id", "doc_id", "excerpt")
 
 
 def typo_model(texts: list[str]) -> list[str]:

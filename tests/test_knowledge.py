@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from loomtext.operators import knowledge as K
 from loomtext.operators import models as L

@@ -438,9 +438,14 @@ def test_vectors(spark):
 
 
 def test_excerpts(spark):
-    rows = spark.createDataFrame([("One fish. Two cats here. Three fish and cats. Four.", ["fish", "cats"]), ("nothing", ["x"])], "text string, terms array<string>")
-    got = [r["excerpt"] for r in S.excerpts(rows, budget=40, terms_of=T.words).collect()]
-    assert got == ["One fish. … Three fish and cats.", None]
+    text = "一鱼。二猫在此；三鱼和猫！\n四。 五猫鱼鸟？六"
+    rows = [(0, text, ["鱼", "猫"]), (1, text, ["鱼", "猫", "鸟"]), (2, " 没有。什么 ", ["鱼"]), (3, None, ["鱼"]), (4, "", []), (5, "鱼猫" * 200 + "。鱼猫", ["鱼", "猫"])]
+    df = spark.createDataFrame(rows, "i int, text string, terms array<string>")
+    got = {r["i"]: r["excerpt"] for r in S.excerpts(df, budget=12).collect()}
+    assert got == {0: "三鱼和猫！…五猫鱼鸟？", 1: "三鱼和猫！…五猫鱼鸟？", 2: "没有。什么", 3: None, 4: "", 5: "鱼猫"}
+    assert [r["excerpt"] for r in S.excerpts(df.filter("i = 1"), budget=6).collect()] == ["五猫鱼鸟？"]
+    assert [r["excerpt"] for r in S.excerpts(df.filter("i = 0"), budget=17, least=1).collect()] == ["一鱼。…三鱼和猫！…五猫鱼鸟？"]
+    assert [r["excerpt"] for r in S.excerpts(df.filter("i = 0"), budget=3, least=1).collect()] == ["一鱼。"]
 
 
 # ---- tables --------------------------------------------------------------------------------------------------------
