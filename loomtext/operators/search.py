@@ -1,9 +1,8 @@
-"""Retrieval: inverted index, BM25, vectors, rank fusion, parent collapse, reranking. A query is a row of a DataFrame."""
+"""Retrieval: ranks, quantised vectors, rank fusion, parent collapse, reranking, excerpts. A query is a row of a DataFrame."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,43 +17,6 @@ RRF = 60
 POOL = 50
 
 
-def postings(chunks: DataFrame, fields: dict[str, str], id_col: str = "chunk_id", terms: Callable[[Column], Column] = T.search_terms) -> DataFrame:
-    """(term, id, field, tf); fields: name of the field to its text column."""
-    rows = None
-    for field, column in fields.items():
-        one = chunks.select(F.col(id_col), F.lit(field).alias("field"), F.explode(terms(F.col(column))).alias("term"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("term", id_col, "field").agg(F.count("*").alias("tf"))
-
-
-def doc_lengths(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    return index.groupBy(id_col, "field").agg(F.sum("tf").alias("len"))
-
-
-def doc_freq(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    return index.groupBy("term").agg(F.countDistinct(id_col).alias("df"))
-
-
-def keyword_scores(query_terms: DataFrame, index: DataFrame, id_col: str = "chunk_id", k1: float = K1, b: float = B, weights: dict[str, float] | None = None, only: DataFrame | None = None) -> DataFrame:
-    """BM25 of each (query_id, id) that share a term. query_terms: (query_id, term), distinct; only: ids to search in.
-
-    Statistics are of the whole index, whatever is searched in. A field's frequencies count with its weight.
-    """
-    weights = weights or FIELD_WEIGHTS
-    weight = F.coalesce(*(F.when(F.col("field") == f, F.lit(w)) for f, w in weights.items()), F.lit(1.0))
-    wanted = query_terms.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi").groupBy("term", id_col).agg(F.sum(weight * F.col("tf")).alias("tf"))
-    lengths = index.groupBy(id_col).agg(F.sum(weight * F.col("tf")).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    if only is not None:
-        hits = hits.join(only.select(id_col).distinct(), id_col, "left_semi")
-    rows = query_terms.join(hits, "term").join(df, "term").join(lengths, id_col).crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return rows.groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"))
-
-
 def ranked(scores: DataFrame, top: int = POOL, id_col: str = "chunk_id", by: str = "score") -> DataFrame:
     """The best `top` of each query with their rank; ties by id."""
     order = W.partitionBy("query_id").orderBy(F.col(by).desc(), F.col(id_col))
@@ -67,27 +29,6 @@ def quantise(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm == 0, 0).otherwise(F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") * 127 / norm).cast("int")))).cast("int"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-
-
-def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "chunk_id", only: DataFrame | None = None, most_queries: int = 10_000) -> DataFrame:
-    """Quantised cosine of each query with each vector: (query_id, id, score, dot).
-
-    queries: (query_id, vector), held against all vectors in blocks of about most_queries rows by hash of query_id; each
-    block is broadcast, so the vectors are read once a block and never move. Vectors of another length raise an error.
-    """
-    blocks = max(1, -(-queries.count() // most_queries))
-    if only is not None:
-        vectors = vectors.join(only.select(id_col).distinct(), id_col, "left_semi")
-    q = queries.select("query_id", quantise(F.col("vector")).alias("q"))
-    v = vectors.select(id_col, quantise(F.col("vector")).alias("v"))
-    fits = F.when(F.size("q") == F.size("v"), dot(F.col("q"), F.col("v"))).otherwise(F.raise_error(F.lit("vector lengths differ")).cast("long"))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    passes = [v.crossJoin(F.broadcast(q.filter(block == i) if blocks > 1 else q)).select("query_id", id_col, fits.alias("dot")) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, passes).withColumn("score", F.col("dot") / (127.0 * 127.0))
-
-
 def fuse(keyword: DataFrame, vector: DataFrame, id_col: str = "chunk_id", constant: int = RRF) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: score and both ranks, null where a list has not the id."""
     both = keyword.select("query_id", id_col, F.col("rank").alias("k"), F.lit(None).cast("int").alias("v")).unionByName(vector.select("query_id", id_col, F.lit(None).cast("int").alias("k"), F.col("rank").alias("v")))

@@ -430,11 +430,6 @@ def test_fusion_and_collapse(spark):
 
 def test_vectors(spark):
     assert list(spark.createDataFrame([([3.0, 4.0],)], "v array<float>").select(S.quantise(F.col("v")).alias("q")).first()["q"]) == [76, 102]
-    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
-    v = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0])], "chunk_id long, vector array<float>")
-    assert {r["chunk_id"]: round(r["score"], 6) for r in S.vector_scores(q, v).collect()} == {1: 1.0, 2: 0.0, 3: -1.0}
-    with pytest.raises(Exception, match="lengths differ"):
-        S.vector_scores(q, spark.createDataFrame([(1, [1.0])], "chunk_id long, vector array<float>")).collect()
 
 
 def test_excerpts(spark):
@@ -662,14 +657,6 @@ def test_ingest_query_of_many_files(spark, tmp_path):
     assert (row["n"], row["n_ids"], row["s"]) == (150, 150, 150 * 149 // 2)
 
 
-def test_vector_query_blocks(spark):
-    """More queries than a batch holds give the same scores as one batch."""
-    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "query_id long, vector array<float>")
-    v = spark.createDataFrame([(i, [1.0, float(-i)]) for i in range(5)], "chunk_id long, vector array<float>")
-    whole, blocks = (sorted(map(tuple, S.vector_scores(q, v, most_queries=n).collect())) for n in (100, 3))
-    assert len(whole) == 35 and blocks == whole
-
-
 def test_long_word_list(spark):
     """Over 200 words of over 64 lengths, a blank one among them, give the same hits joined as in the plan."""
     words = spark.createDataFrame([(f"{i:03d}" + "x" * (i % 80), "y") for i in range(230)] + [("", "z"), (None, "z")], "wrong string, right string")
