@@ -29,8 +29,9 @@ def trim_span(text: Column, start: Column, end: Column) -> Column:
 
 
 def sentence_bounds(text: Column, at: Column) -> Column:
-    """struct(start, end) of the sentence around an offset, without the mark that ends it."""
-    before = F.regexp_extract(F.left(text, at), rf"[^{SENTENCE_ENDS}]*\z", 0)
+    """struct(start, end) of the sentence around an offset, without the mark that ends it. Both patterns are anchored where
+    they begin, so the time is linear in the text, also in one without marks."""
+    before = F.regexp_replace(F.left(text, at), rf"(?s)\A.*[{SENTENCE_ENDS}]", "")
     after = F.regexp_extract(F.substring(text, at + 1, F.length(text)), rf"\A[^{SENTENCE_ENDS}]*", 0)
     return F.struct((at - F.length(before)).alias("start"), (at + F.length(after)).alias("end"))
 

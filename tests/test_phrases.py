@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def test_spans(spark):
     assert one(spark, H.range_label, 3, 3) == "第3段" and one(spark, H.range_label, 3, 5) == "第3–5段"
 
 
+def test_long_sentence_takes_linear_time(spark):
+    """The search for the mark before an offset looks at each character once, behind a long sentence too."""
+    text = F.concat(F.repeat(F.lit("a b "), 100_000), F.lit("。x"))
+    began = time.monotonic()
+    row = spark.range(1).select(H.sentence_bounds(text, F.lit(400_001)).alias("x")).first()["x"]
+    assert tuple(row) == (400_001, 400_002) and time.monotonic() - began < 20
+
+
 def test_terms_and_mentions(spark):
     assert one(spark, W.index_terms, "国办发〔2024〕12号，the Crème 第二十条")[:2] == ["国办发202412号", "第20条"]
     terms = one(spark, W.index_terms, "the Crème of 规划")
