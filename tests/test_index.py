@@ -16,6 +16,7 @@ from loomtext.functions import terms as X
 from loomtext.operators import index as N
 from loomtext.operators import knowledge as K
 from loomtext.operators import search as S
+from loomtext.operators.storage import dealt
 
 CHUNKS = "chunk_id long, doc_id long, body string, head string, doc string, term string"
 
@@ -159,3 +160,25 @@ def test_metadata_reaches_search(spark):
     got = K.search(asked, chunks, after, index=index, model="m").orderBy("position").collect()
     assert (got[0]["doc_id"], got[0]["title"], got[0]["keyword_rank"]) == (3, "Harbour", 1) and got[0]["vector_rank"] is not None
     assert os.path.isdir(f"{index.path}/postings/batch=0")
+
+
+def test_texts_are_dealt_out_by_size(spark):
+    """Parts in proportion to the texts, not to what the session sets; one task's share stays bounded."""
+    rows = spark.range(400).select(F.col("id"), F.repeat(F.lit("x"), 100).alias("text"))
+    parts = dealt(rows, "id", F.col("text"), size=500)
+    assert parts.rdd.getNumPartitions() == 80 and parts.count() == 400
+    assert parts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= 2500
+    assert dealt(rows.filter("false"), "id", F.col("text")).count() == 0
+
+
+def test_vector_top_merges_blocks_of_a_task(spark, monkeypatch):
+    """Blocks of vectors that one task reads are merged there, ties by id; all in one partition, five to a block."""
+    monkeypatch.setattr(N.blocks, "__defaults__", (("ids", "codes"), 5))
+    r = np.random.default_rng(4)
+    codes = r.integers(-3, 4, (60, 2)).astype(np.int8)
+    vectors = spark.createDataFrame([(i, bytes(c.tobytes())) for i, c in enumerate(codes)], "chunk_id long, q binary").coalesce(1)
+    queries = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(4)], "query_id long, vector array<double>")
+    asked = {q["chunk_id"]: np.frombuffer(q["q"], np.int8) for q in N.quantised(queries.selectExpr("query_id chunk_id", "0 doc_id", "'' model", "vector")).collect()}
+    got = sorted((x["query_id"], x["rank"], x["chunk_id"]) for x in N.vector_top(queries, vectors, 7).collect())
+    dots = {k: codes.astype(int) @ q.astype(int) for k, q in asked.items()}
+    assert got == sorted((k, n + 1, i) for k, d in dots.items() for n, i in enumerate(sorted(range(60), key=lambda i: (-d[i], i))[:7]))
