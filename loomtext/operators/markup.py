@@ -76,6 +76,8 @@ TABLE, ROW = re.compile(r"<table\b[^>]*>.*?</table\s*>", re.I | re.S), re.compil
 CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]\s*>", re.I | re.S)
 SPANS = tuple(re.compile(rf"\b{name}span\s*=\s*[\"']?\s*(\d+)", re.I) for name in ("row", "col"))
 MOST_SPAN = 1000
+#: Cells that a task hands on at once; tables of several texts share a batch.
+CELLS = 20_000
 
 
 def filled(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
@@ -106,17 +108,23 @@ def html_cells(docs: DataFrame) -> DataFrame:
         found = pattern.search(attributes)
         return min(max(int(found[1]), 1), MOST_SPAN) if found else 1
 
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.int32()] * 3, pa.string()), strict=True)], ["doc_id", "tbl", "row", "col", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                out = []
-                for tbl, table in enumerate(TABLE.findall(text)):
+            out: list[tuple] = []
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                for tbl, table in enumerate(TABLE.findall(text.as_py())):
                     rows = [[(value, span(SPANS[0], a), span(SPANS[1], a)) for a, value in CELL.findall(row)] for row in ROW.findall(table)]
                     grid = filled(rows)
                     wide = max(map(len, grid), default=0)
-                    out += [(doc, tbl, r, c, line[c] if c < len(line) else "") for r, line in enumerate(grid) for c in range(wide)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.int32()] * 3, pa.string()), strict=True)], ["doc_id", "tbl", "row", "col", "text"])
+                    out += [(doc.as_py(), tbl, r, c, line[c] if c < len(line) else "") for r, line in enumerate(grid) for c in range(wide)]
+                if len(out) >= CELLS:
+                    yield packed(out)
+                    out = []
+            if out:
+                yield packed(out)
 
     cells = docs.select("doc_id", "text").filter(F.col("text").rlike("(?i)<table")).mapInArrow(run, "doc_id long, tbl int, row int, col int, text string")
     bare = F.regexp_replace(F.regexp_replace("text", r"(?i)<br\s*/?>|</?(?:p|div)\b[^>]*>", " "), r"</?[A-Za-z][^>]*>", "")
@@ -132,9 +140,11 @@ def labelled_rows(cells: DataFrame) -> DataFrame:
     """
     by = ["doc_id", "tbl"]
     once = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), x)), lambda x: x.isNotNull())
-    lines = cells.groupBy(*by, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("cells")).filter(F.exists("cells", lambda x: x != ""))
-    top = lines.groupBy(*by).agg(F.min_by("cells", "row").alias("head"), F.min("row").alias("first"), F.count("*").alias("rows"), F.max(F.size("cells")).alias("wide"))
-    rows = lines.join(top, by).withColumn("_h", (F.col("rows") > 1) & (F.col("wide") > 1))
+    # dealt out by table once; lines and what a table's first one says about the others are then formed in place
+    lines = cells.repartition(*by).groupBy(*by, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("cells")).filter(F.exists("cells", lambda x: x != ""))
+    whole = W.partitionBy(*by).orderBy("row").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    top = {"head": F.first("cells"), "first": F.min("row"), "rows": F.count("*"), "wide": F.max(F.size("cells"))}
+    rows = lines.withColumns({name: value.over(whole) for name, value in top.items()}).withColumn("_h", (F.col("rows") > 1) & (F.col("wide") > 1))
     full = lambda a: F.array_join(once(F.filter(a, lambda x: x != "")), " | ")
     part = lambda v, h: F.when(v == "", F.lit(None)).when((F.coalesce(h, F.lit("")) == "") | (h == v), v).otherwise(F.concat(h, F.lit("："), v))
     rows = rows.withColumn("_p", F.filter(F.zip_with("cells", "head", lambda v, h: part(F.coalesce(v, F.lit("")), h)), lambda x: x.isNotNull()))

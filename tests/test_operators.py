@@ -669,3 +669,12 @@ def test_long_word_list(spark):
     rows = paragraphs(spark, ["a 079" + "x" * 79 + " b", "070" + "x" * 75, "005xxxxx 200", ""])
     joined, planned = (sorted((r["index"], r["start"], r["end"], r["original"]) for r in P.word_list_hits(rows, words, most_literals=n).collect()) for n in (200, 1000))
     assert joined == planned and {len(r[3]) for r in joined} == {82, 73, 8}
+
+
+def test_labelled_rows_are_formed_in_place(spark):
+    """Cells are dealt out by table once; nothing is joined. Tables of several texts share a batch."""
+    docs = spark.createDataFrame([(i, f"<table><tr><td>a</td><td>b</td></tr><tr><td>{i}</td><td></td></tr></table>") for i in range(30)], "doc_id long, text string")
+    out = M.labelled_rows(M.html_cells(docs))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(x for i in range(30) for x in ((i, "表格列：a | b"), (i, f"a：{i}")))
