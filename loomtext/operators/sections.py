@@ -12,7 +12,7 @@ from ..functions import text as T
 from . import models as L
 from . import proofread as P
 from . import review as R
-from .storage import committed
+from .storage import committed, dealt, stored
 
 #: Characters of a section, at most, unless one paragraph has more.
 SECTION = 1800
@@ -58,7 +58,8 @@ def check(rows: DataFrame, ask: Callable[[list[str]], list[str | None]], path: s
     Issues count if their quote stands in the paragraph; copies of a paragraph within a document get the issues of the first.
     Sections without a readable answer have none.
     """
-    parts = sections(rows, most, question)
+    rows = dealt(rows.select("doc_id", "index", "text"), "doc_id", F.col("text"))  # what is formed of a document stays there
+    parts = stored(sections(rows, most, question), "sections")  # read once for each block of keys
     answers = parts.join(ask_missing(parts.select("key", "text"), ask, path), "key").select("doc_id", "answer")
     issues, facts = L.check_answers(answers, rows)
     return R.shared_findings(issues, R.first_copies(rows)), facts

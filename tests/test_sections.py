@@ -64,3 +64,17 @@ def test_precedence(spark):
     built = spark.createDataFrame([(1, "b"), (2, "b")], "k int, mode string")
     out = O.by_precedence(key, {"manual": manual, "fetched": fetched, "built-in": built}, "k", {"size": 1, "mode": "d"})
     assert sorted(map(tuple, out.collect())) == [(0, 5, "d", "manual"), (1, 7, "m", "fetched"), (2, 1, "b", "default"), (3, 1, "d", "default")]
+
+
+def test_sections_are_formed_once(spark):
+    """The blocks of keys read stored sections: paragraphs are not taken up anew for each."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            taken.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(d, i, f"第{d}段第{i}句有错字。") for d in range(5) for i in range(4)], "doc_id long, index int, text string")
+    issues, _ = C.check(rows.mapInPandas(count, rows.schema), lambda texts: ['{"issues": []}'] * len(texts), tempfile.mkdtemp(prefix="spark-"))
+    assert issues.count() == 0 and taken.value <= 20 * 5
