@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Named entities that are decoded in web pages, and in markup that parsers make; fixed values.
 PAGE_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "ldquo": "“", "rdquo": "”", "middot": "·"}
 MARKUP_ENTITIES = PAGE_ENTITIES | {"thinsp": " ", "lsquo": "‘", "rsquo": "’", "times": "×", "divide": "÷", "plusmn": "±", "le": "≤", "ge": "≥", "deg": "°", "mdash": "—", "ndash": "–", "hellip": "…"}
@@ -29,11 +31,15 @@ def entity(whole: Column, names: dict[str, str]) -> Column:
 
 
 def decode(text: Column, names: dict[str, str] = PAGE_ENTITIES) -> Column:
-    """Entities decoded in one pass, so nothing is decoded twice: the text is cut at them and joined again."""
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    gaps = F.split(text, ENTITY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda x: entity(x, names)), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    """Entities decoded in one pass, so nothing is decoded twice: the text is cut at them and joined again. The text is
+    worked out once, and cut only if it has a mark of an entity."""
+
+    def one(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), lambda x: entity(x, names))
+        joined = F.array_join(F.zip_with(F.split(t, ENTITY, -1), found, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return let(text, one)
 
 
 def bare(html: Column, blocks: str) -> Column:
@@ -61,8 +67,7 @@ def article_lines(html: Column) -> Column:
     """Lines of the article: frames dropped, block ends as line ends, blank lines and repeats of the line before gone."""
     lines = F.split(decode(untagged(F.regexp_replace(bare(html, FRAME), BLOCK_END, "\n"))), "\n")
     lines = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    before = F.concat(F.array(F.lit(None).cast("string")), lines)
-    return F.filter(F.zip_with(lines, before, lambda x, b: F.when(b.isNull() | (x != b), x)), lambda x: x.isNotNull())
+    return let(lines, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
 def article(pages: DataFrame, *keep: Column) -> DataFrame:

@@ -678,3 +678,19 @@ def test_labelled_rows_are_formed_in_place(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(x for i in range(30) for x in ((i, "表格列：a | b"), (i, f"a：{i}")))
+
+
+def test_leftmost_longest_is_dealt_out_once(spark):
+    hits = spark.createDataFrame([(1, 0, 0, 2, "ab"), (1, 0, 0, 3, "abc"), (1, 0, 2, 4, "cd"), (1, 0, 3, 5, "de"), (2, 0, 1, 2, "x")], "doc_id long, index int, start int, end int, name string")
+    kept = P.leftmost_longest(hits, ["doc_id", "index"], "name")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r["doc_id"], r["start"], r["end"], r["name"]) for r in kept.collect()) == [(1, 0, 3, "abc"), (1, 3, 5, "de"), (2, 1, 2, "x")]
+
+
+def test_entities_do_not_repeat_the_text(spark):
+    """The text that is decoded, and the lines of an article, stand in the plan once."""
+    pages = spark.createDataFrame([(1, "<h1>T</h1><p>a &amp; b</p><p>a &amp; b</p><p>c</p>")], "page_id long, html string")
+    text = F.regexp_replace("html", "<[^>]*>", "~once~")
+    plan = pages.select(H.decode(text).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("~once~") == 1
+    assert pages.select(H.article_lines(F.col("html")).alias("x")).first()["x"] == ["T", "a & b", "c"]
