@@ -28,6 +28,8 @@ STANDARD_WORDS = "标准 规范 规程 导则 技术规定 技术要求 设计
 RULE_WORDS = "规定 办法 细则 规则".split()
 POLICY_WORDS = "通知 意见 方案 规划 纲要 计划 决定 指南 指引 公告 通告 批复 要点 措施 行动 政策".split()
 
+#: Documents whose mentions a task holds as Python objects at once.
+GROUP = 64
 FOUND = "doc_id long, no int, title string, kind string, standard_no string, doc_no string, paragraphs array<int>"
 
 
@@ -156,11 +158,13 @@ def citations(rows: DataFrame) -> DataFrame:
     per = mentions(rows).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "title", "kind", "standard_no", "doc_no"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.int32()))
         for batch in batches:
-            out = [(doc, no, *c) for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("m").to_pylist(), strict=True) for no, c in enumerate(union(found))]
-            if out:
-                types = (pa.int64(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+            for at in range(0, batch.num_rows, GROUP):  # the mentions of a few documents are held as Python objects at once
+                part = batch.slice(at, GROUP)
+                out = [(doc, no, *c) for doc, found in zip(part.column("doc_id").to_pylist(), part.column("m").to_pylist(), strict=True) for no, c in enumerate(union(found))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
     return per.mapInArrow(run, FOUND)
 
