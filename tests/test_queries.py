@@ -36,3 +36,9 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_citation_issues_read_stored_citations(spark, sf_dir):
+    """Citations are found once; their titles and their places are both read from the stored table."""
+    df = __spark_entry__.queries()["citation_issues"](spark, sf_dir)
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
