@@ -27,12 +27,32 @@ NO_ISSUER = "关于 通知 印发 如下".split()
 #: A date, the label of one, and the note of a seal, in width-normalised lines; fixed patterns.
 DATE = r"([0-9]{4}|[〇○零OoΟ一二三四五六七八九]{4})\s*年\s*([0-9]{1,2}|[一二三四五六七八九十]{1,3})\s*月\s*([0-9]{1,2}|[一二三四五六七八九十]{1,4})\s*日"
 DATE_LABEL = r"^(?:发布|成文|发文|印发)(?:日期|时间)\s*:"
-SEAL = r"\s*\([^)]{0,4}章\)$"
+SEAL = r"(?<!\s)\s*\([^)]{0,4}章\)$"  # white space is tried from its start only
 TITLE_END = rf"(?:{'|'.join(TITLES)})(?:\([^)]{{1,15}}\))?》?$"
+#: Characters that TITLE_END can span, and a line terminator; a title about a subject has at most LONGEST.
+TITLE_TAIL, LONGEST = max(map(len, TITLES)) + 20, 80
+#: What (?U)\s matches, and the characters that normalize() changes.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WIDE = "[！-～　]"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def narrow(text: Column) -> Column:
+    """normalize(), which looks at each character alone, only where there is something to change."""
+    return F.when(text.rlike(WIDE), normalize(text)).otherwise(text)
+
+
+def unsealed(n: Column) -> Column:
+    """A stripped, width-normalised line without the note of a seal."""
+    return F.when(n.endswith("章)"), F.regexp_replace(n, SEAL, "")).otherwise(n)
+
+
+def titled(n: Column) -> Column:
+    """Whether a width-normalised line ends like a title: only its end is searched."""
+    return F.right(n, F.lit(TITLE_TAIL)).rlike(TITLE_END)
 
 
 def iso_date(text: Column) -> Column:
@@ -45,7 +65,7 @@ def iso_date(text: Column) -> Column:
 def is_issuer(line: Column) -> Column:
     """Whether a width-normalised line can be an issuer's name."""
     ends = rf"(?:{'|'.join(ISSUERS)})$"
-    return let(F.regexp_replace(stripped(line), SEAL, ""), lambda n: F.length(n).between(2, 40) & ~n.rlike(f"^各|[:,。;!?0-9]|{'|'.join(NO_ISSUER)}") & n.rlike(ends))
+    return let(let(stripped(line), unsealed), lambda n: F.length(n).between(2, 40) & ~n.rlike(f"^各|[:,。;!?0-9]|{'|'.join(NO_ISSUER)}") & n.rlike(ends))
 
 
 def issuer_name(text: Column) -> Column:
@@ -56,27 +76,34 @@ def issuer_name(text: Column) -> Column:
 
 def is_letterhead(title: Column) -> Column:
     """The red head of a document, which is not its title."""
-    return let(normalize(stripped(title)), lambda n: (F.length(n) <= 30) & (n.endswith("文件") | (F.size(X.number_matches(n)) > 0)))
+    return let(narrow(stripped(title)), letterhead)
+
+
+def letterhead(n: Column) -> Column:
+    return (F.length(n) <= 30) & (n.endswith("文件") | (F.size(X.number_matches(n)) > 0))
 
 
 def described(line: Column) -> Column:
-    """A line that is not blank, as a struct of what the rules ask about it."""
+    """A line that is not blank, as a struct of what the rules ask about it. What they ask about titles is asked of lines that
+    are short enough to be one, and only those and issuers keep their text."""
 
     def of(text: Column, n: Column) -> Column:
-        size, number = F.length(n), F.get(X.number_matches(n), F.lit(0))
-        outside = size - F.length(number["whole"]) + F.length(number["lead"])
-        noise = is_letterhead(text) | ((size <= 20) & n.rlike(DATE)) | n.rlike(f"^(?:{'|'.join(MARKS)})") | ~n.rlike(f"[{HAN}]")
+        size = F.length(n)
+        number = let(F.get(X.number_matches(n), F.lit(0)), lambda m: F.when(size - F.length(m["whole"]) + F.length(m["lead"]) <= 12, m["number"]))
+        noise = (size > LONGEST) | letterhead(n) | ((size <= 20) & n.rlike(DATE)) | n.rlike(f"^(?:{'|'.join(MARKS)})") | ~n.rlike(f"[{HAN}]")
         dates = F.regexp_extract_all(n, F.lit(DATE), F.lit(0))
         rest = stripped(F.regexp_replace(stripped(F.regexp_replace(n, rf"(?s)^(.*){DATE}", "$1")), r"^[()]+|[()]+$", ""))
-        last = F.when(n.contains("年") & ~n.rlike("印发|^抄送|^抄报"), F.when((rest == "") | is_issuer(rest), iso_date(F.element_at(F.when(F.size(dates) > 0, dates), -1))))
+        dated = n.contains("年") & n.contains("月") & n.contains("日")
+        last = F.when(dated & ~n.rlike("印发|^抄送|^抄报"), F.when((rest == "") | is_issuer(rest), iso_date(F.element_at(F.when(F.size(dates) > 0, dates), -1))))
         first = F.get(dates, F.lit(0))
-        top = F.when(n.contains("年") & ((F.length(first) + 2 >= size) | n.startswith("(") | n.rlike(DATE_LABEL)), iso_date(first))
+        top = F.when(dated & ((F.length(first) + 2 >= size) | n.startswith("(") | n.rlike(DATE_LABEL)), iso_date(first))
+        kept = (size <= LONGEST) | is_issuer(n)
         return F.struct(
-            text.alias("text"), n.alias("n"), size.alias("size"), F.when(outside <= 12, number["number"]).alias("number"), noise.alias("noise"), ((size <= 50) & ~n.rlike("[。,;]")).alias("short"), n.rlike(TITLE_END).alias("title"),
-            is_issuer(n).alias("issuer"), last.alias("signed"), F.when(n.contains("年"), rest).alias("rest"), top.alias("top"), (stripped(F.regexp_replace(n, SEAL, "")) == "").alias("seal"),
+            F.when(kept, text).alias("text"), F.when(kept, n).alias("n"), n.endswith(":").alias("colon"), size.alias("size"), number.alias("number"), noise.alias("noise"), ((size <= 50) & ~n.rlike("[。,;]")).alias("short"), ((size <= LONGEST) & titled(n)).alias("title"),
+            is_issuer(n).alias("issuer"), last.alias("signed"), F.when(dated, rest).alias("rest"), top.alias("top"), (stripped(unsealed(n)) == "").alias("seal"),
         )
 
-    return let(stripped(line), lambda text: let(normalize(text), lambda n: of(text, n)))
+    return let(stripped(line), lambda text: let(narrow(text), lambda n: of(text, n)))
 
 
 def metadata(lines: DataFrame) -> DataFrame:
@@ -87,17 +114,18 @@ def metadata(lines: DataFrame) -> DataFrame:
     alone or with the issuer's name, else one under the title. Issuer: on that line; on up to four lines above it, a seal's
     note aside; in the letterhead; above the title; in the title. What is not found is null; blank lines do not count.
     """
-    each = lines.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]).alias("_l"))  # the lines of one document
-    filled = each.select("doc_id", F.filter("_l", lambda x: F.coalesce(x.rlike(r"(?U)\S"), F.lit(False))).alias("_l"))
-    rows = filled.select("doc_id", F.transform("_l", described).alias("_l")).withColumn("_h", F.slice("_l", 1, HEAD))
+    # described before they are gathered, so that long lines stay where they are
+    each = lines.select("doc_id", "index", F.when(F.col("text").rlike(r"(?U)\S"), described(F.col("text"))).alias("x"))
+    filled = each.groupBy("doc_id").agg(F.filter(F.sort_array(F.collect_list(F.struct("index", "x"))), lambda y: y["x"].isNotNull()).alias("_l"))  # the lines of one document
+    rows = filled.select("doc_id", F.transform("_l", lambda y: y["x"]).alias("_l")).withColumn("_h", F.slice("_l", 1, HEAD))
     at = lambda array, test: F.get(F.filter(F.transform(array, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull()), F.lit(0))
     first = lambda array, test: F.get(F.filter(array, test), F.lit(0))
 
-    rows = rows.withColumn("_end", F.coalesce(at("_h", lambda x, i: x["n"].endswith(":")), F.size("_h")))
+    rows = rows.withColumn("_end", F.coalesce(at("_h", lambda x, i: x["colon"]), F.size("_h")))
     below = lambda i: F.get("_h", i + 1)
-    wraps = lambda x, i: (i + 1 < F.col("_end")) & (below(i)["size"] <= 30) & F.concat(x["n"], below(i)["n"]).rlike(TITLE_END)
+    wraps = lambda x, i: (i + 1 < F.col("_end")) & (below(i)["size"] <= 30) & titled(F.concat(x["n"], below(i)["n"]))
     may = lambda x, i: (i < F.col("_end")) & ~x["noise"]
-    about = at("_h", lambda x, i: may(x, i) & x["n"].contains("关于") & (x["size"] <= 80) & (x["title"] | F.coalesce(wraps(x, i), F.lit(False))))
+    about = at("_h", lambda x, i: may(x, i) & x["n"].contains("关于") & (x["size"] <= LONGEST) & (x["title"] | F.coalesce(wraps(x, i), F.lit(False))))
     rows = rows.withColumn("_a", about).withColumn("_t", F.coalesce("_a", at("_h", lambda x, i: may(x, i) & x["short"] & x["title"]), at("_h", lambda x, i: may(x, i) & x["short"])))
     line = F.get("_h", F.col("_t"))
     title = F.when(F.col("_a").isNotNull() & ~line["title"], F.concat(line["text"], F.get("_h", F.col("_t") + 1)["text"])).otherwise(line["text"])

@@ -214,6 +214,16 @@ def test_metadata(spark):
     assert [r["x"] for r in heads.select(G2.is_letterhead(F.col("t")).alias("x")).collect()] == [True, True, False]
 
 
+def test_metadata_long_lines(spark):
+    """Lines that are too long for a title leave their text where they are, and are still described."""
+    d = G2.described(F.col("text"))
+    assert one(spark, d["text"], "通知" * 41) is None and one(spark, d["text"], "通知" * 40) == "通知" * 40
+    gap, long = " " * 20_000, "某" * 100
+    texts = [f"a{gap}b", f"关于{long}的通知", f"{long}：", "关于水的通知", "某局", f"某委员会{gap}(盖章)", f"x{gap}(盖章)y", f"{long}。", "某厅", f"{gap}（章）", "2024年5月6日", gap]
+    got = [tuple(r) for r in G2.metadata(paragraphs(spark, texts)).collect()]
+    assert got == [(1, None, None, "某厅", "2024-05-06")]
+
+
 # ---- proofreading --------------------------------------------------------------------------------------------------
 def issues_of(df):
     return {(r["start"], r["end"], r["original"], r["suggestion"]) for r in df.collect()}
