@@ -315,6 +315,22 @@ def test_conflict_groups(spark):
     assert P.conflict_groups(out.sparkSession.createDataFrame([], "doc_id long, place long, subject string, metric string, value string, unit string")).collect() == []
 
 
+def test_conflict_groups_read_once(spark):
+    """Each fact is read and parsed once, equal values count with their number; a fact without a place is never the first."""
+    schema = "doc_id long, place long, subject string, metric string, value string, unit string"
+    facts = [(d, i, "甲", ("建筑投资", "投资", "面积")[i % 3], str(5 + (d > 1 and i > 6)), ("元", "万元", "亩")[i % 3]) for d in (1, 2) for i in range(9)]
+    facts += [(3, None, "甲", "投资", "1", "元"), (3, 4, "甲", "建筑投资", "2", "元"), (3, 5, "甲", "建筑投资", "2", "元"), (3, 6, "甲", "投资", "2", "元")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row: tuple) -> tuple:
+        read.add(1)
+        return row
+
+    out = P.conflict_groups(spark.createDataFrame(spark.sparkContext.parallelize(facts, 2).map(seen), schema)).collect()
+    assert {(r["doc_id"], r["metric"], r["n"], r["n_far"]) for r in out} == {(1, "建筑投资", 6, 3), (2, "建筑投资", 6, 3), (2, "面积", 3, 1), (3, "建筑投资", 4, 1)}
+    assert read.value == len(facts)
+
+
 def test_admission_over_lists(spark):
     items = [("g", 0, True, 0, 50), ("g", 0, True, 1, 60), ("g", 0, True, 2, 10), ("g", 1, False, 0, 20), ("g", 1, False, 1, 30), ("g", 1, False, 2, 5), ("g", 2, False, 0, 15), ("g", 2, False, 1, 6), ("h", 0, False, 0, 101), ("h", 1, False, 0, 100), ("h", 2, True, 0, None)]
     rows = spark.createDataFrame(items, "g string, list int, single boolean, `order` long, size long")
